@@ -61,12 +61,13 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def slices(offs: np.ndarray, most: int = SLICE_BYTES):
-    """Row ranges [a, b) of about ``most`` bytes each; a longer text stands alone."""
+def slices(offs: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 20):
+    """Row ranges [a, b) of about ``most`` bytes and at most ``rows`` rows each; a longer text stands alone."""
     a, n = 0, len(offs) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, side="right")) - 1)
-        yield a, min(b, n)
+        b = min(b, n, a + rows)
+        yield a, b
         a = b
 
 
