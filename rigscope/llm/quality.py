@@ -1,6 +1,6 @@
 """Operator 8: quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are pairs of neighbouring character classes of the whole text. A bounded sample of labelled rows
+Terms are pairs of neighbouring character classes of the whole text, and words that repeat the word before. A bounded sample of labelled rows
 (``sample``, the rows whose ids hash lowest) gives the term weights and the latent space (truncated singular
 vectors of the weighted term counts). The sample's vectors and labels are broadcast (sample x rank numbers, a
 fixed size). Every document's vector is multiplied with all of them, block by block; the ``k`` nearest by exact
@@ -22,8 +22,10 @@ from rigscope.llm import textnp as tn
 from rigscope.llm.common import fold
 
 CLASSES = 64
-TERMS = CLASSES * CLASSES
+PAIRS = CLASSES * CLASSES
+TERMS = PAIRS + 2
 ROWS_A_BLOCK = 512
+REPEAT_WEIGHT = 0.6
 
 
 def _classes() -> np.ndarray:
@@ -50,10 +52,22 @@ def term_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     c = _CLASS[data]
     row = np.repeat(np.arange(n), np.diff(offs))
     same = row[1:] == row[:-1]
-    at = row[:-1][same] * TERMS + c[:-1][same].astype(np.int64) * CLASSES + c[1:][same]
-    x = np.bincount(at, minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
-    total = np.maximum(x.sum(axis=1, keepdims=True), 1)
-    return unit(np.sqrt(x / total))
+    at = row[:-1][same] * PAIRS + c[:-1][same].astype(np.int64) * CLASSES + c[1:][same]
+    x = np.bincount(at, minlength=n * PAIRS).reshape(n, PAIRS).astype(np.float32)
+    x = unit(np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)))
+    return unit(np.c_[x, REPEAT_WEIGHT * repeats(data, offs)])
+
+
+def repeats(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows x 2: share of words that repeat the word before, and of words met before in the text."""
+    n = len(offs) - 1
+    starts, ends, row = tn.words(data, offs, tn.SPACED)
+    h = tn.span_hashes(data, starts, ends)
+    total = np.maximum(np.bincount(row, minlength=n), 1)
+    again = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    twice = np.bincount(row[1:][again], minlength=n) / total
+    new = np.bincount(tn.distinct(h, row)[1], minlength=n) / total
+    return np.stack([twice, np.where(total > 20, 1 - new, 0)], axis=1).astype(np.float32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -101,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", out_of: int
     return {"mean": mean, "basis": basis, "v": unit((x - mean) @ basis), "y": y}
 
 
-def vote(model: dict, x: np.ndarray, empty: np.ndarray, k: int, sharpness: float = 4.0) -> np.ndarray:
+def vote(model: dict, x: np.ndarray, empty: np.ndarray, k: int, sharpness: float = 8.0) -> np.ndarray:
     """Scores of rows of term counts."""
     v, y = model["v"], model["y"]
     if not len(y):
@@ -115,7 +129,7 @@ def vote(model: dict, x: np.ndarray, empty: np.ndarray, k: int, sharpness: float
     return np.clip(score.astype(np.float64), 0.0, 1.0)
 
 
-def score(docs: DataFrame, model: dict, k: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: dict, k: int = 15, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     kind = dict(docs.dtypes)[doc_id]
     shared = docs.sparkSession.sparkContext.broadcast(model)
