@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import decontaminate, langid, licenses, packing, quality, sharding, token_counts, topk, toxicity
+from rigscope.llm import decontaminate, jaccard, langid, licenses, packing, quality, sharding, token_counts, topk, toxicity
 from rigscope.llm.common import fold, table
 
 
@@ -26,6 +26,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(docs, out_of=4, held=2))
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_topk_search": op2_topk_search,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
