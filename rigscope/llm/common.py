@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rigscope.llm import textnp as tn
+
+BROADCAST_KEYS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +41,33 @@ def fold(id_column: str, k: int):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % k, F.lit(0))
 
 
-def schema_of(df: DataFrame, *names: str) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join(f"`{n}` {kinds[n]}" for n in names)
+def scored(docs: DataFrame, keep: tuple[str, ...], text: str, kernel, model, rows: int = 1 << 20) -> DataFrame:
+    """``docs`` with columns c0, c1 ... for ``keep`` and s for ``kernel(model, bytes, offsets)``; names never clash."""
+    kinds = dict(docs.dtypes)
+    carried = [F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)]
+    at = keep.index(text) if text in keep and kinds[text] == "string" else len(keep)
+    if at == len(keep):
+        carried.append(F.col(f"`{text}`").cast("string").alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*(f"c{i}" for i in range(len(keep))), "s"]
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            data, offs = tn.buffer_of(batch.column(at))
+            parts = [kernel(m, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tn.slices(offs, rows=rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=names)
+
+    return docs.select(*carried).mapInArrow(run, ", ".join([*(f"c{i} {kinds[k]}" for i, k in enumerate(keep)), "s double"]))
+
+
+def kept(docs: DataFrame, text: str, kernel, model, condition, rows: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score meets ``condition``."""
+    names = tuple(docs.columns)
+    return scored(docs, names, text, kernel, model, rows).where(condition(F.col("s"))).drop("s").toDF(*names)
+
+
+def without(docs: DataFrame, gone: DataFrame, *on) -> DataFrame:
+    """``docs`` without the rows that match one of ``gone``: broadcast if these are few, else by shuffle."""
+    few = gone.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone, list(on) if isinstance(on[0], str) else on[0], "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigscope.llm import textnp as tn
-from rigscope.llm.common import fold
+from rigscope.llm.common import fold, kept, scored
 
 CLASSES = 64
 PAIRS = CLASSES * CLASSES
@@ -89,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, d
     return known.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", out_of: int = 5, held: int = 0, sample: int = 3000, rank: int = 48, doc_id: str = "doc_id", text: str = "text") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", out_of: int = 5, held: int = 0, sample: int = 3000, rank: int = 48, k: int = 15, doc_id: str = "doc_id", text: str = "text") -> dict:
     """The model: term means, basis, the sample's vectors and labels."""
     usable = labels.where(fold(doc_id, out_of) != held)
     chosen = training_rows(docs, usable, label, sample, doc_id)
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", out_of: int
 
     got = rows.mapInArrow(counted, "label int, x binary").toArrow()
     if not got.num_rows:
-        return {"mean": np.zeros(TERMS, np.float32), "basis": np.zeros((TERMS, 1), np.float32), "v": np.zeros((0, 1), np.float32), "y": np.zeros(0, np.float32)}
+        return {"mean": np.zeros(TERMS, np.float32), "basis": np.zeros((TERMS, 1), np.float32), "v": np.zeros((0, 1), np.float32), "y": np.zeros(0, np.float32), "k": k}
     blob = got.column("x").combine_chunks()
     x = np.frombuffer(b"".join(blob.to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     y = got.column("label").to_numpy().astype(np.float32)
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", out_of: int
     x, y = x[order], y[order]
     mean = x.mean(axis=0)
     basis = latent_basis(x - mean, rank)
-    return {"mean": mean, "basis": basis, "v": unit((x - mean) @ basis), "y": y}
+    return {"mean": mean, "basis": basis, "v": unit((x - mean) @ basis), "y": y, "k": k}
 
 
 def vote(model: dict, x: np.ndarray, empty: np.ndarray, k: int, sharpness: float = 8.0) -> np.ndarray:
@@ -129,19 +129,15 @@ def vote(model: dict, x: np.ndarray, empty: np.ndarray, k: int, sharpness: float
     return np.clip(score.astype(np.float64), 0.0, 1.0)
 
 
-def score(docs: DataFrame, model: dict, k: int = 15, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every row."""
-    kind = dict(docs.dtypes)[doc_id]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def kernel(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return vote(model, term_counts(data, offs), np.diff(offs) < 2, model["k"])
+
+
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep`` and score of every row."""
+    return scored(docs, keep, text, kernel, model, ROWS_A_BLOCK).toDF(*keep, "score")
 
-    def scored(batches):
-        m = shared.value
-        for batch in batches:
-            data, offs = tn.buffer_of(batch.column(1))
-            parts = []
-            for a, b in tn.slices(offs, rows=ROWS_A_BLOCK):
-                o = offs[a : b + 1] - offs[a]
-                parts.append(vote(m, term_counts(data[offs[a] : offs[b]], o), np.diff(o) < 2, k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
+def accepted(docs: DataFrame, model: dict, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows that score ``threshold`` or more."""
+    return kept(docs, text, kernel, model, lambda s: s >= threshold, ROWS_A_BLOCK)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigscope.llm import textnp as tn
-from rigscope.llm.common import fold
+from rigscope.llm.common import fold, kept, scored
 from rigscope.llm.quality import training_rows
 
 SEEDS = "idiot moron stupid trash scum loser clown pathetic worthless disgusting imbecile idiota imbécile stupide dumm idiotisch basura estúpido ordure abschaum".split()
@@ -29,6 +29,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 MOST_ENTRIES = 20_000
 MOST_VOTERS = 400
 EXTRAS = 5
+ROWS_A_BLOCK = 20_000
 _TAG = {n: np.uint64((n * 0x9E3779B97F4A7C15) & (1 << 64) - 1) for n in (0, *BEGINNINGS)}
 
 
@@ -185,21 +186,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", out_of: int =
     return {"keys": voters, "w": w, "b": b}
 
 
-def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every row."""
-    kind = dict(docs.dtypes)[doc_id]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def kernel(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    found = entries_of(tn.LOWER[data], offs, model["keys"])
+    x = features(len(offs) - 1, *found, len(model["keys"]))
+    return 1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ model["w"] + model["b"], -30, 30)))
+
+
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep`` and score of every row."""
+    return scored(docs, keep, text, kernel, model, ROWS_A_BLOCK).toDF(*keep, "score")
 
-    def scored(batches):
-        m = shared.value
-        for batch in batches:
-            data, offs = tn.buffer_of(batch.column(1))
-            parts = []
-            for a, b in tn.slices(offs, rows=20_000):
-                o = offs[a : b + 1] - offs[a]
-                found = entries_of(tn.LOWER[data[offs[a] : offs[b]]], o, m["keys"])
-                x = features(b - a, *found, len(m["keys"]))
-                parts.append(1 / (1 + np.exp(-np.clip(x @ m["w"] + m["b"], -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
+def accepted(docs: DataFrame, model: dict, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows that score less than ``threshold``."""
+    return kept(docs, text, kernel, model, lambda s: s < threshold, ROWS_A_BLOCK)
