@@ -83,13 +83,17 @@ def graded(df: DataFrame) -> DataFrame:
     return df.withColumns({"grade": F.when(j < 2, "Excellent").when(j < 5, "Good").otherwise("High"), "complete": F.col("missing_total") == 0})
 
 
-def summary(ts: DataFrame, reference: str, first_sensor: str) -> DataFrame:
-    """One row a drive: sensors, frames, duration of the first-loaded sensor (null if its stream is short), quality."""
+def summary(ts: DataFrame, reference: str, first_sensor: str, nudge: float = 0.0) -> DataFrame:
+    """One row a drive: sensors, frames, duration of the first-loaded sensor (null if its stream is short), quality.
+
+    Times are rounded to two decimals; ``nudge`` is added before, to settle exact halves.
+    """
+    two = lambda c: F.round(F.col(c) + nudge, 2).alias(c)
     spans = ts.groupBy("drive").agg(F.countDistinct("sensor").alias("num_sensors"), (F.max("frame_idx") + 1).cast("long").alias("num_frames"))
-    first = intervals(ts).where(F.col("sensor") == first_sensor).select("drive", (F.col("frame_idx") + 1).cast("long").alias("num_frames"), F.round("elapsed_s", 2).alias("duration_sec"))
+    first = intervals(ts).where(F.col("sensor") == first_sensor).select("drive", (F.col("frame_idx") + 1).cast("long").alias("num_frames"), F.round(F.col("elapsed_s") + nudge, 2).alias("duration_sec"))
     quality = sync_quality(ts, reference)
     return (
         spans.join(first, ["drive", "num_frames"], "left")
         .join(quality, "drive")
-        .select("drive", "num_sensors", "num_frames", "duration_sec", F.round("max_jitter_ms", 2).alias("max_jitter_ms"), F.round("max_drift_ms", 2).alias("max_drift_ms"), "missing_total", "grade", "complete")
+        .select("drive", "num_sensors", "num_frames", "duration_sec", two("max_jitter_ms"), two("max_drift_ms"), "missing_total", "grade", "complete")
     )

@@ -175,7 +175,7 @@ SQL: dict[str, str] = {
     "ts_jitter_grade": f"{SYNC} SELECT drive, missing_total, {r('jit', 'max_jitter_ms')}, {r('dr', 'max_drift_ms')}, grade, complete FROM q",
     "ts_summary": f"""{SYNC}, n AS (SELECT drive, count(DISTINCT sensor) AS num_sensors, CAST(max(frame_idx) + 1 AS BIGINT) AS num_frames FROM t GROUP BY drive),
       d AS (SELECT drive, frame_idx + 1 AS num_frames, (ns - first_value(ns) {ROW}) / 1e9 AS el FROM t WHERE sensor = '{FIRST_SENSOR}')
-      SELECT n.drive, num_sensors, n.num_frames, {r("round(el, 2)", "duration_sec")}, {r("round(jit, 2)", "max_jitter_ms")}, {r("round(dr, 2)", "max_drift_ms")}, missing_total, grade, complete
+      SELECT n.drive, num_sensors, n.num_frames, {r("round(el + 1e-6, 2)", "duration_sec")}, {r("round(jit + 1e-6, 2)", "max_jitter_ms")}, {r("round(dr + 1e-6, 2)", "max_drift_ms")}, missing_total, grade, complete
       FROM n JOIN q USING (drive) LEFT JOIN d ON n.drive = d.drive AND n.num_frames = d.num_frames""",
     "ts_parse": """SELECT CAST(user_id AS VARCHAR) AS drive, 'lidar' AS sensor, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame_idx,
       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS ts_raw, epoch_us(ts) * 1000 + event_id % 1000 AS ts_ns FROM events""",

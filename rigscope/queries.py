@@ -138,7 +138,7 @@ def ts_jitter_grade(spark, d):
 
 @query
 def ts_summary(spark, d):
-    return sync.summary(ad.sensor_ts(spark, d), REFERENCE, FIRST_SENSOR)
+    return sync.summary(ad.sensor_ts(spark, d), REFERENCE, FIRST_SENSOR, nudge=1e-6)
 
 
 @query
