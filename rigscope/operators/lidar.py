@@ -29,6 +29,14 @@ SECTORS = {
 }
 
 
+def validated(points: DataFrame) -> DataFrame:
+    """Fails at analysis time if the columns aren't those of a point cloud."""
+    lacking = [c for c in (*FRAME, "x", "y", "z", "reflectance") if c not in points.columns]
+    if lacking:
+        raise ValueError(f"not a point cloud: {', '.join(lacking)} missing")
+    return points
+
+
 def with_geometry(points: DataFrame) -> DataFrame:
     """Adds dist, horiz, azimuth and elevation (degrees). A y of -0.0 counts as 0."""
     x, y, z = (F.col(c).cast("double") for c in "xyz")
@@ -101,7 +109,7 @@ def aggregate(points: DataFrame, *metrics: list[Column]) -> DataFrame:
 
 def frame_metrics(points: DataFrame) -> DataFrame:
     """All metrics and flags of every frame, in one aggregate."""
-    return frame_flags(aggregate(points, density(), range_stats(), coordinate_stats(), azimuth_coverage(), range_distribution(), reflectance_stats(), field_of_view()))
+    return frame_flags(aggregate(validated(points), density(), range_stats(), coordinate_stats(), azimuth_coverage(), range_distribution(), reflectance_stats(), field_of_view()))
 
 
 def sample_points(points: DataFrame, most: int, key: str = "point_key", multiplier: int = 2_654_435_761) -> DataFrame:
@@ -139,6 +147,16 @@ def frame_sample(points: DataFrame, frames: int = 5) -> DataFrame:
     return points.join(chosen, FRAME, "left_semi")
 
 
+def seeded_frames(total: int, frames: int = 5, seed: int = 42) -> list[int]:
+    """``frames`` of the numbers below ``total``, drawn without replacement by NumPy's legacy generator, sorted."""
+    return sorted(int(i) for i in np.random.RandomState(seed).choice(total, min(frames, total), replace=False))
+
+
+def picked_frames(df: DataFrame, ids: list[int]) -> DataFrame:
+    """The rows of some named frames."""
+    return df.where(F.col("frame_idx").isin(ids))
+
+
 def sequence_metrics(frames: DataFrame, by: str = "drive") -> DataFrame:
     """Second-level aggregates over frame metrics (num_points, range_mean, horizontal_fov, spatial_resolution_cm)."""
     n, r, s = F.col("num_points").cast("double"), F.col("range_mean"), F.col("spatial_resolution_cm")

@@ -51,6 +51,11 @@ def frame_rates(ts: DataFrame) -> DataFrame:
     return out.withColumn("frame_rate_hz", F.when(F.col("mean_s") > 0, 1 / F.col("mean_s")).otherwise(F.lit(0.0))).drop("mean_s")
 
 
+def synthetic_time(rate_hz: float = 10.0):
+    """Seconds since frame 0 of a sensor without a clock of its own."""
+    return F.col("frame_idx") / rate_hz
+
+
 def offsets(ts: DataFrame, reference: str) -> DataFrame:
     """(drive, sensor, frame_idx, offset_ms) of every other sensor against the reference's frame of the same number.
 
@@ -97,3 +102,11 @@ def summary(ts: DataFrame, reference: str, first_sensor: str, nudge: float = 0.0
         .join(quality, "drive")
         .select("drive", "num_sensors", "num_frames", "duration_sec", two("max_jitter_ms"), two("max_drift_ms"), "missing_total", "grade", "complete")
     )
+
+
+def report(ts: DataFrame, reference: str) -> DataFrame:
+    """One row a drive: quality, and an array of each sensor's rate, gaps and offsets, rounded to two decimals."""
+    two = lambda c: F.round(c, 2).alias(c)
+    sensors = frame_rates(ts).join(completeness(ts), STREAM).join(offset_stats(ts, reference), STREAM, "left")
+    one = F.struct("sensor", "num_frames", "missing", *(two(c) for c in ("mean_interval_ms", "std_interval_ms", "min_interval_ms", "max_interval_ms", "frame_rate_hz", "mean_offset_ms", "std_offset_ms", "drift_ms")))
+    return sensors.groupBy("drive").agg(F.sort_array(F.collect_list(one)).alias("sensors")).join(sync_quality(ts, reference), "drive")

@@ -192,6 +192,9 @@ SQL: dict[str, str] = {
         abs(max(alt) - min(alt)) > 2 AS altitude_variation, max(s2) * 3.6 < 150 AS reasonable_speeds, max(abs(ax)) < 10 AND max(abs(ay)) < 10 AS reasonable_accelerations,
         coalesce(stddev_pop(seg) / nullif(avg(seg), 0) < 0.5, false) AS smooth_trajectory FROM sg GROUP BY drive)
       SELECT *, CASE WHEN reasonable_speeds AND reasonable_accelerations AND smooth_trajectory THEN 'GOOD' ELSE 'CHECK' END AS verdict FROM q""",
+    "oxts_series": f"""WITH {O} SELECT drive, frame_idx, {r("east", "east")}, {r("north", "north")}, {r("s2 * 3.6::DOUBLE", "speed_kmh")}, {r("avg(s2 * 3.6::DOUBLE) OVER (PARTITION BY drive)", "mean_speed_kmh")}, {r("alt", "altitude")},
+      {r("max(alt) OVER (PARTITION BY drive) - min(alt) OVER (PARTITION BY drive)", "altitude_range")}, {r("degrees(yaw)", "yaw_deg")} FROM f""",
+    "ts_report": f"{SYNC} SELECT m.drive, grade, m.sensor, n.num_frames, CAST(m.missing AS BIGINT) AS missing FROM m JOIN q USING (drive) JOIN (SELECT drive, sensor, count(*) AS num_frames FROM t GROUP BY ALL) n ON m.drive = n.drive AND m.sensor = n.sensor",
     "calib_parse": f"""WITH {CAL}
       SELECT date, 'calib_time' AS key, NULL::VARCHAR AS nums, '09-Jan-2012 13:57:' || lpad(CAST(s_suppkey % 60 AS VARCHAR), 2, '0') AS text FROM s
       UNION ALL SELECT date, 'R', '0.0000 -1.0000 0.0000 0.0000 0.0000 -1.0000 1.0000 0.0000 0.0000', NULL FROM s

@@ -200,6 +200,18 @@ def oxts_flags(spark, d):
     return gpsimu.verdict(gpsimu.sequence_metrics(ad.oxts(spark, d))).select("drive", *flags, "verdict")
 
 
+@query
+def oxts_series(spark, d):
+    return gpsimu.series(gpsimu.frame_metrics(ad.oxts(spark, d))).select(*FRAME, "east", "north", "speed_kmh", "mean_speed_kmh", "altitude", "altitude_range", "yaw_deg")
+
+
+@query
+def ts_report(spark, d):
+    """The nested report, flattened again."""
+    one = sync.report(ad.sensor_ts(spark, d), REFERENCE).select("drive", "grade", F.explode("sensors").alias("s"))
+    return one.select("drive", "grade", "s.sensor", "s.num_frames", "s.missing")
+
+
 @query
 def calib_parse(spark, d):
     c = calibration.parsed(ad.calibration_lines(spark, d))

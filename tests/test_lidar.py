@@ -55,3 +55,12 @@ def test_sequence_and_repartitioning(spark):
 def test_one_shuffle_no_python(spark):
     plan = lidar.frame_metrics(points(spark, [(1, 0, 0, 1)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_named_and_seeded_frames(spark):
+    assert lidar.seeded_frames(108) == sorted(np.random.RandomState(42).choice(108, 5, replace=False).tolist()) and len(lidar.seeded_frames(3)) == 3
+    p = points(spark, [(1, 0, 0, 1)]).unionByName(points(spark, [(1, 0, 0, 1)], 4))
+    assert lidar.picked_frames(p, [4, 9]).count() == 1
+    assert {r["frame_idx"] for r in lidar.frame_sample(p, 1).collect()} <= {0, 4} and lidar.frame_sample(p, 1).count() == 1
+    with pytest.raises(ValueError, match="reflectance"):
+        lidar.frame_metrics(p.drop("reflectance"))

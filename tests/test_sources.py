@@ -92,3 +92,18 @@ def test_reports(spark, tmp_path):
     assert "drive: d" in report.text_report(df, "Report")
     with pytest.raises(ValueError):
         report.write_summary(spark.range(5), str(tmp_path / "t.json"), most=4)
+
+
+def test_whole_drive(spark, drive, tmp_path):
+    from rigscope.plans.drive import analyse
+
+    base, d, _ = drive
+    (base / drives.CALIBRATION_FILES[0]).write_text("P_rect_02: 700 0 3 0 0 700 2 0 0 0 1 0\nR_rect_02: 1 0 0 0 1 0 0 0 1\nS_rect_02: 1242 375\n")
+    (base / drives.CALIBRATION_FILES[1]).write_text("R: 0 -1 0 0 0 -1 1 0 0\nT: 0 -0.08 -0.27\n")
+    done = analyse(spark, str(base), d.name, str(tmp_path), fusion_frames=(0, 2, 50))
+    assert len(done) == 10
+    read = {k: json.loads(open(p).read()) for k, p in done.items()}
+    assert read["lidar_sequence_analysis"][0]["num_frames"] == 3 and read["camera_sequence_analysis"][0]["num_frames"] == 3
+    assert read["gps_imu_analysis"][0]["num_frames"] == 3 and read["timestamp_analysis"][0]["sensors"][1]["sensor"] == "lidar"
+    assert {r["frame_idx"] for r in read["fusion_analysis"]} == {0, 2} and read["calibration"][0]["transforms"]["camera"]["image_size"] == {"width": 1242, "height": 375}
+    assert read["analysis_summary"][0]["lidar_frames"] == 3
