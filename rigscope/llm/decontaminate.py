@@ -81,22 +81,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     size = by_doc.agg(F.coalesce(F.sum(F.size("tries") * 500), F.lit(0)).alias("bytes")).first()["bytes"]
     keys = by_doc.withColumnsRenamed({"doc_id": "k", "text_hash": "h"})
     again = slim.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
-    again = again.select("doc_id", "text_hash", "tries", words(F.col("text")).alias("dw"))
-
-    def occurring(t: Column) -> Column:
-        fits = F.filter(
-            t["starts"],
-            lambda s: (t["shift"] + s >= 0) & (t["shift"] + s + t["length"] <= F.size("dw")) & (F.slice("dw", F.greatest(t["shift"] + s, F.lit(0)) + 1, t["length"]) == F.slice(t["iw"], s + 1, t["length"])),
-        )
-        return F.transform(fits, lambda s: F.struct(t["item_id"].alias("item_id"), (t["shift"] + s).alias("a"), (t["shift"] + s + t["length"] - 1).alias("b")))
-
-    hits = again.select("doc_id", "text_hash", F.flatten(F.transform("tries", occurring)).alias("hits")).where(F.size("hits") > 0)
-    hits = hits.dropDuplicates(["doc_id", "text_hash"]).select(
+    # a generator stands between the words and their uses: put into one expression, they would be split again for each
+    again = again.select("doc_id", "text_hash", words(F.col("text")).alias("dw"), "tries").select("doc_id", "text_hash", "dw", F.explode("tries").alias("t"))
+    t, last = F.col("t"), F.col("t.length") - 1
+    fits = F.filter(
+        t["starts"],
+        lambda s: (t["shift"] + s >= 0) & (t["shift"] + s + last < F.size("dw")) & (F.slice("dw", F.greatest(t["shift"] + s, F.lit(0)) + 1, last + 1) == F.slice(t["iw"], s + 1, last + 1)),
+    )
+    hits = again.select("doc_id", "text_hash", "t.item_id", F.transform(fits, lambda s: F.struct((t["shift"] + s).alias("first_word"), (t["shift"] + s + last).alias("last_word"))).alias("spans")).where(F.size("spans") > 0)
+    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    hits = hits.select(
         F.col("doc_id").alias("k"),
         F.col("text_hash").alias("h"),
-        F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["a"], x["b"]))))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))).alias("item_ids"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["a"].alias("first_word"), x["b"].alias("last_word"))))).alias("spans"),
+        F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["first_word"], x["last_word"]))))).cast("long").alias("n_hit"),
+        "item_ids",
+        "spans",
     )
     out = every.join(hits, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
