@@ -11,6 +11,7 @@ from rigscope import adapters as ad
 from rigscope.functions.stats import rounded, spread
 from rigscope.operators import calibration, camera, fusion, gpsimu, lidar, sync
 from rigscope.plans import report
+from rigscope.session import share_code
 from rigscope.sources import drives
 
 DIGITS = 5
@@ -34,7 +35,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(f(spark, sf_dir), DIGITS, NUDGE)
+        return rounded(f(share_code(spark), sf_dir), DIGITS, NUDGE)
 
     QUERIES[f.__name__] = run
     return f
