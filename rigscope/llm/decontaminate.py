@@ -10,8 +10,8 @@ documents, the first is a sufficient prefix: a document without it at the right
    positional bounds drop windows that would stick out.
 3. Documents with hits are read again, and the windows are compared word by word at those places alone.
 
-What is broadcast (the items' words, the anchors, the hits) is measured first; beyond ``BROADCAST_ROWS`` or
-``BROADCAST_BYTES`` the same joins shuffle. All words of a document are never in rows together with its text.
+What is broadcast (the items' words and anchors) is measured first; beyond ``BROADCAST_ROWS`` the same joins shuffle.
+The join of documents with their hits always does, as the hits grow with the documents.
 
 Cases: a null text has no words; items without an id or without words are none; repeated items count once; rows
 of equal id and text get equal results, each its own; other columns are ignored; empty tables give no rows or no
@@ -27,7 +27,7 @@ from rigscope.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+BROADCAST_ROWS = 500_000
 #: No word holds this character; the row of a document that carries its number of words has it as its word.
 END = "\u0001"
 
@@ -78,9 +78,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     tries = found.where(F.col("item").isNotNull()).select("doc_id", "text_hash", "item", (F.col("at") - F.col("place")).alias("shift"), "starts")
     tries = tries.join(bounded(windows.select("item", "item_id", "iw", "length"), windows.count()), "item")
     by_doc = written(tries.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "shift", "starts", "iw", "length")).alias("tries")), "decontaminate-tries")
-    size = by_doc.agg(F.coalesce(F.sum(F.size("tries") * 500), F.lit(0)).alias("bytes")).first()["bytes"]
-    keys = by_doc.withColumnsRenamed({"doc_id": "k", "text_hash": "h"})
-    again = slim.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
+    keys = by_doc.withColumnsRenamed({"doc_id": "k", "text_hash": "h"}).hint("merge")  # grows with the documents: shuffled at every size
+    again = slim.join(keys, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
     # a generator stands between the words and their uses: put into one expression, they would be split again for each
     again = again.select("doc_id", "text_hash", words(F.col("text")).alias("dw"), "tries").select("doc_id", "text_hash", "dw", F.explode("tries").alias("t"))
     t, last = F.col("t"), F.col("t.length") - 1

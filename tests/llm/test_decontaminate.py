@@ -62,8 +62,6 @@ def case(seed=0):
 @pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
 def test_brute_force(spark, docs_of, monkeypatch, rows):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
-    if not rows:
-        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     docs, items = case()
     assert got(spark, docs_of(docs, "word"), items) == brute(docs, items)
 
