@@ -140,7 +140,6 @@ def fit(docs: DataFrame, out_of: int = 4, held: int = 2, sample: int = 2000, run
     usable = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & (fold(doc_id, out_of) != held))
     chosen = usable.select(F.xxhash64(f"`{doc_id}`").alias("h"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     known = sorted(r["lang"] for r in chosen.select("lang").distinct().limit(1000).collect())
-    edge = chosen.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("m")).first()["m"]
 
     def some(batches):
         for b in batches:
@@ -154,7 +153,7 @@ def fit(docs: DataFrame, out_of: int = 4, held: int = 2, sample: int = 2000, run
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[pick])), pa.array([raw[x:y] for x, y in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], pa.binary())], names=["lang", "run"])
 
-    got = chosen.where(F.col("h") <= F.lit(edge)).select("lang", "text").mapInArrow(some, "lang string, run binary").toArrow() if known else None
+    got = chosen.orderBy("h", F.xxhash64("text"), "lang").limit(sample).select("lang", "text").mapInArrow(some, "lang string, run binary").toArrow() if known else None
     if got is None or not got.num_rows:
         return {"langs": [], "p": None}
     pairs = sorted(zip(got.column("lang").to_pylist(), got.column("run").to_pylist(), strict=True))

@@ -89,11 +89,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, d
     return known.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
 
+def training_texts(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(label, text) of the chosen rows; an id that several rows carry counts once, with the smallest of their texts."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", out_of: int = 5, held: int = 0, sample: int = 3000, rank: int = 48, k: int = 15, doc_id: str = "doc_id", text: str = "text") -> dict:
     """The model: term means, basis, the sample's vectors and labels."""
     usable = labels.where(fold(doc_id, out_of) != held)
     chosen = training_rows(docs, usable, label, sample, doc_id)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = training_texts(docs, chosen, doc_id, text)
 
     def counted(batches):
         for batch in batches:
