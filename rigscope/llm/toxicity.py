@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigscope.llm import textnp as tn
-from rigscope.llm.common import fold, kept, scored
-from rigscope.llm.quality import training_rows
+from rigscope.llm.common import fold, kept, scored, written
+from rigscope.llm.quality import training_rows, training_texts
 
 SEEDS = "idiot moron stupid trash scum loser clown pathetic worthless disgusting imbecile idiota imbécile stupide dumm idiotisch basura estúpido ordure abschaum".split()
 LETTERS = ~tn.mask((65, 90), (97, 122), (128, 255))
@@ -117,7 +117,7 @@ def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25) ->
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", out_of: int = 3, held: int = 1, sample: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> dict:
     usable = labels.where(fold(doc_id, out_of) != held)
     chosen = training_rows(docs, usable, label, sample, doc_id)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = written(training_texts(docs, chosen, doc_id, text), "toxicity-sample")
 
     def toxic_units(batches):
         for batch in batches:
@@ -142,27 +142,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", out_of: int =
     at = sorted((key(e, n), n, e) for n, e in table)
     keys = np.array([k for k, _, _ in at], np.uint64)
 
-    def votes(batches):
+    def counted(batches):
+        n = np.zeros((2, len(at)), np.int64)
         for batch in batches:
             data, offs = tn.buffer_of(batch.column(1))
+            label = batch.column(0).to_numpy()
             for a, b in tn.slices(offs):
-                o = offs[a : b + 1] - offs[a]
-                row, entry, count, n_words = entries_of(tn.LOWER[data[offs[a] : offs[b]]], o, keys)
-                cut = np.searchsorted(row, np.arange(b - a + 1))
-                parts = [np.stack([entry[i:j], count[i:j]]).astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(parts, pa.binary()), pa.array(n_words.astype(np.int64))], names=["label", "votes", "n_words"])
-
-    got = rows.mapInArrow(votes, "label int, votes binary, n_words long").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["label"], r["n_words"], r["votes"]))
-    y = np.array([r["label"] for r in got], np.float64)
-    hits = [np.frombuffer(r["votes"], np.int32).reshape(2, -1) for r in got]
-    row = np.repeat(np.arange(len(got)), [h.shape[1] for h in hits])
-    entry = np.concatenate([h[0] for h in hits]) if hits else np.zeros(0, np.int32)
-    count = np.concatenate([h[1] for h in hits]) if hits else np.zeros(0, np.int32)
-    in1 = np.bincount(entry, weights=y[row], minlength=len(at)) if len(row) else np.zeros(len(at))
-    in0 = np.bincount(entry, minlength=len(at)) - in1 if len(row) else np.zeros(len(at))
-    ratio = (in1 + 0.1) / max(y.sum(), 1) / ((in0 + 0.5) / max((1 - y).sum(), 1))
-    good = [i for i in range(len(at)) if ratio[i] >= 40 and in1[i] >= max(4, 0.01 * y.sum())]
+                row, entry, _, _ = entries_of(tn.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], keys)
+                np.add.at(n, (label[a:b][row], entry), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+
+    in0, in1 = np.zeros((2, len(at)))
+    for r in rows.mapInArrow(counted, "n binary").collect():  # a row for each task of the sample
+        n = np.frombuffer(r["n"], np.int64).reshape(2, -1)
+        in0, in1 = in0 + n[0], in1 + n[1]
+    by_label = dict(rows.groupBy("label").count().collect())
+    n0, n1 = by_label.get(0, 0), by_label.get(1, 0)
+    ratio = (in1 + 0.1) / max(n1, 1) / ((in0 + 0.5) / max(n0, 1))
+    good = [i for i in range(len(at)) if ratio[i] >= 40 and in1[i] >= max(4, 0.01 * n1)]
     kept: list[int] = []
     have: set[bytes] = set()
     for i in sorted(good, key=lambda i: (at[i][1] or 99, -in1[i], at[i][2])):  # short beginnings stand for what begins with them
@@ -172,16 +169,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", out_of: int =
                 have.add(at[i][2])
     kept = sorted(kept, key=lambda i: -in1[i])[:MOST_VOTERS]
     seeds = [i for i in range(len(at)) if at[i][1] == 0 and at[i][2].decode() in SEEDS and i not in kept]
-    chosen_entries = np.array(sorted({*kept, *seeds}), np.int64)
-    voters = keys[chosen_entries]
-    place = np.full(len(at), -1)
-    place[chosen_entries] = np.arange(len(chosen_entries))
-    if not len(y):
-        w = np.r_[np.full(len(voters), 2.0), 0, 0, 0, 0, 0]
-        return {"keys": voters, "w": w, "b": -2.0}
-    keep = place[entry] >= 0
-    n_words = np.array([r["n_words"] for r in got])
-    x = features(len(got), row[keep], place[entry[keep]], count[keep], n_words, len(voters))
+    voters = keys[np.array(sorted({*kept, *seeds}), np.int64)]
+    if not n0 + n1:
+        return {"keys": voters, "w": np.r_[np.full(len(voters), 4.0), np.zeros(EXTRAS)], "b": -2.0}
+
+    def voted(batches):
+        for batch in batches:
+            data, offs = tn.buffer_of(batch.column(1))
+            for a, b in tn.slices(offs, rows=ROWS_A_BLOCK):
+                x = features(b - a, *entries_of(tn.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], voters), len(voters))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([np.packbits(v > 0).tobytes() for v in x], pa.binary())], names=["label", "votes"])
+
+    got = sorted((r["label"], r["votes"]) for r in rows.mapInArrow(voted, "label int, votes binary").toArrow().to_pylist())  # a bit a voter and row of the sample
+    y = np.array([label for label, _ in got], np.float64)
+    x = np.unpackbits(np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(voters) + EXTRAS].astype(np.float32)
     w, b = linear(x, label_model(x, y))
     return {"keys": voters, "w": w, "b": b}
 
