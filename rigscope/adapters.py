@@ -94,7 +94,7 @@ def luminance_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiled_images(spark: SparkSession, sf_dir: str, side: int = 4) -> DataFrame:
-    """(drive, camera_id, frame_idx, height, width, n_channels, data): side x side vectors as one gray byte image."""
+    """(drive, camera_id, frame_idx, height, width, n_channels, values): side x side vectors as one gray image."""
     n = side * side
     tiles = luminance_images(spark, sf_dir).select(F.expr(f"frame_idx div {n}").alias("frame_idx"), F.expr(f"frame_idx % {n}").alias("tile"), "lum")
     whole = tiles.groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct("tile", "lum"))).alias("tiles")).where(F.size("tiles") == n)
@@ -125,6 +125,6 @@ def calibration_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("R_rect_02: 1 0 0 0 1 0 0 0 1"),
         F.lit("S_rect_02: 1242 375"),
         F.lit("empty:"),
-        F.lit("a line without a colon mark".replace(":", "")),
+        F.lit("a line without the mark"),
     )
     return s.select(F.col("s_suppkey").cast("string").alias("date"), F.lit("calib.txt").alias("file"), F.posexplode(lines).alias("line_no", "line"))

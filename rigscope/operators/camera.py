@@ -76,10 +76,21 @@ def luminance_histogram(images: DataFrame, bins: int = 50, top: float = 255.0) -
     return inside.groupBy(*FRAME, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-KERNEL_FIELDS = (
-    "brightness_min double, brightness_max double, brightness_mean double, brightness_std double, brightness_median double, contrast double, dynamic_range double, "
-    "overexposed_pct double, underexposed_pct double, sharpness double, edge_pixels bigint, edge_density double, harris_corners bigint, fast_keypoints bigint, shi_tomasi_corners bigint, orb_keypoints bigint, "
-    "orb_strips array<bigint>, orb_points array<struct<x: double, y: double>>"
+_REAL = "brightness_min brightness_max brightness_mean brightness_std brightness_median contrast dynamic_range overexposed_pct underexposed_pct sharpness edge_density".split()
+_WHOLE = "edge_pixels harris_corners fast_keypoints shi_tomasi_corners orb_keypoints".split()
+FRAME_SCHEMA = ", ".join(
+    ["drive string", "camera_id string", "frame_idx int", *(f"{n} double" for n in _REAL), *(f"{n} bigint" for n in _WHOLE), "orb_strips array<bigint>", "orb_points array<struct<x: double, y: double>>"]
+)
+ARROW_SCHEMA = pa.schema(
+    [
+        ("drive", pa.string()),
+        ("camera_id", pa.string()),
+        ("frame_idx", pa.int32()),
+        *((n, pa.float64()) for n in _REAL),
+        *((n, pa.int64()) for n in _WHOLE),
+        ("orb_strips", pa.list_(pa.int64())),
+        ("orb_points", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))),
+    ]
 )
 
 
@@ -112,7 +123,6 @@ def image_metrics(img: np.ndarray) -> dict:
 
 def frame_metrics(images: DataFrame, thresholds: dict | None = None, bgr: bool = False) -> DataFrame:
     """Metrics and flags of frames (drive, camera_id, frame_idx, height, width, n_channels, data). Empty data gives nulls."""
-    fields = [f.strip().split(" ")[0] for f in KERNEL_FIELDS.replace("struct<x: double, y: double>", "s").split(",")]
 
     def run(batches):
         for batch in batches:
@@ -126,15 +136,10 @@ def frame_metrics(images: DataFrame, thresholds: dict | None = None, bgr: bool =
                     if img.ndim == 3:
                         img = img[..., 2::-1] if bgr else img[..., :3]
                     m = image_metrics(img)
-                rows.append({k: r[k] for k in ("drive", "camera_id", "frame_idx")} | {f: m.get(f) for f in fields})
-            yield pa.RecordBatch.from_pylist(rows, schema=out_arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+                rows.append({k: r[k] for k in ("drive", "camera_id", "frame_idx")} | {f: m.get(f) for f in ARROW_SCHEMA.names[3:]})
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
 
-    ddl = f"drive string, camera_id string, frame_idx int, {KERNEL_FIELDS}"
-    out_arrow = to_arrow_schema(_parse_datatype_string(ddl))
-    made = images.select("drive", "camera_id", "frame_idx", "height", "width", "n_channels", "data").mapInArrow(run, ddl)
+    made = images.select("drive", "camera_id", "frame_idx", "height", "width", "n_channels", "data").mapInArrow(run, FRAME_SCHEMA)
     return frame_flags(made, thresholds)
 
 
