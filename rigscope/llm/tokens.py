@@ -16,7 +16,7 @@ import numpy as np
 
 from rigscope.llm import textnp as tn
 
-KEEP_UNITS = 1_500_000
+KEEP_UNITS = 500_000
 _VISIBLE = tn.mask((0, 32))
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
