@@ -75,6 +75,12 @@ def lidar_spatial_resolution(spark, d):
     return lidar.spatial_resolution(ad.lidar_points(spark, d), sample_size=200)
 
 
+@query
+def lidar_spatial_resolution_full(spark, d):
+    """The same with the operator's own sample, which takes in whole frames here; without SQL."""
+    return lidar.spatial_resolution(ad.lidar_points(spark, d))
+
+
 @query
 def lidar_sequence(spark, d):
     p = ad.lidar_points(spark, d)
@@ -82,6 +88,11 @@ def lidar_sequence(spark, d):
     return lidar.sequence_metrics(frames.join(lidar.spatial_resolution(p, sample_size=100), FRAME, "left"))
 
 
+@query
+def lidar_sequence_full(spark, d):
+    return report.lidar_summary(ad.lidar_points(spark, d))
+
+
 @query
 def lidar_frame_sample(spark, d):
     return lidar.frame_sample(ad.lidar_points(spark, d), 5).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("num_points"))
@@ -92,6 +103,12 @@ def lidar_point_sample(spark, d):
     return lidar.sample_points(ad.lidar_points(spark, d), 150).select(*FRAME, "point_key", "x", "y", "z", "reflectance", "sample_rank")
 
 
+@query
+def lidar_point_sample_full(spark, d):
+    """The plot's own sample size."""
+    return lidar.sample_points(ad.lidar_points(spark, d), 15_000).select(*FRAME, "point_key", "x", "y", "z", "reflectance", "sample_rank")
+
+
 @query
 def lidar_sector_plot(spark, d):
     return lidar.sector_plot(lidar.aggregate(ad.lidar_points(spark, d), lidar.density(), lidar.azimuth_coverage()))
