@@ -412,6 +412,12 @@ def cam_sequence(spark, d):
     return camera.sequence_metrics(frames.withColumn("orb_keypoints", F.lit(0)))
 
 
+@query
+def cam_sequence_full(spark, d):
+    """With the keypoint detector's counts, which SQL can't give."""
+    return camera.sequence_metrics(_frames(spark, d))
+
+
 @query
 def run_summary(spark, d):
     """A row a source: its frames, as JSON text of one struct."""

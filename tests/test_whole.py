@@ -7,6 +7,7 @@ import pytest
 
 from rigscope import adapters as ad
 from rigscope import queries
+from rigscope.functions import kernels as kn
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -32,3 +33,12 @@ def test_lidar_uses_every_point(spark):
     cvs = {r["drive"]: r["resolution_cv"] for r in queries.QUERIES["lidar_sequence_full"](spark, SF).collect()}
     assert cvs == {d: pytest.approx(100 * np.std(v) / np.mean(v), abs=1e-4) for d, v in per.items()}
     assert queries.QUERIES["lidar_point_sample_full"](spark, SF).count() == sum(n for n, _ in want.values())
+
+
+def test_camera_sequence_counts_keypoints(spark):
+    counts = []
+    for r in ad.tiled_images(spark, SF).collect():
+        counts.append(len(kn.orb(np.array(r["values"], np.uint8).reshape(r["height"], r["width"]))))
+    got = queries.QUERIES["cam_sequence_full"](spark, SF).first()
+    assert got["num_frames"] == len(counts) and sum(counts) > 0
+    assert got["orb_avg"] == pytest.approx(np.mean(counts), abs=1e-4) and got["orb_dev"] == pytest.approx(np.std(counts), abs=1e-4)
