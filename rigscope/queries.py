@@ -249,6 +249,12 @@ def calib_missing(spark, d):
     return calibration.missing_files(lines.where(F.col("date") % 2 == 0).select("date", "file"), ("calib.txt", "calib_imu.txt"))
 
 
+@query
+def calib_missing_full(spark, d):
+    """Every rig; the SQL of calib_missing takes every other one."""
+    return calibration.missing_files(ad.calibration_lines(spark, d).select("date", "file"), ("calib.txt", "calib_imu.txt"))
+
+
 def _projected(spark, d) -> DataFrame:
     return fusion.projected(ad.lidar_points(spark, d), RIG, (RIG.width, RIG.height))
 
@@ -309,7 +315,7 @@ def region_grid(spark, d):
 @query
 def fusion_motion_join(spark, d):
     regions = fusion.region_frames(_projected(spark, d), ad.lidar_points(spark, d), BOX)
-    motion = gpsimu.frame_metrics(ad.oxts(spark, d)).where("drive in ('0', '1', '2')").withColumn("drive", F.concat(F.lit("drive_"), "drive"))
+    motion = gpsimu.frame_metrics(ad.oxts(spark, d)).withColumn("drive", F.concat(F.lit("drive_"), "drive"))
     return fusion.with_motion(regions.select(*FRAME, "point_count"), motion)
 
 

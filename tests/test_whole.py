@@ -42,3 +42,14 @@ def test_camera_sequence_counts_keypoints(spark):
     got = queries.QUERIES["cam_sequence_full"](spark, SF).first()
     assert got["num_frames"] == len(counts) and sum(counts) > 0
     assert got["orb_avg"] == pytest.approx(np.mean(counts), abs=1e-4) and got["orb_dev"] == pytest.approx(np.std(counts), abs=1e-4)
+
+
+def test_missing_files_of_every_rig(spark):
+    rigs = {str(r["s_suppkey"]) for r in ad.table(spark, SF, "supplier").collect()}
+    got = {(r["date"], r["file"]) for r in queries.QUERIES["calib_missing_full"](spark, SF).collect()}
+    assert got == {(d, "calib_imu.txt") for d in rigs} and any(int(d) % 2 for d in rigs)
+
+
+def test_motion_of_every_user(spark):
+    plan = queries.QUERIES["fusion_motion_join"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "user_id" in plan and "drive#" in plan and " IN (0,1,2)" not in plan
