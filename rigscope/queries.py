@@ -433,3 +433,15 @@ def run_summary(spark, d):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.select("source", F.to_json(F.struct("source", "n")).alias("report"))
+
+
+@query
+def run_summary_full(spark, d):
+    """A row a frame or drive of each source, all its metrics as JSON text; images are a source too."""
+    images = ad.tiled_images(spark, d).withColumn("data", F.expr("unhex(array_join(transform(values, v -> lpad(hex(v), 2, '0')), ''))"))
+    parts = report.run_summary(ad.sensor_ts(spark, d), ad.lidar_points(spark, d), ad.oxts(spark, d), images, RIG, REFERENCE)
+    rows = [report.as_json(rounded(df, DIGITS, NUDGE)).select(F.lit(name).alias("source"), "report") for name, df in sorted(parts.items())]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -1,5 +1,6 @@
 """Registered queries over all rows, against brute force; SQL covers their bounded forms."""
 
+import json
 import os
 
 import numpy as np
@@ -53,3 +54,15 @@ def test_missing_files_of_every_rig(spark):
 def test_motion_of_every_user(spark):
     plan = queries.QUERIES["fusion_motion_join"](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert "user_id" in plan and "drive#" in plan and " IN (0,1,2)" not in plan
+
+
+def test_summary_holds_the_metrics(spark):
+    got = {}
+    for r in queries.QUERIES["run_summary_full"](spark, SF).collect():
+        got.setdefault(r["source"], []).append(json.loads(r["report"]))
+    assert got.keys() == {"timestamps", "lidar", "fusion", "gps_imu", "camera"}
+    for source, query in (("lidar", "lidar_frame_metrics"), ("timestamps", "ts_jitter_grade"), ("camera", "cam_sequence_full")):
+        want = [r.asDict(recursive=True) for r in queries.QUERIES[query](spark, SF).collect()]
+        key = lambda x: (x["drive"], x.get("frame_idx", 0))
+        assert sorted(got[source], key=key) == sorted(want, key=key)
+    assert all("depth_p75" in x for x in got["fusion"]) and all("total_distance_m" in x for x in got["gps_imu"])
