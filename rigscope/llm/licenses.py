@@ -3,8 +3,8 @@
 Texts and templates are sequences of lower-cased alphanumeric words. Of every ``window`` neighbouring k-word hashes
 of a template the smallest is its fingerprint (rightmost on ties), so that any shared run of window + k - 1 words
 shares one; the inverted index maps fingerprints to (template, place) and is broadcast: its size is that of the
-templates and is checked. Fingerprints found in a text lay a template along it at an offset; offsets that lie
-within ``band`` of each other form a candidate, aligned word by word within the band (match 2, mismatch and gap -1).
+templates and is checked. Fingerprints found in a text lay a template along it at an offset; unless a span already
+reported holds them, the words outside these spans are aligned within a band around it (match 2, mismatch and gap -1).
 Reported are the matched share of the template's words and the spans in words and bytes.
 
 Cases: null, empty and short texts match nothing; templates of fewer than k words are one fingerprint each;
@@ -14,6 +14,8 @@ are ignored. A text with a template twice is reported twice.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +100,29 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int
     return matched, place(first), place(last), first[0] - 1, last[0] - 1
 
 
+def occurrences(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int]], least: float, band: int) -> list[tuple[int, int, int]]:
+    """(matched words, first, last word) of template a in text b, from (shift, place) of its fingerprints; spans never overlap.
+
+    A fingerprint inside a span is explained by it; around any other one the words between the spans are aligned.
+    """
+    spans: list[tuple[int, int, int]] = []  # (first, last, matched), sorted
+    vain: set[tuple[int, int, int]] = set()
+    for shift, place in found:
+        while True:
+            i = bisect_right(spans, place, key=lambda x: x[0])
+            if i and spans[i - 1][1] >= place:
+                break
+            lo, hi = spans[i - 1][1] + 1 if i else 0, spans[i][0] if i < len(spans) else len(b)
+            if (shift, lo, hi) in vain:
+                break
+            matched, first, last, _, _ = align(a, b[lo:hi], shift - lo, band)
+            if not matched or matched < least * len(a):
+                vain.add((shift, lo, hi))
+                break
+            spans.insert(i, (lo + first, lo + last, matched))
+    return [(matched, first, last) for first, last, matched in spans]
+
+
 def scan(docs: DataFrame, templates: DataFrame, least: float = 0.6, doc_id: str = "doc_id", text: str = "text", template_id: str = "template_id", template_text: str = "text") -> DataFrame:
     """doc_id, template_id, coverage, matched_words, first_word, last_word, first_byte, end_byte of each match."""
     kind = dict(docs.dtypes)[doc_id]
@@ -137,17 +162,11 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.6, doc_id: str
                 for p, x in hits:
                     for e in range(np.searchsorted(keys, np.uint64(x)), np.searchsorted(keys, np.uint64(x), side="right")):
                         n, q = places[e]
-                        cands.setdefault((int(row[p]), n), []).append(p - q)
-                for (r, n), shifts in cands.items():
-                    lo, hi = np.searchsorted(row, [r, r + 1])
-                    body, done = h[lo:hi], None
-                    for s in sorted(set(shifts)):
-                        if done is not None and s - done <= BAND:
-                            continue
-                        done = s
-                        matched, first, last, _, _ = align(seqs[n], body, s - int(lo), BAND)
-                        if matched >= least * len(seqs[n]):
-                            rows.append((a + r, n, matched / len(seqs[n]), matched, first, last, int(starts[lo + first] - o[r]), int(ends[lo + last] - o[r])))
+                        cands.setdefault((int(row[p]), n), []).append((p - q, p))
+                for (r, n), found in cands.items():
+                    lo, hi = np.searchsorted(row, [r, r + 1]).tolist()
+                    for matched, first, last in occurrences(seqs[n], h[lo:hi], sorted((s - lo, p - lo) for s, p in set(found)), least, BAND):
+                        rows.append((a + r, n, matched / len(seqs[n]), matched, first, last, int(starts[lo + first] - o[r]), int(ends[lo + last] - o[r])))
             rows = sorted(set(rows))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([ids[r[1]] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3, 8))],

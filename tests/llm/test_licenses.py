@@ -20,6 +20,16 @@ def test_finds_copies_edits_and_places(spark, docs_of):
     assert len(by[7]["mit"]) == 2 and by[8].keys() == {"all-rights-reserved"} and by[9]["all-rights-reserved"][0][6] == 3
 
 
+def test_repeats_back_to_back(spark, docs_of):
+    texts = ["All rights reserved. Copyright B. All rights reserved.", "Released under the MIT License. " * 3, "x all rights reserved " + "all rights reserved " * 40, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."]
+    rows = [tuple(r) for r in licenses.scan(docs_of(texts), licenses.notices(spark)).collect()]
+    of = lambda i, t: sorted((r[4], r[5]) for r in rows if r[:2] == (i, t))
+    assert of(0, "all-rights-reserved") == [(0, 2), (5, 7)]
+    assert of(1, "mit") == [(0, 4), (5, 9), (10, 14)]
+    assert of(2, "all-rights-reserved") == [(1 + 3 * k, 3 + 3 * k) for k in range(41)]
+    assert of(3, "cc-by-nc-4.0") == [(0, 6), (7, 13)]
+
+
 def test_tables(spark, docs_of):
     assert licenses.scan(docs_of([]), licenses.notices(spark)).count() == 0
     own = spark.createDataFrame([("a", "one two"), ("b", None), (None, "x y z"), ("c", ""), ("a", "one two")], "template_id string, text string")
