@@ -94,10 +94,14 @@ def luminance_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiled_images(spark: SparkSession, sf_dir: str, side: int = 4) -> DataFrame:
-    """(drive, camera_id, frame_idx, height, width, n_channels, values): side x side vectors as one gray image."""
+    """(drive, camera_id, frame_idx, height, width, n_channels, values): side x side vectors as one gray image.
+
+    Of an image with fewer vectors than that, the vectors take turns.
+    """
     n = side * side
     tiles = luminance_images(spark, sf_dir).select(F.expr(f"frame_idx div {n}").alias("frame_idx"), F.expr(f"frame_idx % {n}").alias("tile"), "lum")
-    whole = tiles.groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct("tile", "lum"))).alias("tiles")).where(F.size("tiles") == n)
+    some = tiles.groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct("tile", "lum"))).alias("some"))
+    whole = some.withColumn("tiles", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("some", F.pmod(i, F.size("some")))))
     size = 8 * side
     at = F.expr(
         f"transform(sequence(0, {size * size - 1}), i -> least(255, greatest(0, cast(tiles[cast((i div {size}) div 8 * {side} + (i % {size}) div 8 as int)].lum[cast((i div {size}) % 8 * 8 + i % 8 as int)] as int))))"
@@ -128,3 +132,37 @@ def calibration_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("a line without the mark"),
     )
     return s.select(F.col("s_suppkey").cast("string").alias("date"), F.lit("calib.txt").alias("file"), F.posexplode(lines).alias("line_no", "line"))
+
+
+def calibration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``calibration_lines``, with each rig's entries in the three usual files; rigs of odd nations lack the IMU's."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.expr("cast(s_suppkey % 7 as double)")
+    num = lambda c: c.cast("double").cast("string")
+    camera = F.array(
+        F.concat(F.lit("K_02: "), num(k + 700.5), F.lit(" 0 600.5 0 "), num(k + 701.5), F.lit(" 170.25 0 0 1")),
+        F.lit("D_02: -0.375 0.25 0.0625 -0.125 -0.5"),
+        F.concat(F.lit("P_rect_02: "), num(k + 720.5), F.lit(" 0 609.5593 44.85728 0 "), num(k + 720.5), F.lit(" 172.854 0.2163791 0 0 1 0.002745884")),
+        F.lit("R_rect_02: 1 0 0 0 1 0 0 0 1"),
+        F.lit("S_rect_02: 1242 375"),
+    )
+    velo = F.array(F.lit("R: 0 -1 0 0 0 -1 1 0 0"), F.concat(F.lit("T: "), num(k / 8), F.lit(" -0.08 -0.27")))
+    imu = F.array(F.lit("R: 1 0 0 0 1 0 0 0 1"), F.concat(F.lit("T: -0.8125 "), num(k / 4), F.lit(" -0.75")))
+    files = F.array(
+        F.struct(F.lit("calib_cam_to_cam.txt").alias("file"), camera.alias("lines")),
+        F.struct(F.lit("calib_velo_to_cam.txt").alias("file"), velo.alias("lines")),
+        F.struct(F.lit("calib_imu_to_velo.txt").alias("file"), imu.alias("lines")),
+    )
+    rows = s.select(F.col("s_suppkey").cast("string").alias("date"), "s_nationkey", F.explode(files).alias("f")).where("f.file <> 'calib_imu_to_velo.txt' or s_nationkey % 2 = 0")
+    return rows.select("date", "f.file", F.posexplode("f.lines").alias("line_no", "line"))
+
+
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(drive, camera_id, frame_idx, height, width): each vector as the size of an image; every tenth one is empty."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.expr("concat('drive_', vec_id % 3)").alias("drive"),
+        F.lit("image_02").alias("camera_id"),
+        F.col("vec_id").cast("int").alias("frame_idx"),
+        F.lit(375).alias("height"),
+        F.expr("if(vec_id % 10 = 7, 0, cast(1000 + label * 50 as int))").alias("width"),
+    )

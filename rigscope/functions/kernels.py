@@ -126,9 +126,14 @@ def shi_tomasi(img: np.ndarray, most: int = 1000, quality: float = 0.01, distanc
     y, x = np.nonzero((e >= quality * top) & (e == dilate(e)) & (e > 0))
     order = np.lexsort((x, y, -e[y, x]))
     kept: list[tuple[int, int, float]] = []
-    for i in order:
-        if all((y[i] - q[0]) ** 2 + (x[i] - q[1]) ** 2 >= distance**2 for q in kept):
-            kept.append((int(y[i]), int(x[i]), float(e[y[i], x[i]])))
+    cells: dict[tuple[int, int], list[tuple[int, int]]] = {}  # kept corners by squares of that side: only neighbours can be too near
+    side = max(distance, 1)
+    for i, v, u in zip(order.tolist(), y[order].tolist(), x[order].tolist(), strict=True):
+        cy, cx = int(v // side), int(u // side)
+        around = (q for a in (-1, 0, 1) for b in (-1, 0, 1) for q in cells.get((cy + a, cx + b), ()))
+        if all((v - q[0]) ** 2 + (u - q[1]) ** 2 >= distance**2 for q in around):
+            kept.append((v, u, float(e[y[i], x[i]])))
+            cells.setdefault((cy, cx), []).append((v, u))
             if len(kept) == most:
                 break
     return np.array(kept).reshape(-1, 3)

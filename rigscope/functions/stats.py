@@ -11,19 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Bin edges.
 RANGE_EDGES = (0, 10, 20, 30, 40, 50, 100)  # metres; used for ranges and for depths
 
 
 def spread(c: Column, prefix: str, *which: str) -> list[Column]:
-    """Aggregates named <prefix>_<which>: min, max, mean, std, median, p25, p75, range."""
+    """Aggregates named <prefix>_<which>: min, max, mean, std, median, p25, p75, range.
+
+    The percentiles are elements of one aggregate, whose map of values is kept once.
+    """
+    ranks = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     made = {
         "min": lambda: F.min(c),
         "max": lambda: F.max(c),
         "mean": lambda: F.avg(c),
         "std": lambda: F.stddev_pop(c),
-        "median": lambda: F.percentile(c, F.lit(0.5)),
-        "p25": lambda: F.percentile(c, F.lit(0.25)),
-        "p75": lambda: F.percentile(c, F.lit(0.75)),
+        "median": lambda: ranks[1],
+        "p25": lambda: ranks[0],
+        "p75": lambda: ranks[2],
         "range": lambda: F.max(c) - F.min(c),
     }
     return [made[w]().alias(f"{prefix}_{w}") for w in which]

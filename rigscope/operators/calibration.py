@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# The file whose R and T lead from the IMU to the LiDAR; other files' lead from the LiDAR to the camera.
+IMU_FILE = "calib_imu_to_velo.txt"
+
+
 def parsed(lines: DataFrame, value: str = "line", order: str = "line_no") -> DataFrame:
     """(date, file, key, nums, text) of lines ``key: value``; the value is numbers if all its tokens are, else text.
 
@@ -40,8 +44,8 @@ def missing_files(present: DataFrame, expected: tuple[str, ...]) -> DataFrame:
 
 
 def matrix(nums: Column, columns: int) -> Column:
-    """Row-major numbers as an array of rows."""
-    return F.transform(F.sequence(F.lit(1), F.size(nums), F.lit(columns)), lambda i: F.slice(nums, i, columns))
+    """Row-major numbers as an array of rows; null without numbers."""
+    return F.when(F.size(nums) > 0, F.transform(F.sequence(F.lit(1), F.size(nums), F.lit(columns)), lambda i: F.slice(nums, i, columns)))
 
 
 def homogeneous(r: Column, t: Column) -> Column:
@@ -55,9 +59,12 @@ def norm(t: Column) -> Column:
 
 
 def camera(calib: DataFrame, camera_id: str = "02") -> DataFrame:
-    """One row a date: rotation, shift, rectification and projection of a camera, image size, focal lengths, centre."""
+    """One row a date: rotation, shift, rectification and projection of a camera, image size, focal lengths, centre.
+
+    R and T are those of the LiDAR, never of the IMU's file.
+    """
     names = {"R": "r", "T": "t", f"R_rect_{camera_id}": "r_rect", f"P_rect_{camera_id}": "p_rect", f"S_rect_{camera_id}": "s_rect", f"K_{camera_id}": "k", f"D_{camera_id}": "d"}
-    rows = calib.where(F.col("key").isin(*names))
+    rows = calib.where(F.col("key").isin(*names) & (~F.col("key").isin("R", "T") | (F.col("file") != IMU_FILE)))
     wide = rows.groupBy("date").agg(*(F.max(F.when(F.col("key") == k, F.col("nums"))).alias(v) for k, v in names.items()))
     p = F.col("p_rect")
     return wide.withColumns(
@@ -74,18 +81,32 @@ def camera(calib: DataFrame, camera_id: str = "02") -> DataFrame:
     )
 
 
+def imu_to_lidar(calib: DataFrame) -> DataFrame:
+    """One row a date that has the IMU's file: imu_r, imu_t, imu_4x4 and the length of the shift."""
+    rows = calib.where((F.col("file") == IMU_FILE) & F.col("key").isin("R", "T"))
+    wide = rows.groupBy("date").agg(*(F.max(F.when(F.col("key") == k, F.col("nums"))).alias(v) for k, v in (("R", "imu_r"), ("T", "imu_t"))))
+    return wide.withColumns({"imu_4x4": homogeneous(F.col("imu_r"), F.col("imu_t")), "imu_t_norm": norm(F.col("imu_t"))})
+
+
 def transforms(calib: DataFrame, camera_id: str = "02") -> DataFrame:
-    """(date, transforms): a struct of structs with all matrices as rows, for export."""
-    c = camera(calib, camera_id)
+    """(date, transforms): a struct of structs with all matrices as rows, for export; imu_to_lidar is null without its file."""
+    c = camera(calib, camera_id).join(imu_to_lidar(calib), "date", "left")
     return c.select(
         "date",
         F.struct(
             F.struct(matrix(F.col("r"), 3).alias("rotation"), F.col("t").alias("shift"), F.col("t_4x4").alias("matrix")).alias("lidar_to_camera"),
-            F.struct(matrix(F.col("p_rect"), 4).alias("p_rect"), matrix(F.col("r_rect"), 3).alias("r_rect"), F.struct("width", "height").alias("image_size")).alias("camera"),
+            F.when(F.col("imu_r").isNotNull(), F.struct(matrix(F.col("imu_r"), 3).alias("rotation"), F.col("imu_t").alias("shift"), F.col("imu_4x4").alias("matrix"))).alias("imu_to_lidar"),
+            F.struct(matrix(F.col("p_rect"), 4).alias("p_rect"), matrix(F.col("r_rect"), 3).alias("r_rect"), matrix(F.col("k"), 3).alias("k"), F.col("d"), F.struct("width", "height").alias("image_size")).alias("camera"),
         ).alias("transforms"),
     )
 
 
+def summary(calib: DataFrame, camera_id: str = "02") -> DataFrame:
+    """One row a date: image size, focal lengths, centre, and both shifts with their lengths in metres."""
+    c = camera(calib, camera_id).join(imu_to_lidar(calib), "date", "left")
+    return c.select("date", "width", "height", "fx", "fy", "cx", "cy", F.col("t").alias("lidar_to_camera_shift"), F.col("t_norm").alias("lidar_to_camera_m"), F.col("imu_t").alias("imu_to_lidar_shift"), F.col("imu_t_norm").alias("imu_to_lidar_m"))
+
+
 @dataclass(frozen=True)
 class Rig:
     """One rig's matrices on the driver, to become literals of a plan."""

@@ -94,50 +94,70 @@ ARROW_SCHEMA = pa.schema(
 )
 
 
-def image_metrics(img: np.ndarray) -> dict:
-    """Everything about one image (height x width, or x 3 in RGB order)."""
-    lum, g = kn.luminance(img), kn.gray(img)
-    edges, orb = kn.canny(g), kn.orb(g)
-    over, under = float((lum > 240).mean() * 100), float((lum < 15).mean() * 100)
-    return {
-        "brightness_min": float(lum.min()),
-        "brightness_max": float(lum.max()),
-        "brightness_mean": float(lum.mean()),
-        "brightness_std": float(lum.std()),
-        "brightness_median": float(np.median(lum)),
-        "contrast": float(lum.std()),
-        "dynamic_range": float(lum.max() - lum.min()),
-        "overexposed_pct": over,
-        "underexposed_pct": under,
-        "sharpness": float(kn.laplacian(g).var()),
-        "edge_pixels": int(edges.sum()),
-        "edge_density": float(edges.mean() * 100),
-        "harris_corners": kn.harris_count(g),
-        "fast_keypoints": len(kn.fast(g)),
-        "shi_tomasi_corners": len(kn.shi_tomasi(g)),
-        "orb_keypoints": len(orb),
-        "orb_strips": kn.strips(orb[:, 0], g.shape[0], STRIPS).tolist(),
-        "orb_points": [{"x": float(x), "y": float(y)} for y, x, _ in orb],
-    }
-
-
-def frame_metrics(images: DataFrame, thresholds: dict | None = None, bgr: bool = False) -> DataFrame:
-    """Metrics and flags of frames (drive, camera_id, frame_idx, height, width, n_channels, data). Empty data gives nulls."""
+#: What the kernel can compute of an image.
+KERNELS = ("light", "edges", "harris", "fast", "shi_tomasi", "orb")
+
+
+def image_metrics(img: np.ndarray, which: tuple[str, ...] = KERNELS) -> dict:
+    """What is asked for about one image (height x width, or x 3 in RGB order)."""
+    g, out = kn.gray(img), {}
+    if "light" in which:
+        lum = kn.luminance(img)
+        out |= {
+            "brightness_min": float(lum.min()),
+            "brightness_max": float(lum.max()),
+            "brightness_mean": float(lum.mean()),
+            "brightness_std": float(lum.std()),
+            "brightness_median": float(np.median(lum)),
+            "contrast": float(lum.std()),
+            "dynamic_range": float(lum.max() - lum.min()),
+            "overexposed_pct": float((lum > 240).mean() * 100),
+            "underexposed_pct": float((lum < 15).mean() * 100),
+            "sharpness": float(kn.laplacian(g).var()),
+        }
+    if "edges" in which:
+        edges = kn.canny(g)
+        out |= {"edge_pixels": int(edges.sum()), "edge_density": float(edges.mean() * 100)}
+    if "harris" in which:
+        out["harris_corners"] = kn.harris_count(g)
+    if "fast" in which:
+        out["fast_keypoints"] = len(kn.fast(g))
+    if "shi_tomasi" in which:
+        out["shi_tomasi_corners"] = len(kn.shi_tomasi(g))
+    if "orb" in which:
+        orb = kn.orb(g)
+        out |= {"orb_keypoints": len(orb), "orb_strips": kn.strips(orb[:, 0], g.shape[0], STRIPS).tolist(), "orb_points": [{"x": float(x), "y": float(y)} for y, x, _ in orb]}
+    return out
+
+
+def image_of(raw, height: int, width: int, channels: int, bgr: bool) -> np.ndarray | None:
+    """The pixels as an array; None without any. Bytes that don't fill the shape, and other shapes than gray or colour, fail."""
+    img = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    if not len(img):
+        return None
+    if channels not in (1, 3, 4) or len(img) != height * width * channels:
+        raise ValueError(f"{len(img)} bytes aren't a gray or colour image of {height} x {width} x {channels}")
+    if channels == 1:
+        return img.reshape(height, width)
+    img = img.reshape(height, width, channels)
+    return img[..., 2::-1] if bgr else img[..., :3]
+
+
+def frame_metrics(images: DataFrame, thresholds: dict | None = None, bgr: bool = False, which: tuple[str, ...] = KERNELS) -> DataFrame:
+    """Metrics and flags of frames (drive, camera_id, frame_idx, height, width, n_channels, data).
+
+    Empty data and kernels not named in ``which`` give nulls; data of another size than its shape fails.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                img = np.frombuffer(r["data"] or b"", np.uint8)
-                shape = (r["height"], r["width"]) if r["n_channels"] == 1 else (r["height"], r["width"], r["n_channels"])
-                m = {}
-                if len(img) and len(img) == int(np.prod(shape)):
-                    img = img.reshape(shape)
-                    if img.ndim == 3:
-                        img = img[..., 2::-1] if bgr else img[..., :3]
-                    m = image_metrics(img)
-                rows.append({k: r[k] for k in ("drive", "camera_id", "frame_idx")} | {f: m.get(f) for f in ARROW_SCHEMA.names[3:]})
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
+            found = []
+            for i in range(batch.num_rows):
+                h, w, c = (batch.column(k)[i].as_py() for k in (3, 4, 5))
+                img = image_of(batch.column(6)[i].as_buffer(), h, w, c, bgr)
+                found.append({} if img is None else image_metrics(img, which))
+            made = [pa.array([m.get(f.name) for m in found], f.type) for f in list(ARROW_SCHEMA)[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], schema=ARROW_SCHEMA)
 
     made = images.select("drive", "camera_id", "frame_idx", "height", "width", "n_channels", "data").mapInArrow(run, FRAME_SCHEMA)
     return frame_flags(made, thresholds)
@@ -148,7 +168,7 @@ def frame_flags(frames: DataFrame, thresholds: dict | None = None) -> DataFrame:
     flags = {
         "good_exposure": (F.col("overexposed_pct") < t["overexposed_max"]) & (F.col("underexposed_pct") < t["underexposed_max"]),
         "sufficient_contrast": F.col("contrast") >= t["contrast_min"],
-        "sharp": F.col("sharpness") >= t["sharpness_min"],
+        "sharp_image": F.col("sharpness") >= t["sharpness_min"],
         "sufficient_edges": F.col("edge_density") >= t["edge_density_min"],
         "sufficient_features": F.col("orb_keypoints") >= t["orb_keypoints_min"],
     }

@@ -1,11 +1,14 @@
 """LiDAR points in a camera image: projection, its quality, and regions over time.
 
-Projection is one chain of expressions over literals (or over a broadcast calibration row): no shuffle. Frames
-without any projected point survive by a join with the spine of frames.
+Extrinsics, rectification and projection are linear, so they are folded into one row of four factors for each result:
+on the driver for a single rig, in the small camera table where points name theirs. A point's numbers are then a few
+products, made once a row; per-frame results are one aggregate over all points, so frames without any projected point
+survive without a join.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,41 +20,76 @@ FRAME = ["drive", "frame_idx"]
 BANDS = {"top_sky": (0.0, 0.33), "middle_objects": (0.33, 0.67), "bottom_road": (0.67, 1.0)}
 
 
-def _dot(row: list, *values: Column) -> Column:
-    out = None
-    for a, v in zip(row, values, strict=False):
-        term = (a if isinstance(a, Column) else F.lit(float(a))) * v
-        out = term if out is None else out + term
-    return out
+RESULTS = ("x_rect", "y_rect", "z_rect", "_h0", "_h1", "_h2")
+#: Pixels a side of the tiles by which points meet the boxes of a table.
+TILE = 64
 
 
-def projected(points: DataFrame, calib: Rig | dict[str, list], bounds: tuple[int, int] | None = None) -> DataFrame:
-    """Points with u, v, depth, x_rect, y_rect, z_rect; those in front of the camera (z_rect > 0) and, with ``bounds``
-    (width, height), inside the image. Depth is the rectified z.
+def folded(rig: Rig) -> dict[str, list[float]]:
+    """The factors of x, y, z and 1 in each of RESULTS."""
+    r, rect, p = np.reshape(rig.r, (3, 3)), np.reshape(rig.r_rect, (3, 3)), np.reshape(rig.p_rect, (3, 4))
+    turned = rect @ np.c_[r, rig.t]
+    rows = np.r_[turned, p[:, :3] @ turned + np.c_[np.zeros((3, 3)), p[:, 3]]]
+    return {name: row.tolist() for name, row in zip(RESULTS, rows, strict=True)}
 
-    ``calib``: a rig, or lists of columns r, t, r_rect, p_rect where calibrations were joined to the points.
-    """
-    c = calib if isinstance(calib, dict) else {"r": calib.r, "t": calib.t, "r_rect": calib.r_rect, "p_rect": calib.p_rect}
+
+def folded_columns(cameras: DataFrame, on: str = "date") -> DataFrame:
+    """The camera table with one array of factors for each of RESULTS."""
+    at = lambda c, i: F.element_at(F.col(c), i + 1)
+
+    def times(left, right, n: int) -> Column:
+        terms = [left(k) * right(k) for k in range(n)]
+        return sum(terms[1:], terms[0])
+
+    lifted = cameras.select(on, "p_rect", "width", "height", *(F.array(*(times(lambda k, i=i: at("r_rect", 3 * i + k), lambda k, j=j: at("r", 3 * k + j) if j < 3 else at("t", k), 3) for j in range(4))).alias(RESULTS[i]) for i in range(3)))
+    homogeneous = [F.array(*(times(lambda k, i=i: at("p_rect", 4 * i + k), lambda k, j=j: at(RESULTS[k], j), 3) + (at("p_rect", 4 * i + 3) if j == 3 else F.lit(0.0)) for j in range(4))).alias(RESULTS[3 + i]) for i in range(3)]
+    return lifted.select(on, "width", "height", *RESULTS[:3], *homogeneous)
+
+
+def _placed(points: DataFrame, factors: dict[str, list]) -> DataFrame:
+    """Points with RESULTS."""
     x, y, z = (F.col(a).cast("double") for a in "xyz")
     lift = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-    cam = points.withColumns({f"_c{i}": _dot(c["r"][3 * i : 3 * i + 3], x, y, z) + lift(c["t"][i]) for i in range(3)})
-    cam = cam.withColumns({n: _dot(c["r_rect"][3 * i : 3 * i + 3], *(F.col(f"_c{j}") for j in range(3))) for i, n in enumerate(("x_rect", "y_rect", "z_rect"))})
-    front = cam.where(F.col("z_rect") > 0)
-    rect = [F.col("x_rect"), F.col("y_rect"), F.col("z_rect")]
-    hom = [_dot(c["p_rect"][4 * i : 4 * i + 3], *rect) + lift(c["p_rect"][4 * i + 3]) for i in range(3)]
-    out = front.withColumns({"u": F.try_divide(hom[0], hom[2]), "v": F.try_divide(hom[1], hom[2]), "depth": F.col("z_rect")}).drop("_c0", "_c1", "_c2")
-    if bounds is not None:
-        w, h = bounds
-        out = out.where((F.col("u") >= 0) & (F.col("u") < w) & (F.col("v") >= 0) & (F.col("v") < h))
-    return out
+    return points.withColumns({n: lift(f[0]) * x + lift(f[1]) * y + lift(f[2]) * z + lift(f[3]) for n, f in factors.items()})
+
+
+def _imaged(placed: DataFrame) -> DataFrame:
+    """Adds u, v and depth."""
+    return placed.withColumns({"u": F.try_divide("_h0", "_h2"), "v": F.try_divide("_h1", "_h2"), "depth": F.col("z_rect")}).drop("_h0", "_h1", "_h2")
+
+
+def _within(w, h) -> Column:
+    return (F.col("u") >= 0) & (F.col("u") < w) & (F.col("v") >= 0) & (F.col("v") < h)
+
+
+def projected(points: DataFrame, rig: Rig, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Points with u, v, depth, x_rect, y_rect, z_rect; those in front of the camera (z_rect > 0) and, with ``bounds``
+    (width, height), inside the image. Depth is the rectified z.
+    """
+    out = _imaged(_placed(points, folded(rig)).where(F.col("z_rect") > 0))
+    return out if bounds is None else out.where(_within(*bounds))
 
 
 def projected_by_date(points: DataFrame, cameras: DataFrame, on: str = "date") -> DataFrame:
     """As ``projected``, for points that name their calibration: an equi-join with the small camera table."""
-    joined = points.join(cameras.select(on, "r", "t", "r_rect", "p_rect", "width", "height"), on)
-    cols = {n: [F.col(n)[i] for i in range(k)] for n, k in (("r", 9), ("t", 3), ("r_rect", 9), ("p_rect", 12))}
-    out = projected(joined, cols)
-    return out.where((F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height"))).drop("r", "t", "r_rect", "p_rect")
+    joined = points.join(folded_columns(cameras, on).withColumnsRenamed({n: f"_m{n}" for n in RESULTS}), on)
+    placed = _placed(joined, {n: [F.col(f"_m{n}")[i] for i in range(4)] for n in RESULTS}).drop(*(f"_m{n}" for n in RESULTS))
+    return _imaged(placed.where(F.col("z_rect") > 0)).where(_within(F.col("width"), F.col("height")))
+
+
+def projected_onto_images(points: DataFrame, images: DataFrame, rig: Rig) -> DataFrame:
+    """As ``projected``, inside the image of the point's own frame: an equi-join of points and image sizes on drive and
+    frame number. Points of frames without an image (or with an empty one) are left out."""
+    sizes = images.where((F.col("width") > 0) & (F.col("height") > 0)).select(*FRAME, "camera_id", "width", "height")
+    out = _imaged(_placed(points.join(sizes, FRAME), folded(rig)).where(F.col("z_rect") > 0))
+    return out.where(_within(F.col("width"), F.col("height")))
+
+
+def seen(points: DataFrame, rig: Rig) -> DataFrame:
+    """All points: in_front, and u, v, depth of those inside the rig's image (null for others)."""
+    flat = _imaged(_placed(points.select(*FRAME, "x", "y", "z"), folded(rig))).withColumn("in_front", F.col("z_rect") > 0)
+    flat = flat.withColumn("in_image", F.col("in_front") & _within(rig.width, rig.height))
+    return flat.select(*FRAME, "in_front", *(F.when(F.col("in_image"), F.col(c)).alias(c) for c in ("u", "v", "depth")))
 
 
 def band_edges(height: int) -> dict[str, tuple[int, int]]:
@@ -88,32 +126,33 @@ def projection_quality(points: DataFrame, calib: Rig) -> DataFrame:
     in front of the camera.
     """
     w, h = calib.width, calib.height
-    total = points.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("total_points"))
-    front = projected(points, calib)
-    inside = (F.col("u") >= 0) & (F.col("u") < w) & (F.col("v") >= 0) & (F.col("v") < h)
-    seen = front.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("in_front_count"))
-    stats = front.where(inside).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("points_in_image"), *depth_stats(), *histogram(F.col("depth"), "depth_bin"), *coverage(w, h), *band_stats(h))
-    unknown = {"depth_min", "depth_max", "depth_mean", "depth_median", "depth_std", "depth_p25", "depth_p75"}  # stay null without points
-    out = total.join(seen, FRAME, "left").join(stats, FRAME, "left")
-    out = out.fillna(0, subset=[n for n in out.columns if n not in FRAME and n not in unknown])
+    out = seen(points, calib).groupBy(*FRAME).agg(
+        F.count(F.lit(1)).alias("total_points"),
+        F.count_if("in_front").alias("in_front_count"),
+        F.count("depth").alias("points_in_image"),
+        *depth_stats(),
+        *histogram(F.col("depth"), "depth_bin"),
+        *coverage(w, h),
+        *band_stats(h),
+    )
     rate = F.try_divide(F.col("points_in_image") * 100.0, F.col("total_points"))
     out = out.withColumns({"points_in_camera_fov": F.col("points_in_image"), "fov_rate": rate, "image_rate": rate})
     return out.withColumns(
         {
-            "good_projection_rate": flag(F.col("image_rate") > 60),
+            "sufficient_projection_rate": flag(F.col("image_rate") > 60),
             "good_horizontal_coverage": flag(F.col("horizontal_coverage") > 90),
             "good_vertical_coverage": flag(F.col("vertical_coverage") > 50),
-            "reasonable_depth": flag(F.col("depth_mean") < 30),
+            "balanced_depth_distribution": flag(F.col("depth_mean") < 30),
         }
     )
 
 
-def region_frames(proj: DataFrame, frames: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Per frame of ``frames``: count and depth statistics of the points in the closed box; zeros without points."""
+def region_frames(points: DataFrame, calib: Rig, box: tuple[float, float, float, float]) -> DataFrame:
+    """Per frame: count and depth statistics of the points in the closed box (and in the image); zeros without points."""
     x0, y0, x1, y1 = box
-    inside = proj.where(F.col("u").between(x0, x1) & F.col("v").between(y0, y1))
-    stats = inside.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("point_count"), *(f("depth").alias(f"{n}_depth") for n, f in (("avg", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))))
-    return frames.select(*FRAME).distinct().join(stats, FRAME, "left").fillna(0, subset=["point_count", "avg_depth", "std_depth", "min_depth", "max_depth"])
+    d = F.when(F.col("u").between(x0, x1) & F.col("v").between(y0, y1), F.col("depth"))
+    inside = seen(points, calib).select(*FRAME, d.alias("depth"))
+    return inside.groupBy(*FRAME).agg(F.count("depth").alias("point_count"), *(F.coalesce(f("depth"), F.lit(0.0)).alias(f"{n}_depth") for n, f in (("avg", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))))
 
 
 def region_temporal(regions: DataFrame) -> DataFrame:
@@ -134,9 +173,16 @@ def region_temporal(regions: DataFrame) -> DataFrame:
 
 
 def in_regions(proj: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, frame, count) for a table of boxes (region, x0, y0, x1, y1); the table is small and broadcast."""
+    """(region, frame, count) for a table of boxes (region, x0, y0, x1, y1), which may be of any size.
+
+    Boxes are dealt to the tiles that they touch, so that points meet them by an equi-join; the closed bounds decide.
+    """
+    tile = lambda c: F.floor(c / TILE)
+    span = lambda a, b: F.explode(F.sequence(tile(F.col(a)), tile(F.col(b))))
+    boxes = regions.where("x0 <= x1 and y0 <= y1").select("*", span("x0", "x1").alias("_tx")).select("*", span("y0", "y1").alias("_ty"))
     inside = (F.col("u") >= F.col("x0")) & (F.col("u") <= F.col("x1")) & (F.col("v") >= F.col("y0")) & (F.col("v") <= F.col("y1"))
-    return proj.join(F.broadcast(regions), inside).groupBy(*FRAME, "region").agg(F.count(F.lit(1)).alias("point_count"), F.avg("depth").alias("avg_depth"))
+    placed = proj.withColumns({"_tx": tile(F.col("u")), "_ty": tile(F.col("v"))})
+    return placed.join(boxes, ["_tx", "_ty"]).where(inside).groupBy(*FRAME, "region").agg(F.count(F.lit(1)).alias("point_count"), F.avg("depth").alias("avg_depth"))
 
 
 def with_motion(per_frame: DataFrame, motion: DataFrame) -> DataFrame:
@@ -149,6 +195,10 @@ def normalized_depth(depth: Column, lo: float = 0.0, hi: float = 50.0) -> Column
     return (F.least(F.greatest(depth, F.lit(lo)), F.lit(hi)) - lo) / (hi - lo)
 
 
-def overlay(proj: DataFrame, depth_range: tuple[float, float] = (0.0, 50.0)) -> DataFrame:
-    """The overlay figure's points: u, v, depth and colour value."""
-    return proj.select(*FRAME, "u", "v", "depth", normalized_depth(F.col("depth"), *depth_range).alias("shade"))
+def overlay(proj: DataFrame, depth_range: tuple[float, float] | None = (0.0, 50.0)) -> DataFrame:
+    """The overlay figure's points: u, v, depth and colour value. Without ``depth_range`` each frame has its own."""
+    if depth_range is not None:
+        return proj.select(*FRAME, "u", "v", "depth", normalized_depth(F.col("depth"), *depth_range).alias("shade"))
+    ends = proj.groupBy(*FRAME).agg(F.min("depth").alias("_lo"), F.max("depth").alias("_hi"))
+    shade = F.coalesce(F.try_divide(F.col("depth") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    return proj.join(ends, FRAME).select(*FRAME, "u", "v", "depth", shade.alias("shade"))

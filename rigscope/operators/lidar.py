@@ -119,20 +119,35 @@ def sample_points(points: DataFrame, most: int, key: str = "point_key", multipli
     return points.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= most)
 
 
+def nearest_squares(p: np.ndarray) -> np.ndarray:
+    """Squared distance of each point (of two or more) to its nearest neighbour.
+
+    Points are put in order along the axis of widest spread; each meets those after it, then those before it, until
+    the gap along that axis alone is as wide as its best distance.
+    """
+    p = p[np.argsort(p[:, np.argmax(p.std(axis=0))], kind="stable")]
+    along, n = p[:, np.argmax(p.std(axis=0))], len(p)
+    best = np.full(n, np.inf)
+    for way in (1, -1):
+        live = np.arange(n)
+        for step in range(way, way * n, way):
+            live = live[(live + step >= 0) & (live + step < n)]
+            live = live[(along[live + step] - along[live]) ** 2 < best[live]]
+            if not len(live):
+                break
+            best[live] = np.minimum(best[live], ((p[live + step] - p[live]) ** 2).sum(axis=1))
+    return best
+
+
 def spatial_resolution(points: DataFrame, sample_size: int = 5000, key: str = "point_key") -> DataFrame:
     """Mean distance in centimetres of a frame's sampled points to their nearest neighbours; null for one point.
 
-    A frame's sample is bounded, so one task per frame finds the neighbours block by block.
+    A frame's sample is bounded, so one task per frame finds the neighbours.
     """
 
     def nearest(group: pa.Table) -> pa.Table:
         p = np.stack([group.column(c).to_numpy() for c in "xyz"], axis=1)
-        near = np.full(len(p), np.inf)
-        for a in range(0, len(p), 512):
-            d = ((p[a : a + 512, None, :] - p[None, :, :]) ** 2).sum(axis=2)
-            d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-            near[a : a + 512] = d.min(axis=1, initial=np.inf)
-        value = float(np.sqrt(near).mean() * 100) if len(p) > 1 else None
+        value = float(np.sqrt(nearest_squares(p)).mean() * 100) if len(p) > 1 else None
         return pa.table([group.column("drive")[:1], group.column("frame_idx")[:1], pa.array([len(p)], pa.int64()), pa.array([value], pa.float64())], names=["drive", "frame_idx", "sampled", "spatial_resolution_cm"])
 
     picked = sample_points(points, sample_size, key).select(*FRAME, *(F.col(c).cast("double").alias(c) for c in "xyz"))

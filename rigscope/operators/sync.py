@@ -31,24 +31,25 @@ def completeness(ts: DataFrame) -> DataFrame:
 
 
 def intervals(ts: DataFrame) -> DataFrame:
-    """Adds elapsed_s since the stream's first frame and interval_s to the frame before; null next to missing times."""
+    """Adds elapsed_s since the stream's first frame, and interval_ns and interval_s to the frame before; null next to missing times."""
     w = W.partitionBy(*STREAM).orderBy("frame_idx")
     t = F.col("ts_ns")
-    return ts.withColumns({"elapsed_s": (t - F.first(t).over(w)) / 1e9, "interval_s": (t - F.lag(t).over(w)) / 1e9})
+    apart = t - F.lag(t).over(w)
+    return ts.withColumns({"elapsed_s": (t - F.first(t).over(w)) / 1e9, "interval_ns": apart, "interval_s": apart / 1e9})
 
 
 def frame_rates(ts: DataFrame) -> DataFrame:
-    """Interval statistics (sample deviation, milliseconds) and frame rate of each stream."""
-    i = F.col("interval_s")
-    out = intervals(ts).groupBy(*STREAM).agg(
+    """Interval statistics (sample deviation, milliseconds) and frame rate of each stream, from sums of whole nanoseconds."""
+    i = F.col("interval_ns")
+    whole, n = F.sum(i), F.count(i)
+    return intervals(ts).groupBy(*STREAM).agg(
         F.count("ts_raw").alias("num_frames"),
-        (F.avg(i) * 1000).alias("mean_interval_ms"),
-        (F.stddev_samp(i) * 1000).alias("std_interval_ms"),
-        (F.min(i) * 1000).alias("min_interval_ms"),
-        (F.max(i) * 1000).alias("max_interval_ms"),
-        F.avg(i).alias("mean_s"),
+        F.try_divide(whole, n * 1e6).alias("mean_interval_ms"),
+        (F.stddev_samp(i) / 1e6).alias("std_interval_ms"),
+        (F.min(i) / 1e6).alias("min_interval_ms"),
+        (F.max(i) / 1e6).alias("max_interval_ms"),
+        F.when(whole > 0, n * 1e9 / whole).otherwise(F.lit(0.0)).alias("frame_rate_hz"),
     )
-    return out.withColumn("frame_rate_hz", F.when(F.col("mean_s") > 0, 1 / F.col("mean_s")).otherwise(F.lit(0.0))).drop("mean_s")
 
 
 def synthetic_time(rate_hz: float = 10.0):

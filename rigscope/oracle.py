@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from rigscope.functions.kernels import CIRCLE
 from rigscope.functions.stats import RANGE_EDGES
 from rigscope.operators.fusion import BANDS, band_edges
+from rigscope.operators.gpsimu import PACKET
 from rigscope.operators.lidar import SECTORS
 from rigscope.queries import BOX, DIGITS, FIRST_SENSOR, NUDGE, REFERENCE, RIG
-from rigscope.sources.drives import PACKET
 
 
 def r(e: str, name: str) -> str:
@@ -133,10 +134,108 @@ def lap(n: int, lum: str, source: str, keys: str) -> str:
     sh AS (SELECT {keys}, var_pop(l) AS sharp FROM lp GROUP BY ALL)"""
 
 
-TILE = """i AS (SELECT vec_id // 16 AS frame_idx, vec_id % 16 AS tile, list_transform(embedding, lambda x: greatest(0, least(255, round((x::DOUBLE + 1) * 127.5::DOUBLE)))) AS lum FROM embeddings),
-e AS (SELECT frame_idx, tile, unnest(range(0, 64)) AS k, unnest(lum) AS v FROM i WHERE frame_idx IN (SELECT frame_idx FROM i GROUP BY frame_idx HAVING count(*) = 16)),
+TILE = """i AS (SELECT vec_id // 16 AS frame_idx, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY vec_id // 16) AS n,
+  list_transform(embedding, lambda x: greatest(0, least(255, round((x::DOUBLE + 1) * 127.5::DOUBLE)))) AS lum FROM embeddings),
+tl AS (SELECT i.frame_idx, tile, lum FROM i JOIN (SELECT unnest(range(0, 16)) AS tile) ON tile % n = nth),
+e AS (SELECT frame_idx, tile, unnest(range(0, 64)) AS k, unnest(lum) AS v FROM tl),
 px AS (SELECT CAST(frame_idx AS INTEGER) AS frame_idx, ((tile // 4) * 8 + k // 8) * 32 + (tile % 4) * 8 + k % 8 AS pos, v FROM e),
 im AS (SELECT frame_idx, list(v ORDER BY pos) AS lum FROM px GROUP BY frame_idx)"""
+SIDE = 32
+
+
+def near(values: str, dy: int, dx: int, n: int = SIDE) -> str:
+    """The value of a list next to place k, mirrored at the borders."""
+    return f"{values}[({MIRROR.format(f'(k // {n} + {dy})', n)}) * {n} + ({MIRROR.format(f'(k % {n} + {dx})', n)}) + 1]"
+
+
+def around(values: str, reach: tuple[int, ...]) -> list[str]:
+    return [near(values, dy, dx) for dy in reach for dx in reach]
+
+
+def each(source: str) -> str:
+    return f"(SELECT *, unnest(range(0, {SIDE * SIDE})) AS k FROM {source})"
+
+
+_gx = " + ".join(f"{w} * {near('lum', dy, dx)}" for dy, dx, w in ((-1, 1, 1), (0, 1, 2), (1, 1, 1), (-1, -1, -1), (0, -1, -2), (1, -1, -1)))
+_gy = " + ".join(f"{w} * {near('lum', dy, dx)}" for dy, dx, w in ((1, -1, 1), (1, 0, 2), (1, 1, 1), (-1, -1, -1), (-1, 0, -2), (-1, 1, -1)))
+GRADIENT = f"so AS MATERIALIZED (SELECT frame_idx, k, {_gx} AS gx, {_gy} AS gy FROM {each('im')})"
+PRODUCTS = "pl AS MATERIALIZED (SELECT frame_idx, list(gx * gx ORDER BY k) AS xx, list(gx * gy ORDER BY k) AS xy, list(gy * gy ORDER BY k) AS yy FROM so GROUP BY frame_idx)"
+
+
+def structure(name: str, reach: tuple[int, ...], response: str) -> str:
+    """A response at each pixel from the products' sums over a window, as a list, and its largest value nearby."""
+    sums = ", ".join(f"{' + '.join(around(p, reach))} AS {a}" for p, a in (("xx", "a"), ("xy", "b"), ("yy", "c")))
+    return f"""{name}1 AS MATERIALIZED (SELECT frame_idx, k, {response} AS r FROM (SELECT frame_idx, k, {sums} FROM {each('pl')})),
+    {name}2 AS MATERIALIZED (SELECT frame_idx, list(r ORDER BY k) AS rs, max(r) AS top FROM {name}1 GROUP BY frame_idx),
+    {name} AS (SELECT frame_idx, k, top, rs[k + 1] AS r, greatest({", ".join(around("rs", (-1, 0, 1)))}) AS most FROM {each(f'{name}2')})"""
+
+
+HARRIS = structure("hr", (-1, 0), "a * c - b * b - 0.04::DOUBLE * ((a + c) * (a + c))") + ", harris AS (SELECT frame_idx, count(*) FILTER (WHERE top > 0 AND most > 0.01::DOUBLE * top) AS n FROM hr GROUP BY frame_idx)"
+SHI = (
+    structure("sh", (-1, 0, 1), "(a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b)")
+    + f""", cd AS MATERIALIZED (SELECT frame_idx, k // {SIDE} AS y, k % {SIDE} AS x, row_number() OVER (PARTITION BY frame_idx ORDER BY r DESC, k) AS q FROM sh WHERE r > 0 AND r >= 0.01::DOUBLE * top AND r = most),
+    gr AS (SELECT frame_idx, 0::BIGINT AS q, CAST([] AS STRUCT(y BIGINT, x BIGINT)[]) AS kept FROM im
+      UNION ALL SELECT gr.frame_idx, cd.q, CASE WHEN len(kept) < 1000 AND len(list_filter(kept, lambda p: (p.y - cd.y) * (p.y - cd.y) + (p.x - cd.x) * (p.x - cd.x) < 100)) = 0 THEN list_append(kept, {{'y': cd.y, 'x': cd.x}}) ELSE kept END
+      FROM gr JOIN cd ON cd.frame_idx = gr.frame_idx AND cd.q = gr.q + 1),
+    shi AS (SELECT frame_idx, max(len(kept)) AS n FROM gr GROUP BY frame_idx)"""
+)
+_out = lambda dy, dx: f"CASE WHEN k // {SIDE} + {dy} BETWEEN 0 AND {SIDE - 1} AND k % {SIDE} + {dx} BETWEEN 0 AND {SIDE - 1} THEN ms[k + {dy * SIDE + dx} + 1] ELSE 0 END"
+_flat, _steep = "abs(gy) < abs(gx) * tan(pi() / 8)", "abs(gy) > abs(gx) * tan(3 * pi() / 8)"
+_beside = lambda a, b, c, d: f"CASE WHEN {_flat} THEN {_out(*a)} WHEN {_steep} THEN {_out(*b)} WHEN gx * gy >= 0 THEN {_out(*c)} ELSE {_out(*d)} END"
+CANNY = f"""mg AS MATERIALIZED (SELECT frame_idx, list(abs(gx) + abs(gy) ORDER BY k) AS ms FROM so GROUP BY frame_idx),
+    nb AS (SELECT so.frame_idx, k, ms[k + 1] AS m, {_flat} OR {_steep} AS straight, {_beside((0, -1), (-1, 0), (-1, -1), (-1, 1))} AS f1, {_beside((0, 1), (1, 0), (1, 1), (1, -1))} AS f2 FROM so JOIN mg USING (frame_idx)),
+    pk AS MATERIALIZED (SELECT frame_idx, k // {SIDE} AS y, k % {SIDE} AS x, m FROM nb WHERE m > f1 AND (m > f2 OR straight AND m = f2) AND m > 50),
+    eg AS (SELECT frame_idx, y, x FROM pk WHERE m > 150 UNION SELECT pk.frame_idx, pk.y, pk.x FROM eg JOIN pk ON pk.frame_idx = eg.frame_idx AND abs(pk.y - eg.y) <= 1 AND abs(pk.x - eg.x) <= 1),
+    canny AS (SELECT im.frame_idx, count(eg.y) AS n FROM im LEFT JOIN eg USING (frame_idx) GROUP BY im.frame_idx)"""
+
+
+def pyramid(levels: int = 8, scale: float = 1.2, border: int = 31) -> str:
+    """Corners (frame_idx, level, y, x, oy, ox, inside) at every level of a tile image, and counts at the first and at all.
+
+    The levels' limits of keypoints lie above what images of this size can hold.
+    """
+    rows = []
+    for i in range(levels):
+        n = int(round(SIDE / scale**i))
+        if n >= 7:
+            rows.append(f"({i}, {n}, {scale**i!r}::DOUBLE, {min(border, max(3, n // 8))})")
+    place = lambda c: f"greatest(0, least({SIDE - 1}, ({c} + 0.5::DOUBLE) * f - 0.5::DOUBLE))"
+    ring = ", ".join(f"vs[k + ({dy}) * n + ({dx}) + 1]" for dx, dy in CIRCLE)
+    steps = ", ".join(f"({dy}, {dx})" for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
+    at = lambda y, x: f"lum[{y} * {SIDE} + {x} + 1]"
+    return f"""lv(level, n, f, edge) AS (VALUES {", ".join(rows)}),
+    p1 AS (SELECT frame_idx, lum, level, n, f, edge, k // n AS y, k % n AS x FROM (SELECT im.*, lv.*, unnest(range(0, n * n)) AS k FROM im CROSS JOIN lv)),
+    p2 AS (SELECT *, {place("y")} AS sy, {place("x")} AS sx FROM p1),
+    p3 AS (SELECT *, CAST(least(floor(sy), {SIDE - 2}) AS BIGINT) AS y0, CAST(least(floor(sx), {SIDE - 2}) AS BIGINT) AS x0 FROM p2),
+    p4 AS (SELECT frame_idx, level, n, f, edge, y, x, sy - y0 AS fy, sx - x0 AS fx, {at("y0", "x0")} AS v00, {at("y0", "(x0 + 1)")} AS v01, {at("(y0 + 1)", "x0")} AS v10, {at("(y0 + 1)", "(x0 + 1)")} AS v11 FROM p3),
+    lp AS MATERIALIZED (SELECT frame_idx, level, n, f, edge, list(round_even((v00 * (1 - fx) + v01 * fx) * (1 - fy) + (v10 * (1 - fx) + v11 * fx) * fy, 0) ORDER BY y * n + x) AS vs FROM p4 GROUP BY ALL),
+    rg AS (SELECT frame_idx, level, n, f, edge, k, list_transform([{ring}], lambda v: v - vs[k + 1]) AS d
+      FROM (SELECT *, unnest(range(0, n * n)) AS k FROM lp) WHERE k // n BETWEEN 3 AND n - 4 AND k % n BETWEEN 3 AND n - 4),
+    ar AS (SELECT * EXCLUDE (d), list_concat(d, d[1:8]) AS d FROM rg),
+    sc AS MATERIALIZED (SELECT * FROM (SELECT frame_idx, level, n, f, edge, k // n AS y, k % n AS x,
+        greatest(list_max(list_transform(range(1, 17), lambda i: list_min(d[i:i + 8]))), list_max(list_transform(range(1, 17), lambda i: -list_max(d[i:i + 8])))) AS s FROM ar) WHERE s > 20),
+    ot AS (SELECT frame_idx, level, y + dy AS y, x + dx AS x, max(s) AS m FROM sc CROSS JOIN (VALUES {steps}) o(dy, dx) GROUP BY ALL),
+    kp AS MATERIALIZED (SELECT sc.frame_idx, sc.level, sc.y, sc.x, (sc.y + 0.5::DOUBLE) * f - 0.5::DOUBLE AS oy, (sc.x + 0.5::DOUBLE) * f - 0.5::DOUBLE AS ox, sc.y >= edge AND sc.y < n - edge AND sc.x >= edge AND sc.x < n - edge AS inside
+      FROM sc LEFT JOIN ot ON sc.frame_idx = ot.frame_idx AND sc.level = ot.level AND sc.y = ot.y AND sc.x = ot.x WHERE s > coalesce(m, 0)),
+    fast AS (SELECT im.frame_idx, count(kp.y) FILTER (WHERE level = 0) AS n FROM im LEFT JOIN kp USING (frame_idx) GROUP BY im.frame_idx),
+    orb AS (SELECT im.frame_idx, count(kp.y) FILTER (WHERE inside) AS n FROM im LEFT JOIN kp USING (frame_idx) GROUP BY im.frame_idx)"""
+
+
+ORB = pyramid()
+CAM = "'cam' AS drive, frame_idx"
+DETECTORS = {"harris": "harris.n", "orb": "orb.n", "fast": "fast.n", "shi_tomasi": "shi.n", "canny": "canny.n"}
+ALL_KERNELS = f"WITH RECURSIVE {TILE}, {GRADIENT}, {PRODUCTS}, {HARRIS}, {SHI}, {CANNY}, {ORB}"
+JOINED = "harris JOIN shi USING (frame_idx) JOIN canny USING (frame_idx) JOIN fast USING (frame_idx) JOIN orb USING (frame_idx)"
+LIGHT = f"""li AS (SELECT frame_idx, avg(v) AS m, stddev_pop(v) AS sd, 100.0 * count(*) FILTER (WHERE v > 240) / count(*) AS ov, 100.0 * count(*) FILTER (WHERE v < 15) / count(*) AS un FROM px GROUP BY frame_idx), {lap(SIDE, "lum", "im", "frame_idx").replace("lp AS", "lq AS").replace("FROM lp", "FROM lq").replace("sh AS", "sg AS")}"""
+
+
+def camera_sequence(key: str) -> str:
+    return f"""WITH {TILE}, {ORB}, {LIGHT}, q AS (SELECT count(*) AS num_frames, avg(m) AS ba, stddev_pop(m) AS bd, avg(sharp) AS sa, stddev_pop(sharp) AS sv, avg(100 - ov - un) AS ea, avg(orb.n) AS oa, stddev_pop(orb.n) AS od
+        FROM li JOIN sg USING (frame_idx) JOIN orb USING (frame_idx)),
+      w AS (SELECT *, CASE WHEN ba > 0 THEN bd * 100 / ba ELSE 0 END AS bc, CASE WHEN sa > 0 THEN sv * 100 / sa ELSE 0 END AS sc FROM q)
+      SELECT {key}, num_frames, {r("ba", "brightness_avg")}, {r("bd", "brightness_dev")}, {r("sa", "sharpness_avg")}, {r("sv", "sharpness_dev")}, {r("ea", "exposure_quality_avg")}, {r("oa", "orb_avg")}, {r("od", "orb_dev")}, {r("bc", "brightness_cv")}, {r("sc", "sharpness_cv")},
+             bc < 10 AS consistent_brightness, sc < 20 AS consistent_sharpness, ea > 80 AS good_exposure, oa >= 500 AS sufficient_features FROM w"""
+
 
 CAL = """s AS (SELECT CAST(s_suppkey AS VARCHAR) AS date, s_suppkey, CAST(s_suppkey % 7 AS DOUBLE) AS k FROM supplier)"""
 _d4 = lambda e: f"CAST(CAST(round({e}, 4) AS DECIMAL(20, 4)) AS VARCHAR)"
@@ -151,15 +250,15 @@ SQL: dict[str, str] = {
     "lidar_density": lidar(DENSITY),
     "lidar_flags": lidar(LIDAR_FLAGS),
     "lidar_frame_metrics": lidar(", ".join([DENSITY, RANGE, COORDS, SECTOR, BINS, REFLECT, FOV, LIDAR_FLAGS])),
-    "lidar_spatial_resolution": f"WITH {P}, {resolution(200)} SELECT drive, frame_idx, sampled, {r('cm', 'spatial_resolution_cm')} FROM res",
-    "lidar_sequence": f"""WITH {G}, {resolution(100)}, fm AS (SELECT drive, frame_idx, count(*)::DOUBLE AS n, avg(dist) AS rm, max(azimuth) - min(azimuth) AS hf FROM g GROUP BY ALL),
+    "lidar_spatial_resolution": f"WITH {P}, {resolution(5000)} SELECT drive, frame_idx, sampled, {r('cm', 'spatial_resolution_cm')} FROM res",
+    "lidar_sequence": f"""WITH {G}, {resolution(5000)}, fm AS (SELECT drive, frame_idx, count(*)::DOUBLE AS n, avg(dist) AS rm, max(azimuth) - min(azimuth) AS hf FROM g GROUP BY ALL),
       a AS (SELECT fm.*, cm FROM fm LEFT JOIN res USING (drive, frame_idx))
       SELECT drive, count(*) AS num_frames, {spread("n", "points", "mean", "std", "min", "max")}, {r("stddev_pop(n) * 100 / nullif(avg(n), 0)", "points_cv")}, {spread("rm", "range", "mean", "std")},
              {r("stddev_pop(cm) * 100 / nullif(avg(cm), 0)", "resolution_cv")}, avg(n) > 50000 AS sufficient_density, coalesce(stddev_pop(n) * 100 / nullif(avg(n), 0) < 5, false) AS consistent_points,
              coalesce(stddev_pop(cm) * 100 / nullif(avg(cm), 0) < 20, false) AS consistent_resolution, bool_and(hf > 355) AS full_coverage FROM a GROUP BY drive""",
     "lidar_frame_sample": f"""WITH {P}, ids AS (SELECT DISTINCT drive, frame_idx FROM p), ch AS (SELECT drive, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY (frame_idx::BIGINT * 2654435761) % 4294967296, frame_idx) AS q FROM ids) WHERE q <= 5)
       SELECT drive, frame_idx, count(*) AS num_points FROM p JOIN ch USING (drive, frame_idx) GROUP BY ALL""",
-    "lidar_point_sample": f"WITH {P}, {resolution(150)} SELECT drive, frame_idx, point_key, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')}, {r('reflectance', 'reflectance')}, CAST(sample_rank AS INTEGER) AS sample_rank FROM s",
+    "lidar_point_sample": f"WITH {P}, {resolution(15000)} SELECT drive, frame_idx, point_key, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')}, {r('reflectance', 'reflectance')}, CAST(sample_rank AS INTEGER) AS sample_rank FROM s",
     "lidar_sector_plot": f"WITH {G}, c AS (SELECT drive, frame_idx, count(*) AS num_points, {SECTOR} FROM g GROUP BY ALL) "
     + " UNION ALL ".join(f"SELECT drive, frame_idx, '{n}' AS sector, sector_{n} AS points, {r(f'100.0 * sector_{n} / num_points', 'pct')} FROM c" for n in SECTORS),
     "ts_elapsed": f"WITH {T} SELECT drive, sensor, frame_idx, {r(f'(ns - first_value(ns) {ROW}) / 1e9', 'elapsed_s')} FROM t",
@@ -167,9 +266,9 @@ SQL: dict[str, str] = {
     "ts_aligned": f"""WITH {T}, n AS (SELECT drive, max(frame_idx) AS last FROM t GROUP BY drive), sp AS (SELECT drive, sensor, CAST(unnest(range(0, last + 1)) AS INTEGER) AS frame_idx FROM (SELECT DISTINCT drive, sensor FROM t) JOIN n USING (drive))
       SELECT drive, frame_idx, count(*) AS sensors, count(ns) AS present FROM sp LEFT JOIN t USING (drive, sensor, frame_idx) GROUP BY ALL""",
     "ts_completeness": f"WITH {T}, {MISSING} SELECT drive, sensor, CAST(frames AS BIGINT) AS frames, CAST(missing AS BIGINT) AS missing FROM m",
-    "ts_frame_rates": f"""WITH {T}, iv AS (SELECT drive, sensor, (ns - lag(ns) {ROW}) / 1e9 AS i FROM t)
-      SELECT drive, sensor, count(*) AS num_frames, {r("avg(i) * 1000", "mean_interval_ms")}, {r("stddev_samp(i) * 1000", "std_interval_ms")}, {r("min(i) * 1000", "min_interval_ms")}, {r("max(i) * 1000", "max_interval_ms")},
-             {r("CASE WHEN avg(i) > 0 THEN 1 / avg(i) ELSE 0 END", "frame_rate_hz")} FROM iv GROUP BY ALL""",
+    "ts_frame_rates": f"""WITH {T}, iv AS (SELECT drive, sensor, ns - lag(ns) {ROW} AS i FROM t)
+      SELECT drive, sensor, count(*) AS num_frames, {r("sum(i)::DOUBLE / (count(i) * 1e6)", "mean_interval_ms")}, {r("stddev_samp(i) / 1e6", "std_interval_ms")}, {r("min(i) / 1e6", "min_interval_ms")}, {r("max(i) / 1e6", "max_interval_ms")},
+             {r("CASE WHEN sum(i) > 0 THEN count(i) * 1e9 / sum(i)::DOUBLE ELSE 0 END", "frame_rate_hz")} FROM iv GROUP BY ALL""",
     "ts_offsets": f"WITH {T}, {OFF} SELECT drive, sensor, frame_idx, {r('off', 'offset_ms')} FROM o",
     "ts_offset_stats": f"WITH {T}, {OFF}, {OSTAT} SELECT drive, sensor, {r('mean_o', 'mean_offset_ms')}, {r('std_o', 'std_offset_ms')}, {r('drift', 'drift_ms')} FROM os",
     "ts_jitter_grade": f"{SYNC} SELECT drive, missing_total, {r('jit', 'max_jitter_ms')}, {r('dr', 'max_drift_ms')}, grade, complete FROM q",
@@ -205,14 +304,21 @@ SQL: dict[str, str] = {
       UNION ALL SELECT date, 'empty', '', NULL FROM s""",
     "calib_matrices": f"""WITH {CAL} SELECT date, k + 720.5 AS fx, k + 720.5 AS fy, 609.5593::DOUBLE AS cx, 172.854::DOUBLE AS cy, 1242 AS width, 375 AS height, {r("sqrt(k / 8 * k / 8 + 0.08 * 0.08 + 0.27 * 0.27)", "t_norm")},
       0.0::DOUBLE AS m0, k / 8 AS m3, 0.0::DOUBLE AS m5, -0.08::DOUBLE AS m7, 1.0::DOUBLE AS m8, -0.27::DOUBLE AS m11, 1.0::DOUBLE AS m15 FROM s""".replace("k / 8 AS m3", r("k / 8", "m3")),
-    "calib_missing": "SELECT CAST(s_suppkey AS VARCHAR) AS date, 'calib_imu.txt' AS file FROM supplier WHERE s_suppkey % 2 = 0",
+    "calib_missing": "SELECT CAST(s_suppkey AS VARCHAR) AS date, 'calib_imu_to_velo.txt' AS file FROM supplier WHERE s_nationkey % 2 <> 0",
+    "calib_missing_full": "SELECT CAST(s_suppkey AS VARCHAR) AS date, 'calib_imu.txt' AS file FROM supplier",
+    "calib_imu": f"""WITH {CAL} SELECT date, {r("sqrt(0.8125::DOUBLE * 0.8125 + k / 4 * k / 4 + 0.75 * 0.75)", "imu_t_norm")}, 1.0::DOUBLE AS m0, -0.8125::DOUBLE AS m3, 1.0::DOUBLE AS m5, k / 4 AS m7, 1.0::DOUBLE AS m10, -0.75::DOUBLE AS m11, 1.0::DOUBLE AS m15
+      FROM s JOIN supplier USING (s_suppkey) WHERE s_nationkey % 2 = 0""",
+    "calib_transforms": f"""WITH {CAL} SELECT date, {r("k / 8", "lidar_x")}, -1.0::DOUBLE AS lidar_r01, CASE WHEN s_nationkey % 2 = 0 THEN -0.8125::DOUBLE END AS imu_x, CASE WHEN s_nationkey % 2 = 0 THEN k / 4 END AS imu_y, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE END AS imu_r00,
+      k + 701.5 AS k11, -0.5::DOUBLE AS d4, k + 720.5 AS p00, 1242 AS width, 375 AS height FROM s JOIN supplier USING (s_suppkey)""",
+    "calib_summary": f"""WITH {CAL} SELECT date, 1242 AS width, 375 AS height, k + 720.5 AS fx, k + 720.5 AS fy, 609.5593::DOUBLE AS cx, 172.854::DOUBLE AS cy, {r("sqrt(k / 8 * k / 8 + 0.08 * 0.08 + 0.27 * 0.27)", "lidar_to_camera_m")},
+      CASE WHEN s_nationkey % 2 = 0 THEN {r("sqrt(0.8125::DOUBLE * 0.8125 + k / 4 * k / 4 + 0.75 * 0.75)", "x").removesuffix(" AS x")} END AS imu_to_lidar_m FROM s JOIN supplier USING (s_suppkey)""",
     "proj_points": f"WITH {PROJ} SELECT drive, frame_idx, point_key, {r('u', 'u')}, {r('v', 'v')}, {r('depth', 'depth')} FROM j",
     "proj_by_date": f"""WITH {P}, {CAL}, c AS (SELECT date, -y + k / 8 AS cx, -z - 0.08::DOUBLE AS cy, x - 0.27::DOUBLE AS cz, k + 720.5 AS fl FROM p JOIN s ON s.date = CAST(point_key % 10 AS VARCHAR)),
       q AS (SELECT date, (fl * cx + 609.5593::DOUBLE * cz + 44.85728::DOUBLE) / (cz + 0.002745884::DOUBLE) AS u, (fl * cy + 172.854::DOUBLE * cz + 0.2163791::DOUBLE) / (cz + 0.002745884::DOUBLE) AS v, cz AS depth FROM c WHERE cz > 0)
       SELECT date, count(*) AS n, {r("avg(u)", "u_mean")}, {r("avg(v)", "v_mean")}, {r("avg(depth)", "depth_mean")} FROM q WHERE u >= 0 AND u < {W} AND v >= 0 AND v < {H} GROUP BY date""",
     "proj_quality": quality(
         f"total_points, nf AS in_front_count, count(u) AS points_in_image, count(u) AS points_in_camera_fov, {r(RATE, 'fov_rate')}, {r(RATE, 'image_rate')}, {spread('depth', 'depth', 'min', 'max', 'mean', 'median', 'std', 'p25', 'p75')}, "
-        f"{RATE} > 60 AS good_projection_rate, {COV[0]} > 90 AS good_horizontal_coverage, {COV[1]} > 50 AS good_vertical_coverage, coalesce(avg(depth) < 30, false) AS reasonable_depth"
+        f"{RATE} > 60 AS sufficient_projection_rate, {COV[0]} > 90 AS good_horizontal_coverage, {COV[1]} > 50 AS good_vertical_coverage, coalesce(avg(depth) < 30, false) AS balanced_depth_distribution"
     ),
     "proj_depth_hist": quality(bins("depth", "depth_bin")),
     "proj_coverage": quality(f"{r(COV[0], 'horizontal_coverage')}, {r(COV[1], 'vertical_coverage')}"),
@@ -223,20 +329,71 @@ SQL: dict[str, str] = {
       SELECT drive, num_frames, {r("cm", "count_mean")}, {r("cs", "count_std")}, count_min, count_max, {r("dm", "depth_mean")}, {r("ds", "depth_std")}, {r("cc", "count_cv")}, {r("dc", "depth_cv")}, cc < 20 AS consistent_count, dc < 10 AS stable_depth, count_min > 0 AS always_visible FROM w""",
     "region_grid": f"""WITH {PROJ} SELECT drive, frame_idx, n_name AS region, count(*) AS point_count, {r("avg(depth)", "avg_depth")} FROM j JOIN nation ON u >= n_nationkey * 50 AND u <= n_nationkey * 50 + 60 AND v >= 50 AND v <= 320 GROUP BY ALL""",
     "fusion_motion_join": f"""WITH {REGION}, {O.replace("o AS (", "oo AS (", 1).replace("FROM o WINDOW", "FROM oo WINDOW")}
-      SELECT rg.drive, rg.frame_idx, rg.n AS point_count, {r("s2 * 3.6::DOUBLE", "speed_kmh")}, {r("degrees(yaw)", "yaw_deg")} FROM rg LEFT JOIN f ON rg.drive = 'drive_' || f.drive AND f.drive IN ('0', '1', '2') AND rg.frame_idx = f.frame_idx""",
+      SELECT rg.drive, rg.frame_idx, rg.n AS point_count, {r("s2 * 3.6::DOUBLE", "speed_kmh")}, {r("degrees(yaw)", "yaw_deg")} FROM rg LEFT JOIN f ON rg.drive = 'drive_' || f.drive AND rg.frame_idx = f.frame_idx""",
     "fusion_overlay": f"WITH {PROJ} SELECT drive, frame_idx, count(*) AS n, {spread('(least(greatest(depth, 0), 50) / 50)', 'shade', 'min', 'max', 'mean')} FROM j GROUP BY ALL",
+    "fusion_overlay_frames": f"WITH {PROJ}, mm AS (SELECT drive, frame_idx, min(depth) AS lo, max(depth) AS hi FROM j GROUP BY ALL) SELECT drive, frame_idx, count(*) AS n, {spread('coalesce((depth - lo) / nullif(hi - lo, 0), 0)', 'shade', 'min', 'max', 'mean')} FROM j JOIN mm USING (drive, frame_idx) GROUP BY ALL",
+    "fusion_image_join": f"""WITH {PROJ}, sz AS (SELECT 'drive_' || CAST(vec_id % 3 AS VARCHAR) AS drive, CAST(vec_id AS INTEGER) AS frame_idx, CAST(1000 + label * 50 AS INTEGER) AS width FROM embeddings WHERE vec_id % 10 <> 7)
+      SELECT drive, frame_idx, 'image_02' AS camera_id, width, count(*) AS n, {spread('u', 'u', 'max', 'mean')}, {spread('depth', 'depth', 'mean')} FROM fr JOIN sz USING (drive, frame_idx) WHERE u >= 0 AND u < width AND v >= 0 AND v < 375 GROUP BY ALL""",
     "cam_brightness": f"WITH {I} SELECT drive, frame_idx, {spread('v', 'brightness', 'min', 'max', 'mean', 'std', 'median')}, {r('stddev_pop(v)', 'contrast')}, {r('max(v) - min(v)', 'dynamic_range')} FROM px GROUP BY ALL",
     "cam_exposure": f"WITH {I}, {EXPO} SELECT drive, frame_idx, {r('over', 'overexposed_pct')}, {r('under', 'underexposed_pct')}, {r('100 - over - under', 'exposure_quality')} FROM ex",
     "cam_sharpness": f"WITH {I}, {lap(8, 'lum', 'i', 'drive, frame_idx')} SELECT drive, frame_idx, {r('sharp', 'sharpness')} FROM sh",
     "cam_lum_hist": f"WITH {I} SELECT drive, frame_idx, CAST(least(floor(v / 5.1::DOUBLE), 49) AS INTEGER) AS bin, count(*) AS n FROM px WHERE v BETWEEN 0 AND 255 GROUP BY ALL",
     "cam_kernel_brightness": f"WITH {TILE} SELECT frame_idx, {spread('v', 'brightness', 'min', 'max', 'mean', 'std', 'median')}, {r('100.0 * count(*) FILTER (WHERE v > 240) / count(*)', 'overexposed_pct')}, {r('100.0 * count(*) FILTER (WHERE v < 15) / count(*)', 'underexposed_pct')} FROM px GROUP BY frame_idx",
     "cam_kernel_sharpness": f"WITH {TILE}, {lap(32, 'lum', 'im', 'frame_idx')} SELECT frame_idx, {r('sharp', 'sharpness')} FROM sh",
-    "cam_sequence": f"""WITH {I}, {EXPO}, {lap(8, "lum", "i", "drive, frame_idx")}, b AS (SELECT drive, frame_idx, avg(v) AS m FROM px GROUP BY ALL),
-      q AS (SELECT drive, count(*) AS num_frames, avg(m) AS ba, stddev_pop(m) AS bd, avg(sharp) AS sa, stddev_pop(sharp) AS sd, avg(100 - over - under) AS ea FROM b JOIN ex USING (drive, frame_idx) JOIN sh USING (drive, frame_idx) GROUP BY drive),
-      w AS (SELECT *, CASE WHEN ba > 0 THEN bd * 100 / ba ELSE 0 END AS bc, CASE WHEN sa > 0 THEN sd * 100 / sa ELSE 0 END AS sc FROM q)
-      SELECT drive, num_frames, {r("ba", "brightness_avg")}, {r("bd", "brightness_dev")}, {r("sa", "sharpness_avg")}, {r("sd", "sharpness_dev")}, {r("ea", "exposure_quality_avg")}, 0.0::DOUBLE AS orb_avg, 0.0::DOUBLE AS orb_dev, {r("bc", "brightness_cv")}, {r("sc", "sharpness_cv")},
-             bc < 10 AS consistent_brightness, sc < 20 AS consistent_sharpness, ea > 80 AS good_exposure, false AS sufficient_features FROM w""",
-    "run_summary": """WITH c AS (SELECT 'timestamps' AS source, count(DISTINCT user_id // 10) AS n FROM events UNION ALL SELECT 'lidar', count(DISTINCT l_orderkey // 1000) FROM lineitem
-      UNION ALL SELECT 'fusion', count(DISTINCT l_orderkey // 1000) FROM lineitem UNION ALL SELECT 'gps_imu', count(DISTINCT user_id) FROM events)
-      SELECT source, '{"source":"' || source || '","n":' || CAST(n AS VARCHAR) || '}' AS report FROM c""",
+    "cam_canny": f"WITH RECURSIVE {TILE}, {GRADIENT}, {CANNY} SELECT {CAM}, n AS edge_pixels, {r('100.0 * n / 1024', 'edge_density')} FROM canny",
+    "cam_harris": f"WITH {TILE}, {GRADIENT}, {PRODUCTS}, {HARRIS} SELECT {CAM}, n AS harris_corners FROM harris",
+    "cam_shi_tomasi": f"WITH RECURSIVE {TILE}, {GRADIENT}, {PRODUCTS}, {SHI} SELECT {CAM}, n AS shi_tomasi_corners FROM shi",
+    "cam_fast": f"WITH {TILE}, {ORB} SELECT {CAM}, n AS fast_keypoints FROM fast",
+    "cam_orb": f"WITH {TILE}, {ORB} SELECT {CAM}, n AS orb_keypoints FROM orb",
+    "cam_features": f"{ALL_KERNELS} SELECT {CAM}, canny.n AS edge_pixels, {r('100.0 * canny.n / 1024', 'edge_density')}, harris.n AS harris_corners, fast.n AS fast_keypoints, shi.n AS shi_tomasi_corners, orb.n AS orb_keypoints FROM {JOINED}",
+    "cam_method_plot": f"{ALL_KERNELS}, one AS MATERIALIZED (SELECT frame_idx, {', '.join(f'{n} AS {m}_n' for m, n in DETECTORS.items())} FROM {JOINED}) " + " UNION ALL ".join(f"SELECT {CAM}, '{m}' AS method, {m}_n AS n FROM one" for m in DETECTORS),
+    "cam_feature_strips": f"""WITH {TILE}, {ORB}, st AS (SELECT frame_idx, unnest(range(0, 5)) AS strip FROM im), ct AS (SELECT frame_idx, least(CAST(floor(oy) AS BIGINT) // 6, 4) AS strip, count(*) AS m FROM kp WHERE inside GROUP BY ALL)
+      SELECT 'cam' AS drive, st.frame_idx, CAST(st.strip AS INTEGER) AS strip, coalesce(m, 0) AS n, {r("coalesce(100.0 * m / nullif(orb.n, 0), 0)", "pct")} FROM st JOIN orb USING (frame_idx) LEFT JOIN ct ON ct.frame_idx = st.frame_idx AND ct.strip = st.strip""",
+    "cam_keypoint_grid": f"""WITH {TILE}, {ORB}, q AS (SELECT frame_idx, ox, oy, min(ox) OVER w AS x0, max(ox) OVER w AS x1, min(oy) OVER w AS y0, max(oy) OVER w AS y1 FROM kp WHERE inside WINDOW w AS (PARTITION BY frame_idx)),
+      c AS (SELECT frame_idx, CAST(least(coalesce(floor((ox - x0) * 50 / nullif(x1 - x0, 0)), 25), 49) AS INTEGER) AS gx, CAST(least(coalesce(floor((oy - y0) * 15 / nullif(y1 - y0, 0)), 7), 14) AS INTEGER) AS gy FROM q)
+      SELECT {CAM}, gx, gy, count(*) AS n FROM c GROUP BY ALL""",
+    "cam_flags": f"""WITH RECURSIVE {TILE}, {GRADIENT}, {CANNY}, {ORB}, {LIGHT}, q AS (SELECT frame_idx, ov < 5 AND un < 10 AS good_exposure, sd >= 30 AS sufficient_contrast, sharp >= 100 AS sharp_image, 100.0 * canny.n / 1024 >= 2 AS sufficient_edges, orb.n >= 500 AS sufficient_features
+        FROM li JOIN sg USING (frame_idx) JOIN canny USING (frame_idx) JOIN orb USING (frame_idx))
+      SELECT 'cam' AS drive, *, CASE WHEN good_exposure AND sufficient_contrast AND sharp_image AND sufficient_edges AND sufficient_features THEN 'GOOD' ELSE 'CHECK' END AS verdict FROM q""",
+    "cam_sequence": camera_sequence("'cam' AS drive"),
+    "cam_sequence_full": camera_sequence("'image_00' AS camera_id"),
 }
+SQL |= {
+    "lidar_spatial_resolution_full": SQL["lidar_spatial_resolution"],  # frames here hold fewer points than either sample
+    "lidar_sequence_full": SQL["lidar_sequence"],
+    "lidar_point_sample_full": SQL["lidar_point_sample"],
+}
+_RANGES = {"latitude": "lat", "longitude": "lon", "altitude": "alt"}
+_MOTION = ", ".join(
+    [
+        f"count(*) AS num_frames, {r('max_by(timestamp, frame_idx) - min_by(timestamp, frame_idx)', 'duration_sec')}, {r('coalesce(sum(seg), 0)', 'total_distance_m')}, {r('max(sqrt(east * east + north * north))', 'max_displacement_m')}, {r('max(alt) - min(alt)', 'altitude_change_m')}",
+        *(spread(e, n, "min", "max") for n, e in _RANGES.items()),
+        spread("s2", "speed_ms", "min", "max", "mean", "std"),
+        spread("(s2 * 3.6::DOUBLE)", "speed_kmh", "min", "max", "mean"),
+        *(spread(f"degrees({a})", a, "min", "max", "range") for a in ("roll", "pitch", "yaw")),
+        *(spread(a, a, "min", "max", "mean", "std") for a in ("ax", "ay", "az")),
+        r("max(degrees(yaw)) - min(degrees(yaw))", "heading_change_deg"),
+    ]
+)
+_GPS = f"SELECT m.*, q.* EXCLUDE (drive, verdict) FROM ({drive(_MOTION)}) m JOIN ({SQL['oxts_flags']}) q USING (drive)"
+_FUSION = quality(
+    f"total_points, nf AS in_front_count, count(u) AS points_in_image, count(u) AS points_in_camera_fov, {r(RATE, 'fov_rate')}, {r(RATE, 'image_rate')}, {spread('depth', 'depth', 'min', 'max', 'mean', 'median', 'std', 'p25', 'p75')}, {bins('depth', 'depth_bin')}, "
+    f"{r(COV[0], 'horizontal_coverage')}, {r(COV[1], 'vertical_coverage')}, {_bands()}, {RATE} > 60 AS sufficient_projection_rate, {COV[0]} > 90 AS good_horizontal_coverage, {COV[1]} > 50 AS good_vertical_coverage, coalesce(avg(depth) < 30, false) AS balanced_depth_distribution"
+)
+
+
+def digest(source: str, sql: str, *left_out: str) -> str:
+    """(source, metric, n, mean, least, most) of the columns of a query."""
+    return f"""SELECT '{source}' AS source, metric, count(value) AS n, {r("avg(value)", "mean")}, {r("min(value)", "least")}, {r("max(value)", "most")}
+      FROM (SELECT CAST(COLUMNS(* EXCLUDE ({", ".join(left_out)})) AS DOUBLE) FROM ({sql})) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(*))) GROUP BY metric"""
+
+
+SQL["run_summary"] = " UNION ALL ".join(
+    [
+        digest("timestamps", SQL["ts_jitter_grade"], "drive", "grade"),
+        digest("lidar", SQL["lidar_frame_metrics"], "drive", "frame_idx"),
+        digest("fusion", _FUSION, "drive", "frame_idx"),
+        digest("gps_imu", _GPS, "drive"),
+        digest("camera", SQL["cam_sequence"], "drive"),
+    ]
+)

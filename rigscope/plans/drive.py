@@ -49,13 +49,13 @@ def analyse(spark: SparkSession, base_path: str, drive: str, output_dir: str = "
     packets = drives.oxts(spark, root).withColumn("timestamp", sync.synthetic_time())
     report("gps_imu_analysis", gpsimu.verdict(gpsimu.sequence_metrics(packets)))
 
-    calib = calibration.parsed(drives.calibration_lines(spark, base)).where(F.col("file") != "calib_imu_to_velo.txt")
+    calib = calibration.parsed(drives.calibration_lines(spark, base))
     report("calibration", calibration.transforms(calib, camera_id[-2:]))
     rig = calibration.rig(calib, base.rsplit("/", 1)[-1], camera_id[-2:])
 
     fused = lidar.picked_frames(points, [i for i in fusion_frames if i in set(ids)])
     report("fusion_analysis", fusion.projection_quality(fused, rig))
-    regions = fusion.region_frames(fusion.projected(fused, rig, (rig.width, rig.height)), fused, REGION)
+    regions = fusion.region_frames(fused, rig, REGION)
     report("region_temporal_analysis", fusion.region_temporal(regions))
 
     summary = spark.createDataFrame([(drive, time.strftime("%Y-%m-%d %H:%M:%S"), len(ids), chosen)], "drive string, analysed_at string, lidar_frames bigint, sampled array<int>")

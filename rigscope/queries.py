@@ -72,20 +72,20 @@ def lidar_frame_metrics(spark, d):
 
 @query
 def lidar_spatial_resolution(spark, d):
-    return lidar.spatial_resolution(ad.lidar_points(spark, d), sample_size=200)
+    return lidar.spatial_resolution(ad.lidar_points(spark, d))
 
 
 @query
 def lidar_spatial_resolution_full(spark, d):
-    """The same with the operator's own sample, which takes in whole frames here; without SQL."""
-    return lidar.spatial_resolution(ad.lidar_points(spark, d))
+    """The same with a sample of twice the size."""
+    return lidar.spatial_resolution(ad.lidar_points(spark, d), sample_size=10_000)
 
 
 @query
 def lidar_sequence(spark, d):
     p = ad.lidar_points(spark, d)
     frames = lidar.aggregate(p, lidar.density(), lidar.range_stats(), lidar.field_of_view())
-    return lidar.sequence_metrics(frames.join(lidar.spatial_resolution(p, sample_size=100), FRAME, "left"))
+    return lidar.sequence_metrics(frames.join(lidar.spatial_resolution(p), FRAME, "left"))
 
 
 @query
@@ -100,13 +100,13 @@ def lidar_frame_sample(spark, d):
 
 @query
 def lidar_point_sample(spark, d):
-    return lidar.sample_points(ad.lidar_points(spark, d), 150).select(*FRAME, "point_key", "x", "y", "z", "reflectance", "sample_rank")
+    return lidar.sample_points(ad.lidar_points(spark, d), 15_000).select(*FRAME, "point_key", "x", "y", "z", "reflectance", "sample_rank")
 
 
 @query
 def lidar_point_sample_full(spark, d):
-    """The plot's own sample size."""
-    return lidar.sample_points(ad.lidar_points(spark, d), 15_000).select(*FRAME, "point_key", "x", "y", "z", "reflectance", "sample_rank")
+    """The sample of the sequence's plot."""
+    return lidar.sample_points(ad.lidar_points(spark, d), 5_000).select(*FRAME, "point_key", "x", "y", "z", "reflectance", "sample_rank")
 
 
 @query
@@ -245,16 +245,47 @@ def calib_matrices(spark, d):
 
 @query
 def calib_missing(spark, d):
-    lines = ad.calibration_lines(spark, d)
-    return calibration.missing_files(lines.where(F.col("date") % 2 == 0).select("date", "file"), ("calib.txt", "calib_imu.txt"))
+    return calibration.missing_files(ad.calibration_files(spark, d).select("date", "file"), drives.CALIBRATION_FILES)
 
 
 @query
 def calib_missing_full(spark, d):
-    """Every rig; the SQL of calib_missing takes every other one."""
+    """Of one-file rigs, each lacks the other."""
     return calibration.missing_files(ad.calibration_lines(spark, d).select("date", "file"), ("calib.txt", "calib_imu.txt"))
 
 
+@query
+def calib_imu(spark, d):
+    c = calibration.imu_to_lidar(calibration.parsed(ad.calibration_files(spark, d)))
+    flat = F.flatten(F.col("imu_4x4"))
+    return c.select("date", "imu_t_norm", *(flat[i].alias(f"m{i}") for i in (0, 3, 5, 7, 10, 11, 15)))
+
+
+@query
+def calib_transforms(spark, d):
+    t = calibration.transforms(calibration.parsed(ad.calibration_files(spark, d))).select("date", "transforms.*")
+    at = lambda name, i, j, to: F.col(name)[i][j].alias(to)
+    return t.select(
+        "date",
+        at("lidar_to_camera.matrix", 0, 3, "lidar_x"),
+        at("lidar_to_camera.matrix", 0, 1, "lidar_r01"),
+        at("imu_to_lidar.matrix", 0, 3, "imu_x"),
+        at("imu_to_lidar.matrix", 1, 3, "imu_y"),
+        at("imu_to_lidar.rotation", 0, 0, "imu_r00"),
+        at("camera.k", 1, 1, "k11"),
+        F.col("camera.d")[4].alias("d4"),
+        at("camera.p_rect", 0, 0, "p00"),
+        "camera.image_size.width",
+        "camera.image_size.height",
+    )
+
+
+@query
+def calib_summary(spark, d):
+    c = calibration.summary(calibration.parsed(ad.calibration_files(spark, d)))
+    return c.select("date", "width", "height", "fx", "fy", "cx", "cy", "lidar_to_camera_m", "imu_to_lidar_m")
+
+
 def _projected(spark, d) -> DataFrame:
     return fusion.projected(ad.lidar_points(spark, d), RIG, (RIG.width, RIG.height))
 
@@ -277,7 +308,7 @@ def _quality(spark, d, *columns: str) -> DataFrame:
 
 @query
 def proj_quality(spark, d):
-    return _quality(spark, d, "total_points", "in_front_count", "points_in_image", "points_in_camera_fov", "fov_rate", "image_rate", *(f"depth_{k}" for k in ("min", "max", "mean", "median", "std", "p25", "p75")), "good_projection_rate", "good_horizontal_coverage", "good_vertical_coverage", "reasonable_depth")
+    return _quality(spark, d, "total_points", "in_front_count", "points_in_image", "points_in_camera_fov", "fov_rate", "image_rate", *(f"depth_{k}" for k in ("min", "max", "mean", "median", "std", "p25", "p75")), "sufficient_projection_rate", "good_horizontal_coverage", "good_vertical_coverage", "balanced_depth_distribution")
 
 
 @query
@@ -297,12 +328,12 @@ def proj_bands(spark, d):
 
 @query
 def region_frame(spark, d):
-    return fusion.region_frames(_projected(spark, d), ad.lidar_points(spark, d), BOX)
+    return fusion.region_frames(ad.lidar_points(spark, d), RIG, BOX)
 
 
 @query
 def region_temporal(spark, d):
-    return fusion.region_temporal(fusion.region_frames(_projected(spark, d), ad.lidar_points(spark, d), BOX))
+    return fusion.region_temporal(fusion.region_frames(ad.lidar_points(spark, d), RIG, BOX))
 
 
 @query
@@ -314,7 +345,7 @@ def region_grid(spark, d):
 
 @query
 def fusion_motion_join(spark, d):
-    regions = fusion.region_frames(_projected(spark, d), ad.lidar_points(spark, d), BOX)
+    regions = fusion.region_frames(ad.lidar_points(spark, d), RIG, BOX)
     motion = gpsimu.frame_metrics(ad.oxts(spark, d)).withColumn("drive", F.concat(F.lit("drive_"), "drive"))
     return fusion.with_motion(regions.select(*FRAME, "point_count"), motion)
 
@@ -324,6 +355,19 @@ def fusion_overlay(spark, d):
     return fusion.overlay(_projected(spark, d)).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), *spread(F.col("shade"), "shade", "min", "max", "mean"))
 
 
+@query
+def fusion_image_join(spark, d):
+    """Points inside the image of their own frame, by frame."""
+    p = fusion.projected_onto_images(ad.lidar_points(spark, d), ad.image_sizes(spark, d), RIG)
+    return p.groupBy(*FRAME, "camera_id", "width").agg(F.count(F.lit(1)).alias("n"), *spread(F.col("u"), "u", "max", "mean"), *spread(F.col("depth"), "depth", "mean"))
+
+
+@query
+def fusion_overlay_frames(spark, d):
+    """Colour values by each frame's own depths."""
+    return fusion.overlay(_projected(spark, d), None).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), *spread(F.col("shade"), "shade", "min", "max", "mean"))
+
+
 @query
 def cam_brightness(spark, d):
     return camera.brightness(ad.luminance_images(spark, d))
@@ -344,21 +388,22 @@ def cam_lum_hist(spark, d):
     return camera.luminance_histogram(ad.luminance_images(spark, d))
 
 
-def _frames(spark, d) -> DataFrame:
+def _frames(spark, d, *which: str) -> DataFrame:
     """Kernel metrics of gray images tiled from vectors."""
     images = ad.tiled_images(spark, d)
-    return camera.frame_metrics(images.withColumn("data", F.expr("unhex(array_join(transform(values, v -> lpad(hex(v), 2, '0')), ''))")))
+    with_bytes = images.withColumn("data", F.expr("unhex(array_join(transform(values, v -> lpad(hex(v), 2, '0')), ''))"))
+    return camera.frame_metrics(with_bytes, which=which or camera.KERNELS)
 
 
 @query
 def cam_kernel_brightness(spark, d):
     """What the kernel says of luminance, against SQL."""
-    return _frames(spark, d).select("frame_idx", "brightness_min", "brightness_max", "brightness_mean", "brightness_std", "brightness_median", "overexposed_pct", "underexposed_pct")
+    return _frames(spark, d, "light").select("frame_idx", "brightness_min", "brightness_max", "brightness_mean", "brightness_std", "brightness_median", "overexposed_pct", "underexposed_pct")
 
 
 @query
 def cam_kernel_sharpness(spark, d):
-    return _frames(spark, d).select("frame_idx", "sharpness")
+    return _frames(spark, d, "light").select("frame_idx", "sharpness")
 
 
 @query
@@ -368,37 +413,37 @@ def cam_features(spark, d):
 
 @query
 def cam_canny(spark, d):
-    return _frames(spark, d).select(*FRAME, "edge_pixels", "edge_density")
+    return _frames(spark, d, "edges").select(*FRAME, "edge_pixels", "edge_density")
 
 
 @query
 def cam_harris(spark, d):
-    return _frames(spark, d).select(*FRAME, "harris_corners")
+    return _frames(spark, d, "harris").select(*FRAME, "harris_corners")
 
 
 @query
 def cam_fast(spark, d):
-    return _frames(spark, d).select(*FRAME, "fast_keypoints")
+    return _frames(spark, d, "fast").select(*FRAME, "fast_keypoints")
 
 
 @query
 def cam_shi_tomasi(spark, d):
-    return _frames(spark, d).select(*FRAME, "shi_tomasi_corners")
+    return _frames(spark, d, "shi_tomasi").select(*FRAME, "shi_tomasi_corners")
 
 
 @query
 def cam_orb(spark, d):
-    return _frames(spark, d).select(*FRAME, "orb_keypoints")
+    return _frames(spark, d, "orb").select(*FRAME, "orb_keypoints")
 
 
 @query
 def cam_feature_strips(spark, d):
-    return camera.strip_plot(_frames(spark, d))
+    return camera.strip_plot(_frames(spark, d, "orb"))
 
 
 @query
 def cam_keypoint_grid(spark, d):
-    return camera.keypoint_grid(_frames(spark, d))
+    return camera.keypoint_grid(_frames(spark, d, "orb"))
 
 
 @query
@@ -408,39 +453,37 @@ def cam_method_plot(spark, d):
 
 @query
 def cam_flags(spark, d):
-    return _frames(spark, d).select(*FRAME, "good_exposure", "sufficient_contrast", "sharp", "sufficient_edges", "sufficient_features", "verdict")
+    return _frames(spark, d, "light", "edges", "orb").select(*FRAME, "good_exposure", "sufficient_contrast", "sharp_image", "sufficient_edges", "sufficient_features", "verdict")
 
 
 @query
 def cam_sequence(spark, d):
-    images = ad.luminance_images(spark, d)
-    frames = camera.brightness(images).join(camera.exposure(images), FRAME).join(camera.sharpness(images), FRAME)
-    return camera.sequence_metrics(frames.withColumn("orb_keypoints", F.lit(0)))
+    return camera.sequence_metrics(_frames(spark, d, "light", "orb"))
 
 
 @query
 def cam_sequence_full(spark, d):
-    """With the keypoint detector's counts, which SQL can't give."""
-    return camera.sequence_metrics(_frames(spark, d))
+    """The same by camera instead of drive."""
+    return camera.sequence_metrics(_frames(spark, d, "light", "orb"), by="camera_id")
+
+
+def _parts(spark, d) -> dict[str, DataFrame]:
+    """The analyses of every source, images too."""
+    images = ad.tiled_images(spark, d).withColumn("data", F.expr("unhex(array_join(transform(values, v -> lpad(hex(v), 2, '0')), ''))"))
+    parts = report.run_summary(ad.sensor_ts(spark, d), ad.lidar_points(spark, d), ad.oxts(spark, d), images, RIG, REFERENCE)
+    return {name: rounded(df, DIGITS, NUDGE) for name, df in sorted(parts.items())}
 
 
 @query
 def run_summary(spark, d):
-    """A row a source: its frames, as JSON text of one struct."""
-    parts = report.run_summary(ad.sensor_ts(spark, d), ad.lidar_points(spark, d), ad.oxts(spark, d), rig=RIG, reference=REFERENCE)
-    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), "n") for name, df in sorted(parts.items())]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("source", F.to_json(F.struct("source", "n")).alias("report"))
+    """A row a source and metric: known values, mean, least and most over the source's frames or drives."""
+    return report.digest(_parts(spark, d))
 
 
 @query
 def run_summary_full(spark, d):
-    """A row a frame or drive of each source, all its metrics as JSON text; images are a source too."""
-    images = ad.tiled_images(spark, d).withColumn("data", F.expr("unhex(array_join(transform(values, v -> lpad(hex(v), 2, '0')), ''))"))
-    parts = report.run_summary(ad.sensor_ts(spark, d), ad.lidar_points(spark, d), ad.oxts(spark, d), images, RIG, REFERENCE)
-    rows = [report.as_json(rounded(df, DIGITS, NUDGE)).select(F.lit(name).alias("source"), "report") for name, df in sorted(parts.items())]
+    """A row a frame or drive of each source, all its metrics as JSON text."""
+    rows = [report.as_json(df).select(F.lit(name).alias("source"), "report") for name, df in _parts(spark, d).items()]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigscope.operators.camera import CAMERAS
-from rigscope.operators.gpsimu import OPTIONAL
+from rigscope.operators.gpsimu import OPTIONAL, PACKET
 
 LIST_UP_TO = 10_000
-# Positions of the fields in a packet of 30 numbers.
-PACKET = {"lat": 0, "lon": 1, "alt": 2, "roll": 3, "pitch": 4, "yaw": 5, "vn": 6, "ve": 7, "vf": 8, "vl": 9, "vu": 10, "ax": 11, "ay": 12, "az": 13, "af": 14, "al": 15, "au": 16, "wx": 17, "wy": 18, "wz": 19, "pos_accuracy": 23, "vel_accuracy": 24, "num_sats": 26}
 # Sensor folders and names.
 SENSORS = {"image_00": "gray_left", "image_01": "gray_right", "image_02": "color_left", "image_03": "color_right", "velodyne_points": "lidar", "oxts": "gps_imu"}
 CALIBRATION_FILES = ("calib_cam_to_cam.txt", "calib_velo_to_cam.txt", "calib_imu_to_velo.txt")

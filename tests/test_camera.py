@@ -61,7 +61,23 @@ def test_gray_and_kernel_frames(spark):
     got = {r["frame_idx"]: r for r in camera.frame_metrics(df, bgr=True).collect()}
     lum = img @ np.array([0.299, 0.587, 0.114])
     assert got[0]["brightness_mean"] == pytest.approx(lum.mean()) and got[0]["sharpness"] == pytest.approx(kn.laplacian(kn.gray(img)).var())
-    assert got[1]["brightness_max"] == img[..., 0].max() and got[2]["sharpness"] is None and not got[2]["sharp"] and got[2]["verdict"] == "CHECK"
+    assert got[1]["brightness_max"] == img[..., 0].max() and got[2]["sharpness"] is None and not got[2]["sharp_image"] and got[2]["verdict"] == "CHECK"
+    some = camera.frame_metrics(df, bgr=True, which=("fast",)).where("frame_idx = 0").first()
+    assert some["fast_keypoints"] == got[0]["fast_keypoints"] and some["sharpness"] is None
+    with pytest.raises(Exception, match="gray or colour"):
+        camera.frame_metrics(df.withColumn("height", df["height"] + 1)).collect()
     s = camera.sequence_metrics(camera.frame_metrics(df, bgr=True)).first()
     assert s["num_frames"] == 3 and not s["sufficient_features"]
     assert camera.keypoint_grid(camera.frame_metrics(df)).count() >= 0
+
+
+def test_shi_tomasi_keeps_its_distance():
+    img = np.random.default_rng(8).integers(0, 255, (60, 80)).astype(np.uint8)
+    a, b, c = kn._structure(img, 3)
+    e = (a + c) / 2 - np.sqrt(((a - c) / 2) ** 2 + b * b)
+    peaks = sorted((-e[y, x], y, x) for y in range(60) for x in range(80) if e[y, x] >= 0.01 * e.max() and e[y, x] == e[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].max())
+    kept = []
+    for _, y, x in peaks:
+        if all((y - q[0]) ** 2 + (x - q[1]) ** 2 >= 100 for q in kept):
+            kept.append((y, x))
+    assert [(int(y), int(x)) for y, x, _ in kn.shi_tomasi(img)] == kept and len(kept) > 10

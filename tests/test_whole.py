@@ -46,9 +46,11 @@ def test_camera_sequence_counts_keypoints(spark):
 
 
 def test_missing_files_of_every_rig(spark):
-    rigs = {str(r["s_suppkey"]) for r in ad.table(spark, SF, "supplier").collect()}
+    rigs = {str(r["s_suppkey"]): r["s_nationkey"] for r in ad.table(spark, SF, "supplier").collect()}
     got = {(r["date"], r["file"]) for r in queries.QUERIES["calib_missing_full"](spark, SF).collect()}
     assert got == {(d, "calib_imu.txt") for d in rigs} and any(int(d) % 2 for d in rigs)
+    got = {(r["date"], r["file"]) for r in queries.QUERIES["calib_missing"](spark, SF).collect()}
+    assert got == {(d, "calib_imu_to_velo.txt") for d, n in rigs.items() if n % 2}
 
 
 def test_motion_of_every_user(spark):
@@ -61,7 +63,7 @@ def test_summary_holds_the_metrics(spark):
     for r in queries.QUERIES["run_summary_full"](spark, SF).collect():
         got.setdefault(r["source"], []).append(json.loads(r["report"]))
     assert got.keys() == {"timestamps", "lidar", "fusion", "gps_imu", "camera"}
-    for source, query in (("lidar", "lidar_frame_metrics"), ("timestamps", "ts_jitter_grade"), ("camera", "cam_sequence_full")):
+    for source, query in (("lidar", "lidar_frame_metrics"), ("timestamps", "ts_jitter_grade"), ("camera", "cam_sequence")):
         want = [r.asDict(recursive=True) for r in queries.QUERIES[query](spark, SF).collect()]
         key = lambda x: (x["drive"], x.get("frame_idx", 0))
         assert sorted(got[source], key=key) == sorted(want, key=key)
