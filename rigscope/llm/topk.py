@@ -1,33 +1,42 @@
 """Operator 2: exact top-k inner products by aggregation of sorted lists without random access.
 
-Each component of the candidates is a list sorted by value, read from the end that a query's sign favours. After
-reading all lists of a block of candidates to some depth, the entries seen give each candidate a lower bound (the
-rest at the far end of their lists) and an upper bound (the rest at the last value read). A query stops when only
-few candidates can still qualify, as every other one's upper bound lies below the k-th lower bound; the scores of
-those few are then resolved, so they are exact. Depths double until then; at full depth both bounds are the score.
+In a block of candidates each component is a list sorted by value. A query reads all lists in step, from the top where
+its own component is positive and from the bottom where it is negative, so that what a list gives never rises. Each
+candidate has a partial sum of the entries read, a lower bound (entries to come at their list's far end) and an upper
+bound (at the last value read). The threshold is the k-th best of the lower bounds, or of the scores that earlier
+blocks of the same task gave. Candidates whose upper bounds lie below it are outsiders and are dropped; reading goes on
+for the others alone until all their entries are read, which resolves their scores. No list is ever looked up at a
+candidate's place. Bounds, partial sums and what is read are matrices (query x candidate, candidate x component).
 
-Reading a list of component d to the value t from the top means max(x_d, t) in the upper bound, so the bounds of
-a block of queries against a block of candidates are products of matrices: the positive parts of the queries
-against lists read from the top, the negative parts against lists read from the bottom.
+Queries are a fiftieth of the rows and grow with them: they are dealt to blocks of at most about ``QUERIES_A_BLOCK``
+vectors, and a block at a time is broadcast. Candidates are read in place, never shuffled; each task keeps k scores a
+query, and only these are shuffled.
 
-Blocks are cells of a grid (candidate block x query block): every task holds one cell of bounded size, whatever
-the number of rows, and gives k rows a query. Equal vectors are spread over blocks by their ids.
+How deep lists are read depends on the data: with a few large components a query stops after a few per cent; with 64
+alike and independent ones (as in the test tables) it reads about half before most candidates are dropped.
 
 Cases: null vectors and such with null, NaN or infinite components take no part; vectors meet only vectors of
-their length; rows that repeat an id and its vector count once; ties go to the smaller id; fewer candidates than k
-give fewer rows; an empty table gives none; other columns are ignored.
+their length; rows of a query's id are its own; further rows of one id and vector, or of one id and score, count once;
+ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives none; other columns are
+ignored. Sums too large for exact doubles are computed with Python's integers.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CANDIDATES_A_BLOCK = 8_192
-QUERIES_A_BLOCK = 512
+from rigscope.llm.common import written
+
+CANDIDATES_A_BLOCK = 4_096
+QUERIES_A_BLOCK = 20_000
+QUERIES_AT_ONCE = 256
+STEPS = 16
 
 
 def exact_type(q: np.ndarray, x: np.ndarray) -> np.dtype:
@@ -36,73 +45,142 @@ def exact_type(q: np.ndarray, x: np.ndarray) -> np.dtype:
     return np.dtype(np.float32) if most < 2**24 else np.dtype(np.float64) if most < 2**53 else np.dtype(object)
 
 
-def top_of_block(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best in the block; ids are ascending in ``x_ids``."""
-    kind = exact_type(q, x)
-    m = len(x)
-    if kind == object:
-        q, x = q.astype(object), x.astype(object)
-    else:
-        q, x = q.astype(kind), x.astype(kind)
-    own = q_ids[:, None] == x_ids[None, :]
-    few = 8 * k + m // 64
-    lists = np.sort(x, axis=0)
-    low, high = lists[0], lists[-1]
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    rest, out = np.arange(len(q)), []
-    depth = max(k, m // 8)
-    while len(rest):
-        depth = min(2 * depth, m)
-        top, bottom = lists[m - depth], lists[depth - 1]
-        p, n = plus[rest], minus[rest]
-        # lower bounds: what is seen, and the far end of the list for what isn't
-        lower = p @ np.where(x >= top, x, low).T + n @ np.where(x <= bottom, x, high).T
-        upper = p @ np.maximum(x, top).T + n @ np.minimum(x, bottom).T
-        lower[own[rest]] = -np.inf if kind != object else -(1 << 200)
-        kth = np.partition(lower, max(0, m - k), axis=1)[:, max(0, m - k)] if kind != object else np.sort(lower, axis=1)[:, max(0, m - k)]
-        open_ = (upper >= kth[:, None]) & ~own[rest]
-        done = (open_.sum(axis=1) <= few) | (depth == m)
+def kth(values: np.ndarray, k: int, lowest) -> np.ndarray:
+    """The k-th largest of each row; ``lowest`` where there are fewer."""
+    n = values.shape[1]
+    if n < k:
+        return np.full(len(values), lowest, values.dtype)
+    return np.sort(values, axis=1)[:, n - k] if values.dtype == object else np.partition(values, n - k, axis=1)[:, n - k]
+
+
+class Best:
+    """The k best (score, id) that each query has met."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.rows = k, [[] for _ in range(queries)]
+
+    def add(self, i: int, scores: list, ids: list) -> None:
+        self.rows[i] = sorted({*self.rows[i], *((-int(s), c) for s, c in zip(scores, ids, strict=True))})[: self.k]
+
+    def least(self, i: int, lowest):
+        return -self.rows[i][-1][0] if len(self.rows[i]) == self.k else lowest
+
+
+def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, best: Best, first: int = 0) -> tuple[int, int]:
+    """Reads the lists of a block (distinct rows ``x``) for some queries and tells ``best`` what qualifies.
+
+    Returns the depth that the queries reached in sum, and the number of entries read for candidates not yet dropped.
+    """
+    kind, (m, d), k = exact_type(q, x), x.shape, best.k
+    q, x = q.astype(kind), x.astype(kind)
+    lowest = -(1 << 200) if kind == object else kind.type(-np.inf)
+    order = np.argsort(x, axis=0, kind="stable")
+    lists, rank = np.take_along_axis(x, order, axis=0), np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(m)[:, None], axis=0)
+    weight = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+    ends = np.concatenate([lists[0], lists[-1]])
+    live, open_columns = np.arange(len(q)), np.arange(m)
+    threshold = np.array([best.least(first + i, lowest) for i in range(len(q))], dtype=kind)
+    sums, depth, depths, entries = np.zeros((len(q), m), kind), 0, 0, 0
+    step = max(1, -(-m // STEPS))
+    while len(live) and len(open_columns):
+        before, depth = depth, min(depth + step, m)
+        r, values = rank[open_columns], x[open_columns]
+        from_top, from_bottom = r >= m - depth, r < depth
+        new = np.concatenate([from_top & (r < m - before), from_bottom & (r >= before)], axis=1)
+        to_come = ~np.concatenate([from_top, from_bottom], axis=1)
+        w = weight[live]
+        sums = sums + w @ np.where(new, np.concatenate([values, values], axis=1), 0).T
+        rest = to_come.T.astype(kind)
+        own = q_ids[live][:, None] == x_ids[open_columns][None, :]
+        lower = np.where(own, lowest, sums + (w * ends) @ rest)
+        upper = sums + (w * np.concatenate([lists[m - depth], lists[depth - 1]])) @ rest
+        depths, entries = depths + len(live) * (depth - before), entries + len(live) * int(new.sum()) // 2
+        threshold[live] = np.maximum(threshold[live], kth(lower, k, lowest))
+        qualifies = (upper >= threshold[live][:, None]) & ~own
+        settled = ~(to_come[:, :d] & (weight[live] > 0).any(axis=0)[None, :d] | to_come[:, d:] & (weight[live] < 0).any(axis=0)[None, d:]).any(axis=1)
+        done = ~(qualifies & ~settled[None, :]).any(axis=1)
         for i in np.flatnonzero(done):
-            c = np.flatnonzero(open_[i])
-            score = x[c] @ q[rest[i]]
-            best = np.lexsort((x_ids[c], -score))[:k]
-            out.append((np.full(len(best), rest[i]), c[best], score[best]))
-        rest = rest[~done]
-    a, b, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
-    return a.astype(np.int64), b.astype(np.int64), np.array([int(v) for v in s], np.int64)
-
-
-def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v array<bigint>): floor(scale * component) of each usable vector, once per (id, vector)."""
-    e = F.col(f"`{embedding}`").cast("array<double>")
-    sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.where(F.col(f"`{embedding}`").isNotNull() & sound & F.col(f"`{vec_id}`").isNotNull())
-    return rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x * scale)).alias("v")).dropDuplicates(["vec_id", "v"])
+            c = np.flatnonzero(qualifies[i])
+            best.add(first + live[i], sums[i, c].tolist(), x_ids[open_columns[c]].tolist())
+        keep = (qualifies & ~done[:, None]).any(axis=0)
+        live, open_columns, sums = live[~done], open_columns[keep], sums[~done][:, keep]
+    return depths, entries
+
+
+def usable(ids: pa.Array, vectors: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: ids and rows floor(scale * component), of the rows that take part."""
+    ids, vectors = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (ids, vectors))
+    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    n = len(vectors)
+    if not n:
+        return {}
+    length = np.where(np.asarray(vectors.is_valid()), np.asarray(vectors.value_lengths().fill_null(0)), -1)
+    length = np.where(np.asarray(ids.is_valid()), length, -1)
+    flat = vectors.flatten()  # leaves null rows out
+    values = np.floor(flat.cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)  # null components are NaN
+    at = np.cumsum(np.maximum(np.asarray(vectors.value_lengths().fill_null(0)), 0)) - np.maximum(length, 0)
+    numbers = ids.fill_null(0).to_numpy()
+    for size in np.unique(length[length > 0]):
+        rows = np.flatnonzero(length == size)
+        v = values[at[rows][:, None] + np.arange(size)[None, :]]
+        sound = np.isfinite(v).all(axis=1)
+        out.setdefault(int(size), []).append((numbers[rows[sound]], v[sound]))
+    return {size: (np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])) for size, parts in out.items()}
+
+
+def whole(v: np.ndarray) -> np.ndarray:
+    """Whole numbers that doubles can't all hold exactly in sums, as Python's integers."""
+    return v if float(np.abs(v).max(initial=0)) < 2**53 else np.array([[int(c) for c in row] for row in v], dtype=object).reshape(v.shape)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k best of all other rows."""
-    v = quantized(vectors, scale=scale).withColumn("dim", F.size("v"))
-    n = v.count()
-    blocks, query_blocks = max(1, -(-n // CANDIDATES_A_BLOCK)), max(1, -(-n // (every * QUERIES_A_BLOCK)))
-    spread = F.xxhash64("vec_id")
-    cells = max(blocks * query_blocks, 1)
-    candidates = v.withColumn("cb", F.pmod(spread, F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = v.where(F.col("vec_id") % every == 0).withColumn("qb", F.pmod(F.xxhash64(spread), F.lit(query_blocks)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64()] * 3
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        dim = left.column("dim")[0].as_py()
-        flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, dim)
-        q, x = flat(left), flat(right)
-        q_ids, x_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        order = np.argsort(x_ids, kind="stable")
-        x, x_ids = x[order], x_ids[order]
-        a, b, s = top_of_block(q, x, q_ids, x_ids, k)
-        return pa.table([pa.array(q_ids[a]), pa.array(x_ids[b]), pa.array(s)], names=names)
-
-    found = queries.repartition(cells, "dim", "cb", "qb").groupBy("dim", "cb", "qb").cogroup(candidates.repartition(cells, "dim", "cb", "qb").groupBy("dim", "cb", "qb")).applyInArrow(cell, "query_id long, vec_id long, score long")
+    rows = vectors.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").alias("embedding"))
+    queries = rows.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull())
+    n = queries.count()
+    blocks = max(1, -(-n // QUERIES_A_BLOCK))
+    dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "topk-queries")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = []
+    for b in range(blocks):
+        table = dealt.where(F.col("block") == b).select("vec_id", "embedding").orderBy("vec_id").toArrow()  # a block: of bounded size
+        shared = vectors.sparkSession.sparkContext.broadcast(usable(table.column(0), table.column(1), scale))
+        near = rows.mapInArrow(_reader(shared, k, scale), "query_id long, vec_id long, score long")
+        ranked = near.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+        found.append(written(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk-found"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _reader(shared, k: int, scale: int):
+    """For mapInArrow: the k best of the partition's rows for each query of the block."""
+
+    def read(batches):
+        asked = shared.value
+        best = {size: Best(len(ids), k) for size, (ids, _) in asked.items()}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {size: [] for size in asked}
+
+        def block(size: int) -> None:
+            parts, waiting[size] = waiting[size], []
+            ids, x = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+            _, one = np.unique(np.c_[ids.astype(np.float64), x], axis=0, return_index=True) if len(np.unique(ids)) < len(ids) else (None, np.arange(len(ids)))
+            ids, x = ids[one], whole(x[one])
+            q_ids, q = asked[size]
+            for a in range(0, len(q_ids), QUERIES_AT_ONCE):
+                search(whole(q[a : a + QUERIES_AT_ONCE]), q_ids[a : a + QUERIES_AT_ONCE], x, ids, best[size], a)
+
+        for batch in batches:
+            for size, (ids, v) in usable(batch.column(0), batch.column(1), scale).items():
+                if size in asked:
+                    for a in range(0, len(ids), CANDIDATES_A_BLOCK):
+                        waiting[size].append((ids[a : a + CANDIDATES_A_BLOCK], v[a : a + CANDIDATES_A_BLOCK]))
+                        if sum(len(i) for i, _ in waiting[size]) >= CANDIDATES_A_BLOCK:
+                            block(size)
+        for size, parts in waiting.items():
+            if parts:
+                block(size)
+        out = [(int(q), c, -s) for size, b in best.items() for q, row in zip(asked[size][0], b.rows, strict=True) for s, c in row]
+        for a in range(0, max(len(out), 1), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[a : a + 10_000]], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+
+    return read

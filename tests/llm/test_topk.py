@@ -37,12 +37,51 @@ def test_odd_rows(spark):
     assert run(spark, [(0, [1.0])]) == []
 
 
+def searched(q, x, k, blocks=1):
+    best = topk.Best(len(q), k)
+    stats = np.zeros(2)
+    for rows in np.array_split(np.arange(len(x)), blocks):
+        stats += topk.search(q, -1 - np.arange(len(q)), x[rows], rows, best)
+    return [[(c, -s) for s, c in row] for row in best.rows], stats
+
+
+def product(q, x, k):
+    return [[(j, -n) for n, j in sorted((-int(a.astype(object) @ b.astype(object)), j) for j, b in enumerate(x))[:k]] for a in q]
+
+
 def test_large_components_stay_exact():
     g = np.random.default_rng(1)
-    for scale in (2**20, 2**40):
+    for scale in (2**10, 2**20, 2**40):
         q, x = g.integers(-scale, scale, (3, 8)), g.integers(-scale, scale, (50, 8))
-        a, b, s = topk.top_of_block(q, x, np.array([-1, -2, -3]), np.arange(50), 4) if scale < 2**30 else topk.top_of_block(q[:1] // 2**12, x // 2**12, np.array([-1]), np.arange(50), 4)
-        qq, xx = (q, x) if scale < 2**30 else (q[:1] // 2**12, x // 2**12)
-        for i in range(len(qq)):
-            want = sorted((-int(qq[i].astype(object) @ xx[j].astype(object)), j) for j in range(50))[:4]
-            assert [(-int(v), int(j)) for j, v in zip(b[a == i], s[a == i], strict=True)] == want
+        q, x = (q.astype(object), x.astype(object)) if scale > 2**30 else (q, x)
+        assert searched(q, x, 4)[0] == product(q, x, 4)
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_reading_stops_early_on_skewed_lists(blocks):
+    """A few large components decide: most entries are never read; with alike components about half are."""
+    g = np.random.default_rng(2)
+    m, d = 2000, 32
+    skewed = np.floor(g.normal(0, 10, (m, d)) * np.r_[np.full(2, 100), np.full(d - 2, 0.3)]).astype(np.int64)
+    alike = np.floor(g.normal(0, 30, (m, d))).astype(np.int64)
+    share = {}
+    for name, x in (("skewed", skewed), ("alike", alike)):
+        q = x[:20]
+        got, (depths, entries) = searched(q, x, 5, blocks)
+        assert got == product(q, x, 5)
+        share[name] = entries / (len(q) * m * d)
+    assert share["skewed"] < 0.25 and share["alike"] <= 1 and share["skewed"] < share["alike"] / 2
+
+
+def test_repeated_rows_do_not_crowd_out_others(spark):
+    rows = [(5, [1.0, 0.0])] + [(7, [1.0, 0.1])] * 12 + [(i, [0.5 - i / 1000, 0.0]) for i in range(11, 20)]
+    want = sorted((-int(256 * (256 * 1)), 7) if i == 7 else (-int(256 * np.floor(256 * np.float32(v[0]).astype(float))), i) for i, v in {i: v for i, v in rows if i != 5}.items())[:5]
+    got = [r for r in run(spark, rows) if r[0] == 5]
+    assert [(-r[3], r[2]) for r in got] == want
+
+
+def test_own_rows_and_lengths(spark):
+    rows = [(0, [1.0, 1.0]), (0, [3.0, 3.0]), (1, [1.0, 2.0]), (2, [1.0]), (5, [2.0]), (3, [])]
+    got = run(spark, rows)
+    assert {(r[0], r[2]) for r in got} == {(0, 1), (5, 2)}
+    assert [r[3] for r in got if r[0] == 0] == [3 * 3 * 256 * 256, 3 * 256 * 256]
