@@ -1,25 +1,30 @@
-"""Operator 9: benchmark decontamination by a prefix-filtered join. DataFrame functions only.
+"""Operator 9: benchmark decontamination by a prefix-filtered set join. DataFrame functions only.
 
-An item's windows are its runs of ``window`` words (a shorter item is one window). A window occurs in a document
-only if all its words do, one after another; so of a window's words, ordered by how rare they are in the
-documents, the first is a sufficient prefix: a document without it at the right place can't hold the window.
+Texts are sequences of words, their sets those of shingles (``SHINGLE`` words; an item of fewer words is one shingle).
+An item's windows are its runs of ``window`` words (a shorter item is one window). A window occurs in a document only
+if all its shingles do, in place. So of a window's shingles, ordered by how rare they are in the documents, a prefix
+of one is necessary and enough to find every occurrence; the rest is verification.
 
-1. The words of the items are counted over all documents; each window's rarest word (ties: the word, then its
-   first place) anchors it. Windows next to each other mostly share an anchor.
-2. The documents' words are joined with the anchors. A hit lays an item along a document at one offset; length and
-   positional bounds drop windows that would stick out.
-3. Documents with hits are read again, and the windows are compared word by word at those places alone.
+1. The items' shingles are counted over all documents. Each window's rarest one (ties: the hash, then the first place)
+   anchors it; windows next to each other mostly share an anchor. Windows whose rarest shingle occurs nowhere go.
+2. The documents' shingles are joined with the anchors. A match lays the anchor's windows along the document at one
+   offset; length and positional bounds drop those that would stick out, and the others are compared with the
+   document's words at that place, word by word, in the same pass: neither texts nor words are shuffled.
+3. Occurrences are few and short (item, first and last word); they alone are grouped by document.
 
-What is broadcast (the items' words and anchors) is measured first; beyond ``BROADCAST_ROWS`` the same joins shuffle.
-The join of documents with their hits always does, as the hits grow with the documents.
+The anchors carry the words of their windows. They are measured, in rows and bytes, and broadcast in as many blocks as
+keep within bounds, with a pass over the documents for each. The items' shingles are broadcast within the same bounds;
+beyond, their join with the documents' shingles is a shuffled one.
 
 Cases: a null text has no words; items without an id or without words are none; repeated items count once; rows
-of equal id and text get equal results, each its own; other columns are ignored; empty tables give no rows or no
-hits.
+of equal id and text get equal results, each its own, and are grouped once; other columns are ignored; empty tables
+give no rows or no hits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,75 +32,109 @@ from rigscope.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 500_000
-#: No word holds this character; the row of a document that carries its number of words has it as its word.
-END = "\u0001"
+SHINGLE = 5
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Joined as a shingle, at the place after the last word, this stands for the document itself.
+ITSELF = 1 << 40
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), "")
+
+
+def shingles(rows: DataFrame, w: str, sizes: list[int], itself: bool = False) -> DataFrame:
+    """``rows`` by place: columns at and sh, for every run of each of the sizes in the words of column ``w``.
+
+    Without lambdas, so that words stay in one piece of generated code and are never copied by place. With ``itself``
+    the place after the last word is ITSELF.
+    """
+    of = lambda n: F.xxhash64(F.lit(n), *(F.get(F.col(w), F.col("at") + i) for i in range(n)))
+    inside = [F.when(F.col("at") + n <= F.size(w), of(n)) for n in sizes]
+    if itself:
+        inside[0] = F.when(F.col("at") == F.size(w), F.lit(ITSELF)).otherwise(inside[0])
+    placed = rows.select("*", F.posexplode(F.concat(F.col(w), F.array(F.lit(""))) if itself else F.col(w)).alias("at", "_word")).drop("_word")
+    sh = inside[0] if len(inside) == 1 else F.explode(F.array(*inside))
+    return placed.select("*", sh.alias("sh")).where(F.col("sh").isNotNull())
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast if it has few enough rows; else left to a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def blocks(df: DataFrame) -> int:
+    """In how many blocks a table can be broadcast, each within bounds of rows and bytes on average."""
+    rows, weight = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return max(1, -(-rows // BROADCAST_ROWS), -(-weight // BROADCAST_BYTES))
 
 
 def item_windows(items: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
-    """(item, item_id, words, starts, length) of each distinct item with words; item is its key."""
+    """(item, item_id, iw, length, k) of each distinct item with words: its key, words, length of windows and of shingles."""
     w = items.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), words(F.col(f"`{text}`").cast("string")).alias("iw")).where(F.col("item_id").isNotNull() & (F.size("iw") > 0)).distinct()
-    n = F.size("iw")
-    return w.select(F.xxhash64("item_id", "iw").alias("item"), "item_id", "iw", F.least(n, F.lit(window)).alias("length"), F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))).alias("starts"))
+    length = F.least(F.size("iw"), F.lit(window))
+    return w.select(F.xxhash64("item_id", "iw").alias("item"), "item_id", "iw", length.alias("length"), F.least(length, F.lit(SHINGLE)).alias("k"))
+
+
+def item_shingles(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(item, at, sh) of the items' shingles, each item's of its own size."""
+    parts = [shingles(windows.where(F.col("k") == n).select("item", "iw"), "iw", [n]).select("item", "at", "sh") for n in sizes]
+    return reduce(DataFrame.unionByName, parts)
+
 
+def anchors(windows: DataFrame, own: DataFrame, counts: DataFrame) -> DataFrame:
+    """(sh, item_id, length, place, first, starts, context): each anchor's place in its item, and the windows that it
+    anchors, whose words are ``context`` from the item's word ``first`` on."""
+    known = own.join(counts, "sh", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    span = windows.select("item", (F.col("length") - F.col("k")).alias("more"), (F.size("iw") - F.col("length")).alias("last"))
+    # a shingle lies in the windows that start at most ``more`` words before it
+    in_windows = known.join(span, "item").select("item", "at", "sh", "n", F.explode(F.sequence(F.greatest(F.col("at") - F.col("more"), F.lit(0)), F.least(F.col("at"), F.col("last")))).alias("start"))
+    rarest = in_windows.groupBy("item", "start").agg(F.min(F.struct("n", "sh", "at")).alias("r")).where("r.n > 0")
+    kept = rarest.groupBy("item", F.col("r.sh").alias("sh"), F.col("r.at").alias("place")).agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    first, last = F.element_at("starts", 1), F.element_at("starts", -1)
+    return kept.join(windows, "item").select("sh", "item_id", "length", "place", first.alias("first"), "starts", F.slice("iw", first + 1, last - first + F.col("length")).alias("context"))
 
-def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(word, item, place, starts): each window's rarest word; place in the item; the windows that it anchors."""
-    each = windows.select("item", "length", F.explode("starts").alias("start"), "iw").select("item", "start", F.posexplode(F.slice("iw", F.col("start") + 1, F.col("length"))).alias("in_window", "word"))
-    known = each.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = known.groupBy("item", "start").agg(F.min(F.struct("n", "word", "in_window")).alias("r"))
-    return rarest.groupBy(F.col("r.word").alias("word"), "item", (F.col("start") + F.col("r.in_window")).alias("place")).agg(F.collect_list("start").alias("starts"))
+
+def covered(spans: Column) -> Column:
+    """Words in the union of spans (first_word, last_word), which are in order."""
+    start = F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, s: F.struct(F.greatest(a["end"], s["last_word"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["last_word"] - F.greatest(a["end"], s["first_word"] - 1))).alias("n"))
+    return F.aggregate(spans, start, step, lambda a: a["n"])
+
+
+def occurrences(split: DataFrame, sizes: list[int], marks: DataFrame, itself: DataFrame | None) -> DataFrame:
+    """(doc_id, text_hash, n_words, item_id, span) of each window found, and with ``itself`` a row without item for each document."""
+    places = shingles(split, "dw", sizes, itself is not None)
+    met = places.join(F.broadcast(marks if itself is None else marks.unionByName(itself)), "sh")
+    shift, n = F.col("at") - F.col("place"), F.col("length")
+    fits = F.filter(
+        "starts",
+        lambda s: (shift + s >= 0) & (shift + s + n <= F.size("dw")) & (F.slice("context", s - F.col("first") + 1, n) == F.slice("dw", F.greatest(shift + s, F.lit(0)) + 1, n)),
+    )
+    spans = F.transform(fits, lambda s: F.struct((shift + s).alias("first_word"), (shift + s + n - 1).alias("last_word")))
+    # the generator keeps the comparison out of the join, which would hold a copy of the words for each place
+    out = met.select("doc_id", "text_hash", F.size("dw").cast("long").alias("n_words"), "at", "item_id", F.explode_outer(spans).alias("span"))
+    return out.where(F.col("span").isNotNull() | (F.col("item_id").isNull() & (F.col("at") == F.col("n_words")))).drop("at")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted), contaminated, and text_hash, of each row of ``docs``.
+    """doc_id, n_words, n_hit, item_ids (sorted), spans, contaminated, and text_hash, of each row of ``docs``.
 
     Contaminated: at least ``percent`` of 100 words lie in occurrences of windows, and at least one does.
     """
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     windows = written(item_windows(items, window, item_id, item_text), "decontaminate-windows")
+    sizes = sorted(r["k"] for r in windows.select("k").distinct().collect()) or [SHINGLE]  # at most SHINGLE numbers
 
-    vocabulary = windows.select(F.explode("iw").alias("word")).distinct()
-    said = slim.select(F.explode(words(F.col("text"))).alias("word"))
-    counts = said.join(bounded(vocabulary, vocabulary.count()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    laid = written(anchors(windows, counts), "decontaminate-anchors")
-
-    ends = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(None).cast("long").alias("item"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("array<int>").alias("starts"))
-    marks = laid.unionByName(ends)
-    places = slim.select("doc_id", "text_hash", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("at", "word"))
-    found = written(places.join(bounded(marks, laid.count()), "word").select("doc_id", "text_hash", "at", "item", "place", "starts"), "decontaminate-found")
-    every = found.where(F.col("item").isNull()).select("doc_id", "text_hash", F.col("at").cast("long").alias("n_words"))
-
-    tries = found.where(F.col("item").isNotNull()).select("doc_id", "text_hash", "item", (F.col("at") - F.col("place")).alias("shift"), "starts")
-    tries = tries.join(bounded(windows.select("item", "item_id", "iw", "length"), windows.count()), "item")
-    by_doc = written(tries.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "shift", "starts", "iw", "length")).alias("tries")), "decontaminate-tries")
-    keys = by_doc.withColumnsRenamed({"doc_id": "k", "text_hash": "h"}).hint("merge")  # grows with the documents: shuffled at every size
-    again = slim.join(keys, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
     # a generator stands between the words and their uses: put into one expression, they would be split again for each
-    again = again.select("doc_id", "text_hash", words(F.col("text")).alias("dw"), "tries").select("doc_id", "text_hash", "dw", F.explode("tries").alias("t"))
-    t, last = F.col("t"), F.col("t.length") - 1
-    fits = F.filter(
-        t["starts"],
-        lambda s: (t["shift"] + s >= 0) & (t["shift"] + s + last < F.size("dw")) & (F.slice("dw", F.greatest(t["shift"] + s, F.lit(0)) + 1, last + 1) == F.slice(t["iw"], s + 1, last + 1)),
-    )
-    hits = again.select("doc_id", "text_hash", "t.item_id", F.transform(fits, lambda s: F.struct((t["shift"] + s).alias("first_word"), (t["shift"] + s + last).alias("last_word"))).alias("spans")).where(F.size("spans") > 0)
-    hits = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    hits = hits.select(
-        F.col("doc_id").alias("k"),
-        F.col("text_hash").alias("h"),
-        F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["first_word"], x["last_word"]))))).cast("long").alias("n_hit"),
-        "item_ids",
-        "spans",
-    )
+    split = slim.select("doc_id", "text_hash", F.explode(F.array(words(F.col("text")))).alias("dw"))
+
+    own = item_shingles(windows, sizes)
+    vocabulary = written(own.select("sh").distinct(), "decontaminate-shingles")
+    said = shingles(split.select("dw"), "dw", sizes).select("sh")
+    counts = said.join(F.broadcast(vocabulary) if blocks(vocabulary) == 1 else vocabulary, "sh", "left_semi").groupBy("sh").agg(F.count("*").alias("n"))
+    marks = written(anchors(windows, own, counts), "decontaminate-anchors")
+    itself = docs.sparkSession.range(1).select(*((F.lit(ITSELF) if n == "sh" else F.lit(None)).cast(t).alias(n) for n, t in marks.dtypes))
+    n = blocks(marks)
+    found = reduce(DataFrame.unionByName, (written(occurrences(split, sizes, marks.where(F.pmod("sh", F.lit(n)) == b), None if b else itself), "decontaminate-found") for b in range(n)))
+    every = found.where(F.col("item_id").isNull()).select("doc_id", "text_hash", "n_words")
+    one = found.where(F.col("item_id").isNotNull()).select("doc_id", "text_hash", "item_id", "span").distinct()
+    hits = one.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.collect_set("span")).alias("spans"))
+    hits = hits.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), covered(F.col("spans")).alias("n_hit"), "item_ids", "spans")
     out = every.join(hits, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(

@@ -59,7 +59,7 @@ def case(seed=0):
     return docs, items
 
 
-@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 60])
 def test_brute_force(spark, docs_of, monkeypatch, rows):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     docs, items = case()
@@ -76,3 +76,19 @@ def test_no_python_in_plan(spark, docs_of):
     b = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     plan = decontaminate.decontaminate(docs_of(["a b c"]), b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_many_equal_rows(spark, docs_of):
+    """Equal rows cost their own row each and are grouped once."""
+    item = " ".join(f"q{i}" for i in range(16))
+    docs = [(7, f"before {item} after")] * 5000 + [(8, f"before {item} after")] * 5000 + [(9, "clean words here")]
+    rows = got(spark, docs_of(docs).repartition(4), [(1, item)])
+    assert len(rows) == 10001 and rows[0] == (7, 18, 16, ("1",), True) and rows[-1] == (9, 3, 0, (), False)
+    assert len(set(rows)) == 3
+
+
+def test_very_long_text(spark, docs_of):
+    item = " ".join(f"q{i}" for i in range(40))
+    text = " ".join(f"w{i % 997}" for i in range(300_000)) + " " + " ".join([item] * 3) + " end"
+    row = got(spark, docs_of([text]), [(1, item), (2, "w996 w0 w1")])[0]
+    assert row[:2] == (0, 300_121) and row[3] == ("1", "2") and row[2] == 120 + 3 * (300_000 // 997)
