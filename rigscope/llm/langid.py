@@ -1,16 +1,20 @@
 """Operator 4: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each run of letters (ASCII letters and all bytes beyond ASCII, at most ``SPAN`` bytes at a time)
-in both directions and gives every byte position a distribution over the languages. A document's probabilities are
-the means over all its positions. As the state starts anew with each run, equal runs give equal sums: each batch
-evaluates its distinct runs once, and counts them as often as they occur; no text is shortened.
+The network reads the whole byte sequence of a text (letters, spaces and all else, ASCII in lower case) in both
+directions and gives every byte position a distribution over the languages. A document's probabilities are the means
+over all its positions.
 
-Training: backpropagation through time in numpy, with Adam, over runs of a bounded sample of labelled rows
-(``sample`` rows whose ids hash lowest; of each its ``runs`` runs that hash lowest). The weights are a few
-thousand numbers and are broadcast.
+A text is labelled in windows of ``WINDOW`` positions that run side by side, so that a task's memory depends on neither
+the number nor the length of its texts. A direction enters a window with the state that it has gained from the
+``CONTEXT`` bytes before it (behind it, for the way back); what lies further away has faded from a gated state. At a
+text's own ends the state is zero. Windows know neither words nor characters: state is carried across both.
 
-Cases: texts that are null or hold no letter are ``und`` with score 0, as is everything if no row has a label;
-repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+Training: backpropagation through time in numpy, with Adam, over windows of labelled rows, chosen in two steps: of each
+language the ``rows`` whose ids hash lowest (ids alone are ranked), then of their whole texts the ``windows`` that hash
+lowest. The weights are a few thousand numbers and are broadcast.
+
+Cases: texts that are null or hold no letter are ``und`` with score 0, as is everything if no row has a label; rows
+without id teach nothing; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,33 +22,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rigscope.llm import textnp as tn
-from rigscope.llm.common import fold
-
-LETTERS = ~tn.mask((65, 90), (97, 122), (128, 255))
-SPAN = 24
-KEEP_RUNS = 1_000_000
+from rigscope.llm.common import BROADCAST_KEYS, fold
 
+WINDOW, CONTEXT = 256, 32
+TRAINING_WINDOW = 64
+HIDDEN = 8
+LOGITS = 1 << 21  # numbers kept at once while windows are labelled
 
-def runs(data: np.ndarray, offs: np.ndarray):
-    """Letter runs of at most SPAN bytes: starts, ends, rows."""
-    starts, ends, row = tn.words(data, offs, LETTERS)
-    pieces = -(-(ends - starts) // SPAN)
-    if len(pieces) and pieces.max() > 1:
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, last, row = np.repeat(starts, pieces) + nth * SPAN, np.repeat(ends, pieces), np.repeat(row, pieces)
-        ends = np.minimum(starts + SPAN, last)
-    return starts, ends, row
 
-
-def padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Time x runs: bytes, and which are real."""
-    n = ends - starts
-    at = np.arange(int(n.max(initial=1)))[:, None]
-    real = at < n[None, :]
-    return np.where(real, data[np.minimum(starts[None, :] + at, len(data) - 1)], 0), real
+def windows(offs: np.ndarray, size: int):
+    """Windows of ``size`` positions over each text: start, end, first and last of its text, row."""
+    count = -(-np.diff(offs) // size)
+    row = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = offs[row] + nth * size
+    return start, np.minimum(start + size, offs[row + 1]), offs[row], offs[row + 1], row
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -63,71 +59,104 @@ def start_weights(classes: int, h: int, seed: int = 3) -> dict[str, np.ndarray]:
     return p
 
 
-def scan(p: dict, d: str, x: np.ndarray, real: np.ndarray, keep: bool):
-    """States of one direction over time, and with ``keep`` what the backward pass needs."""
-    t_all, n = x.shape
+def states(p: dict, d: str, data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, steps: int, keep: bool = False):
+    """Yields the state of each sequence after each of ``steps`` bytes from ``at`` on (d: "f" onwards, "b" back).
+
+    Places outside [first, last) leave a state as it is. With ``keep`` what the backward pass needs comes along.
+    """
     h = p[f"{d}c"].shape[0]
-    s, states, trace = np.zeros((n, h), np.float32), np.zeros((t_all, n, h), np.float32), []
-    for t in range(t_all) if d == "f" else range(t_all - 1, -1, -1):
-        a = p[f"{d}x"][x[t]]
-        g = sigmoid(a[:, : 2 * h] + s @ p[f"{d}g"])
+    x_in, g_in, c_in = p[f"{d}x"], p[f"{d}g"], p[f"{d}c"]
+    s = np.zeros((len(at), h), x_in.dtype)
+    for t in range(steps):
+        place = at + (t if d == "f" else -t)
+        real = (place >= first) & (place < last)
+        x = data[np.clip(place, 0, len(data) - 1)]
+        a = x_in[x]
+        g = sigmoid(a[:, : 2 * h] + s @ g_in)
         z, r = g[:, :h], g[:, h:]
-        c = np.tanh(a[:, 2 * h :] + (r * s) @ p[f"{d}c"])
-        new = np.where(real[t][:, None], (1 - z) * s + z * c, s)
-        if keep:
-            trace.append((t, s, z, r, c))
+        c = np.tanh(a[:, 2 * h :] + (r * s) @ c_in)
+        new = s + z * (c - s)
+        if not real.all():
+            new[~real] = s[~real]
+        yield (new, (x, real, s, z, r, c)) if keep else new
         s = new
-        states[t] = s
-    return states, trace
 
 
-def positions(p: dict, x: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """Time x runs x classes: the distribution at every position."""
-    both = np.concatenate([scan(p, "f", x, real, False)[0], scan(p, "b", x, real, False)[0]], axis=2)
-    y = both @ p["o"] + p["bias"]
-    y = np.exp(y - y.max(axis=2, keepdims=True))
-    return y / y.sum(axis=2, keepdims=True)
-
-
-def gradients(p: dict, x: np.ndarray, real: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-    """Mean cross entropy over the real positions, and its gradients."""
-    (sf, tf), (sb, tb) = scan(p, "f", x, real, True), scan(p, "b", x, real, True)
-    both = np.concatenate([sf, sb], axis=2)
-    y = both @ p["o"] + p["bias"]
-    y = np.exp(y - y.max(axis=2, keepdims=True))
-    y /= y.sum(axis=2, keepdims=True)
+def logits(p: dict, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Position x window x class, for positions from ``start`` on; those beyond ``end`` mean nothing."""
+    h, n = p["fc"].shape[0], int((end - start).max())
+    y = np.empty((n, len(start), len(p["bias"])), p["o"].dtype)
+    for t, s in enumerate(states(p, "f", data, start - CONTEXT, first, last, n + CONTEXT)):
+        if t >= CONTEXT:
+            np.add(s @ p["o"][:h], p["bias"], out=y[t - CONTEXT])
+    for t, s in enumerate(states(p, "b", data, start + n - 1 + CONTEXT, first, last, n + CONTEXT)):
+        if t >= CONTEXT:
+            y[n - 1 - (t - CONTEXT)] += s @ p["o"][h:]
+    return y
+
+
+def softmax(y: np.ndarray) -> np.ndarray:
+    y = np.exp(y - y.max(axis=-1, keepdims=True))
+    y /= y.sum(axis=-1, keepdims=True)
+    return y
+
+
+def pooled(p: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows x classes: means over all positions; zeros without any."""
+    rows, classes = len(offs) - 1, len(p["bias"])
+    total = np.zeros((rows, classes))
+    data = tn.LOWER[data]
+    start, end, first, last, row = windows(offs, WINDOW)
+    order = np.argsort(start - end, kind="stable")  # windows of like length together
+    most = max(64, LOGITS // (WINDOW * classes))
+    for a in range(0, len(order), most):
+        i = order[a : a + most]
+        y = softmax(logits(p, data, start[i], end[i], first[i], last[i]))
+        y[np.arange(len(y))[:, None] >= (end - start)[i][None, :]] = 0
+        np.add.at(total, row[i], y.sum(axis=0))
+    return total / np.maximum(np.diff(offs), 1)[:, None]
+
+
+def gradients(p: dict, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
+    """Mean cross entropy over the windows' positions, and its gradients through time, context included."""
+    h, n = p["fc"].shape[0], int((end - start).max())
+    trace = {d: list(states(p, d, data, at, first, last, n + CONTEXT, keep=True)) for d, at in (("f", start - CONTEXT), ("b", start + n - 1 + CONTEXT))}
+    both = np.concatenate([np.stack([s for s, _ in trace["f"][CONTEXT:]]), np.stack([s for s, _ in trace["b"][CONTEXT:]])[::-1]], axis=2)
+    y = softmax(both @ p["o"] + p["bias"])
+    real = np.arange(n)[:, None] < (end - start)[None, :]
     total = max(1, int(real.sum()))
     loss = -float((np.log(np.take_along_axis(y, label[None, :, None], axis=2)[:, :, 0] + 1e-9) * real).sum()) / total
-    dy = y.copy()
-    dy[:, np.arange(x.shape[1]), label] -= 1
-    dy *= real[:, :, None] / np.float32(total)
+    y[:, np.arange(len(start)), label] -= 1
+    dy = y * (real[:, :, None] / y.dtype.type(total))
     g = {k: np.zeros_like(v) for k, v in p.items()}
     g["o"], g["bias"] = np.einsum("tnh,tnc->hc", both, dy, optimize=True), dy.sum(axis=(0, 1))
     back = dy @ p["o"].T
-    h = p["fc"].shape[0]
-    for d, trace, part in (("f", tf, back[:, :, :h]), ("b", tb, back[:, :, h:])):
-        ds = np.zeros((x.shape[1], h), np.float32)
-        for t, s, z, r, c in reversed(trace):
-            ds = ds + part[t]
-            live = ds * real[t][:, None]
+    for d, part in (("f", back[:, :, :h]), ("b", back[::-1, :, h:])):
+        ds, taken, pulls = np.zeros((len(start), h), y.dtype), [], []
+        for t in range(n + CONTEXT - 1, -1, -1):
+            x, live_at, s, z, r, c = trace[d][t][1]
+            if t >= CONTEXT:
+                ds = ds + part[t - CONTEXT]
+            live = ds * live_at[:, None]
             dz, dc = live * (c - s) * z * (1 - z), live * z * (1 - c * c)
             drs = dc @ p[f"{d}c"].T
-            dr = drs * s * r * (1 - r)
-            gates = np.concatenate([dz, dr], axis=1)
+            gates = np.concatenate([dz, drs * s * r * (1 - r)], axis=1)
             g[f"{d}c"] += (r * s).T @ dc
             g[f"{d}g"] += s.T @ gates
-            np.add.at(g[f"{d}x"], x[t], np.concatenate([gates, dc], axis=1))
+            taken.append(x)
+            pulls.append(np.concatenate([gates, dc], axis=1))
             ds = (ds - live) + live * (1 - z) + drs * r + gates @ p[f"{d}g"].T
+        np.add.at(g[f"{d}x"], np.concatenate(taken), np.concatenate(pulls))
     return loss, g
 
 
-def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, label: np.ndarray, classes: int, hidden: int = 16, steps: int = 300, batch: int = 384, rate: float = 0.02, seed: int = 9) -> dict:
+def train(data: np.ndarray, spans: tuple[np.ndarray, ...], label: np.ndarray, classes: int, hidden: int = HIDDEN, steps: int = 300, batch: int = 192, rate: float = 0.03, seed: int = 9) -> dict:
+    """Weights after ``steps`` of Adam over random batches of windows ``spans`` (start, end, first, last)."""
     p, g = start_weights(classes, hidden), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        i = g.integers(0, len(starts), min(batch, len(starts)))
-        x, real = padded(data, starts[i], ends[i])
-        _, grad = gradients(p, x, real, label[i])
+        i = g.integers(0, len(label), min(batch, len(label)))
+        _, grad = gradients(p, data, *(x[i] for x in spans), label[i])
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -136,74 +165,38 @@ def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, label: np.ndar
     return p
 
 
-def fit(docs: DataFrame, out_of: int = 4, held: int = 2, sample: int = 2000, runs_a_row: int = 80, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
-    usable = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & (fold(doc_id, out_of) != held))
-    chosen = usable.select(F.xxhash64(f"`{doc_id}`").alias("h"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
-    known = sorted(r["lang"] for r in chosen.select("lang").distinct().limit(1000).collect())
+def fit(docs: DataFrame, out_of: int = 4, held: int = 2, rows: int = 500, windows_a_language: int = 4000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
+    """The model, of at most ``rows`` rows and ``windows_a_language`` windows of each language."""
+    i, t, name = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string"), F.col(f"`{lang}`").cast("string")
+    usable = docs.where(name.isNotNull() & t.isNotNull() & i.isNotNull() & (fold(doc_id, out_of) != held)).select(i.alias("i"), name.alias("lang"), t.alias("text"))
+    rank = lambda *by: F.row_number().over(W.partitionBy("lang").orderBy(*by))
+    keys = usable.select("i", "lang").withColumn("n", rank(F.xxhash64("i"), "i")).where(F.col("n") <= rows).select("i", "lang").distinct()
+    few = keys.count() <= BROADCAST_KEYS
+    texts = usable.join(F.broadcast(keys) if few else keys, ["i", "lang"])
 
-    def some(batches):
+    def cut(batches):
         for b in batches:
             data, offs = tn.buffer_of(b.column(1))
             data = tn.LOWER[data]
-            starts, ends, row = runs(data, offs)
-            h = tn.span_hashes(data, starts, ends)
-            order = np.lexsort((h, row))
-            nth = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-            pick = order[nth < runs_a_row]
+            start, end, first, last, row = windows(offs, TRAINING_WINDOW)
+            lo, hi = np.maximum(start - CONTEXT, first), np.minimum(end + CONTEXT, last)
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[pick])), pa.array([raw[x:y] for x, y in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], pa.binary())], names=["lang", "run"])
-
-    got = chosen.orderBy("h", F.xxhash64("text"), "lang").limit(sample).select("lang", "text").mapInArrow(some, "lang string, run binary").toArrow() if known else None
-    if got is None or not got.num_rows:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row)), pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), pa.array(start - lo, pa.int64()), pa.array(end - lo, pa.int64())],
+                names=["lang", "bytes", "start", "end"],
+            )
+
+    pieces = texts.select("lang", "text").mapInArrow(cut, "lang string, bytes binary, start bigint, end bigint").distinct()
+    chosen = pieces.withColumn("n", rank(F.xxhash64("bytes", "start"), "bytes", "start", "end")).where(F.col("n") <= windows_a_language)
+    got = sorted((r["lang"], bytes(r["bytes"]), r["start"], r["end"]) for r in chosen.select("lang", "bytes", "start", "end").toArrow().to_pylist())
+    if not got:
         return {"langs": [], "p": None}
-    pairs = sorted(zip(got.column("lang").to_pylist(), got.column("run").to_pylist(), strict=True))
-    data = np.frombuffer(b"".join(r for _, r in pairs), np.uint8)
-    ends = np.cumsum([len(r) for _, r in pairs])
-    starts = np.r_[0, ends[:-1]]
-    label = np.array([known.index(x) for x, _ in pairs])
-    return {"langs": known, "p": train(data, starts, ends, label, len(known))}
-
-
-class Runs:
-    """Sums of position probabilities by run, for the runs that this worker met (up to KEEP_RUNS)."""
-
-    def __init__(self, p: dict):
-        self.p = p
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.sums = np.zeros((0, len(self.p["bias"])), np.float32)
-
-    def pooled(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Rows x classes: means over all positions; zeros without any."""
-        n, data = len(offs) - 1, tn.LOWER[data]
-        starts, ends, row = runs(data, offs)
-        if not len(starts):
-            return np.zeros((n, self.sums.shape[1]))
-        h, first, back = np.unique(tn.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) + len(h) > KEEP_RUNS:
-            self.clear()
-        get, keys = self.place.get, h.tolist()
-        place = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            s, e = starts[first[new]], ends[first[new]]
-            order = np.argsort(e - s, kind="stable")  # runs of like length together
-            sums = np.zeros((len(new), self.sums.shape[1]), np.float32)
-            for a in range(0, len(order), 4096):
-                i = order[a : a + 4096]
-                x, real = padded(data, s[i], e[i])
-                sums[i] = (positions(self.p, x, real) * real[:, :, None]).sum(axis=0)
-            place[new] = np.arange(len(self.sums), len(self.sums) + len(new))
-            self.place.update(zip(h[new].tolist(), place[new].tolist(), strict=True))
-            self.sums = np.concatenate([self.sums, sums])
-        place = place[back.ravel()]
-        total = np.maximum(np.bincount(row, weights=ends - starts, minlength=n), 1)
-        return np.stack([np.bincount(row, weights=self.sums[place, c], minlength=n) for c in range(self.sums.shape[1])], axis=1) / total[:, None]
-
-
-_RUNS: dict[bytes, Runs] = {}
+    known = sorted({r[0] for r in got})
+    data, size = np.frombuffer(b"".join(r[1] for r in got), np.uint8), np.array([len(r[1]) for r in got])
+    first = np.cumsum(size) - size
+    spans = (first + np.array([r[2] for r in got]), first + np.array([r[3] for r in got]), first, first + size)
+    number = {x: k for k, x in enumerate(known)}
+    return {"langs": known, "p": train(data, spans, np.array([number[r[0]] for r in got]), len(known))}
 
 
 def predict(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,18 +209,13 @@ def predict(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model["p"])
 
     def labelled(batches):
-        p = shared.value
-        mark = p["bias"].tobytes() + p["o"].tobytes()
-        if mark not in _RUNS:
-            _RUNS.clear()
-            _RUNS[mark] = Runs(p)
-        names = np.array([*langs, "und"], dtype=object)
+        p, names = shared.value, np.array([*langs, "und"], dtype=object)
         for batch in batches:
             data, offs = tn.buffer_of(batch.column(1))
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            parts = [_RUNS[mark].pooled(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tn.slices(offs)]
+            parts = [pooled(p, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in tn.slices(offs)]
             q = np.concatenate(parts) if parts else np.zeros((0, len(langs)))
-            best = np.where(letters & (q.sum(axis=1) > 0), q.argmax(axis=1) if len(q) else 0, len(langs))
+            best = np.where(letters, q.argmax(axis=1) if len(q) else 0, len(langs))
             score = np.where(best < len(langs), q.max(axis=1, initial=0), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lang_pred", "score"])
 

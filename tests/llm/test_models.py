@@ -105,27 +105,77 @@ def test_language(tables, spark):
 def test_gradients():
     g = np.random.default_rng(2)
     p = {k: v.astype(np.float64) for k, v in langid.start_weights(3, 4).items()}
-    data = g.integers(97, 123, 40).astype(np.uint8)
-    starts, ends = np.array([0, 5, 20]), np.array([5, 13, 40])
-    x, real = langid.padded(data, starts, ends)
-    label = np.array([0, 2, 1])
-    loss, grad = langid.gradients(p, x, real, label)
+    data = g.integers(97, 123, 90).astype(np.uint8)
+    first, last = np.array([0, 0, 30]), np.array([30, 30, 90])
+    start, end, label = np.array([0, 16, 50]), np.array([16, 30, 66]), np.array([0, 2, 1])
+    loss, grad = langid.gradients(p, data, start, end, first, last, label)
     for k in p:
         for _ in range(4):
             i = tuple(g.integers(0, n) for n in p[k].shape)
             if k.endswith("x"):
-                i = (int(data[g.integers(0, 40)]), i[1])
+                i = (int(data[g.integers(0, 90)]), i[1])
             q = {n: v.copy() for n, v in p.items()}
             q[k][i] += 1e-3
-            up = langid.gradients(q, x, real, label)[0]
+            up = langid.gradients(q, data, start, end, first, last, label)[0]
             q[k][i] -= 2e-3
-            assert (up - langid.gradients(q, x, real, label)[0]) / 2e-3 == pytest.approx(float(grad[k][i]), rel=0.05, abs=2e-5)
+            assert (up - langid.gradients(q, data, start, end, first, last, label)[0]) / 2e-3 == pytest.approx(float(grad[k][i]), rel=0.05, abs=2e-5)
+
+
+def plain_states(p, d, x):
+    """One state after another, in plain loops."""
+    h, out, s = len(p["fc"]), [], np.zeros(len(p["fc"]))
+    for b in x if d == "f" else x[::-1]:
+        a = p[f"{d}x"][b].astype(float)
+        g = 1 / (1 + np.exp(-(a[: 2 * h] + s @ p[f"{d}g"])))
+        c = np.tanh(a[2 * h :] + (g[h:] * s) @ p[f"{d}c"])
+        s = (1 - g[:h]) * s + g[:h] * c
+        out.append(s)
+    return out if d == "f" else out[::-1]
+
+
+def plain_distributions(p, x, start, end):
+    """Distributions at [start, end) of a text, states from CONTEXT bytes before and behind on."""
+    lo, hi = max(0, start - langid.CONTEXT), min(len(x), end + langid.CONTEXT)
+    n = min(langid.WINDOW, end - start)
+    f = plain_states(p, "f", x[lo:end])[start - lo :][:n]
+    b = plain_states(p, "b", x[start:hi])[:n]
+    y = np.array([np.concatenate([u, v]) @ p["o"] + p["bias"] for u, v in zip(f, b, strict=True)])
+    y = np.exp(y - y.max(axis=1, keepdims=True))
+    return y / y.sum(axis=1, keepdims=True)
+
+
+def test_every_position_against_plain_loops():
+    g = np.random.default_rng(6)
+    p = langid.start_weights(3, 5)
+    texts = ["", "é", "Ab c " * 30, "".join(map(chr, g.integers(32, 500, 700))), "x"]
+    raw = [t.encode() for t in texts]
+    got = langid.pooled(p, np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    for t, q in zip(raw, got, strict=True):
+        x = langid.tn.LOWER[np.frombuffer(t, np.uint8)]
+        each = [plain_distributions(p, x, a, min(a + langid.WINDOW, len(x))) for a in range(0, len(x), langid.WINDOW)]
+        assert sum(map(len, each)) == len(x)
+        want = np.concatenate(each).mean(axis=0) if each else np.zeros(3)
+        assert q == pytest.approx(want, abs=1e-4)
+
+
+def test_windows_stand_for_whole_sequences(tables):
+    """What lies beyond the context has faded: state carried over the whole text gives nearly the same."""
+    docs, _ = tables
+    model = langid.fit(docs)
+    x = langid.tn.LOWER[np.frombuffer(" ".join(r["text"] for r in docs.where("lang = 'aa'").limit(12).collect() if r["text"]).encode(), np.uint8)]
+    p = model["p"]
+    y = np.array([np.concatenate([u, v]) @ p["o"] + p["bias"] for u, v in zip(plain_states(p, "f", x), plain_states(p, "b", x), strict=True)])
+    y = np.exp(y - y.max(axis=1, keepdims=True))
+    whole = (y / y.sum(axis=1, keepdims=True)).mean(axis=0)
+    assert len(x) > 4 * langid.WINDOW
+    assert langid.pooled(p, x, np.array([0, len(x)]))[0] == pytest.approx(whole, abs=0.02)
 
 
-def test_runs_cover_all_letters():
-    data = np.frombuffer(("ab " + "x" * 100 + " 12 é").encode(), np.uint8)
-    s, e, _ = langid.runs(data, np.array([0, len(data)]))
-    assert (e - s).max() <= langid.SPAN and (e - s).sum() == 104
+def test_very_long_text(tables, spark):
+    docs, _ = tables
+    model = langid.fit(docs)
+    long = spark.createDataFrame([(0, "schung keitver " * 400_000), (1, "ba")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(long, model).collect()} == {0: "bb", 1: "aa"}
 
 
 def test_nothing_to_learn_from(tables, spark):
