@@ -1,8 +1,8 @@
 """Vectorised text helpers over Arrow string buffers: words, word hashes, shingles.
 
 Everything here works on one bounded slice of an Arrow batch at a time (see ``slices``), so the
-memory of a task does not depend on how many rows or how long a text the batch holds, apart from a
-single text, which is never cut.
+memory of a task does not depend on how many rows the batch holds. A text longer than a slice stands alone, and
+operators work through it in ``stretches`` cut at white space.
 """
 
 from __future__ import annotations
@@ -71,6 +71,22 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 20):
         a = b
 
 
+def stretches(data: np.ndarray, most: int = 4 * SLICE_BYTES):
+    """Byte ranges [a, b) of a long text, of about ``most`` bytes each, cut before white space (a longer word stays whole)."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(a + most, n)
+        if b < n:
+            space = np.flatnonzero(~SPACED[data[a + 1 : b]])
+            while not len(space) and b < n:
+                more = min(b + most, n)
+                space = np.flatnonzero(~SPACED[data[b:more]])[:1] + (b - a - 1)
+                b = more
+            b = a + 1 + int(space[-1]) if len(space) else n
+        yield a, b
+        a = b
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def table(base: int) -> np.ndarray:

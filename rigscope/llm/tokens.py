@@ -104,8 +104,26 @@ class Encoder:
             self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(lens) - lens))
             self.flat = np.concatenate((self.flat, np.fromiter((i for x in got for i in x), self.dtype, int(lens.sum()))))
 
-    def encode(self, data: np.ndarray, offs: np.ndarray):
-        """Tokens of each row, and with ``ids`` the flat token ids of all rows in order."""
+    def encode(self, data: np.ndarray, offs: np.ndarray, most: int = 4 * tn.SLICE_BYTES):
+        """Tokens of each row, and with ``ids`` the flat token ids of all rows in order.
+
+        A single text of more than ``most`` bytes is worked off in pieces that end where a unit begins.
+        """
+        if len(offs) == 2 and len(data) > most:
+            total, flat, a, size = 0, [], 0, most
+            while a < len(data):
+                end = min(a + size, len(data))
+                starts = self.units(data[a:end], np.array([0, end - a]))[0]
+                if end < len(data) and (not len(starts) or not starts[-1]):
+                    size *= 2  # one unit fills the piece
+                    continue
+                end = a + int(starts[-1]) if end < len(data) else end
+                n, ids = self._encode(data[a:end], np.array([0, end - a]))
+                total, flat, a, size = total + int(n[0]), [*flat, ids], end, most
+            return np.array([total]), np.concatenate(flat) if self.ids else None
+        return self._encode(data, offs)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray):
         if self.lower and b"<|" not in data.tobytes():
             data = tn.LOWER[data]
         starts, ends, row = self.units(data, offs)

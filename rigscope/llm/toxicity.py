@@ -2,14 +2,20 @@
 
 Voters are lexicon entries and patterns. Entries are whole words and word beginnings: a seed list, and those that
 a bounded sample of labelled rows (``sample``, the rows whose ids hash lowest) shows to be typical of toxic texts.
-Patterns vote on how many entries a text has, how densely, and whether it has none. A generative label model
-(class prior, each voter's rate in either class, fitted by expectation-maximisation from the labels as start)
-gives posterior labels; what voters agree on beyond their classes lowers their weights, so that many voters for
-one thing don't count many times. A linear classifier is trained on the posterior labels and scores every text.
+Patterns vote on how many entries a text has, how densely, and whether it has none. Labels choose the voters and scale
+the scores at the end; between, a generative label model is fitted to the votes alone, by expectation-maximisation from
+a plain count of votes.
+
+The model has a class prior, each voter's rate in either class (its accuracy), and correlations: within a class every
+voter depends on one other one, the tree of the strongest conditional mutual informations, whose tables are estimated
+with the rest; so many voters for one thing don't count many times. A linear classifier is trained on the posterior
+labels and scores every text; slope and offset of its scores are fitted to the sample's labels, so that they are
+probabilities.
 
 Cases: null and empty texts have no votes but that of having no entry, and get the classifier's score for it;
 rows with null or other labels than 0 and 1 teach nothing; repeated rows are scored each; an empty sample leaves
-the seed list and a fixed prior; empty tables give no rows; other columns are ignored.
+the seed list and a fixed prior; empty tables give no rows; other columns are ignored; long texts are searched in
+stretches.
 """
 
 from __future__ import annotations
@@ -52,6 +58,15 @@ def key(entry: bytes, n: int) -> int:
 
 def entries_of(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, entry and count of the entries in each row (``keys`` sorted), and the rows' numbers of words."""
+    if len(offs) == 2 and len(data) > 4 * tn.SLICE_BYTES:
+        parts = [_entries(data[a:b], np.array([0, b - a]), keys) for a, b in tn.stretches(data)]
+        found, back = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        count = np.bincount(back.ravel(), weights=np.concatenate([p[2] for p in parts]), minlength=len(found)).astype(np.int64)
+        return np.zeros(len(found), np.int64), found, count, np.sum([p[3] for p in parts], axis=0)
+    return _entries(data, offs, keys)
+
+
+def _entries(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(offs) - 1
     rows, found, n_words = [], [], np.zeros(n, np.int64)
     for kind, h, r, _, _ in units(data, offs):
@@ -81,23 +96,67 @@ def features(n: int, row: np.ndarray, entry: np.ndarray, count: np.ndarray, n_wo
     return x
 
 
-def label_model(x: np.ndarray, start: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior of label 1 of each row of votes."""
-    q = np.clip(start.astype(np.float64), 0.05, 0.95)
-    x = x.astype(np.float64)
-    for _ in range(rounds):
+def dependence(both: np.ndarray, n: float) -> np.ndarray:
+    """Mutual information of each pair of voters within a class, from weighted counts of joint votes (diagonal: of votes)."""
+    one, out = np.diag(both), np.zeros_like(both)
+    tables = (both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both)
+    margins = ((one, one), (one, n - one), (n - one, one), (n - one, n - one))
+    for t, (a, b) in zip(tables, margins, strict=True):
+        share = np.maximum(t, 0) / max(n, 1e-9)
+        out += share * np.log((share + 1e-12) / (np.outer(np.maximum(a, 0), np.maximum(b, 0)) / max(n, 1e-9) ** 2 + 1e-12))
+    return out
+
+
+def strongest_tree(weight: np.ndarray) -> np.ndarray:
+    """Each node's parent in the spanning tree of largest weight; -1 for the root, node 0."""
+    parent, near = np.full(len(weight), -1), np.zeros(len(weight), np.int64)
+    best, out = weight[0].copy(), np.ones(len(weight), bool)
+    out[0] = False
+    for _ in range(len(weight) - 1):
+        i = int(np.argmax(np.where(out, best, -np.inf)))
+        parent[i], out[i] = near[i], False
+        closer = weight[i] > best
+        best, near = np.where(closer, weight[i], best), np.where(closer, i, near)
+    return parent
+
+
+def first_guess(x: np.ndarray) -> np.ndarray:
+    """Posteriors to start from: by how many entries fire. Patterns are the last EXTRAS columns."""
+    fired = x[:, :-EXTRAS].sum(axis=1)
+    return np.where(fired == 0, 0.05, np.where(fired == 1, 0.6, 0.9))
+
+
+def label_model(x: np.ndarray, start: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, dict]:
+    """Posterior of label 1 of each row of votes, and the model: prior, rates (class x voter), each voter's parent.
+
+    Few rounds: after many, the classes would follow what the largest group of alike voters shares.
+    """
+    q, x = np.clip(start.astype(np.float64), 0.05, 0.95), x.astype(np.float32)
+    model: dict = {}
+    for step in range(rounds):
+        weights = (1 - q, q)
+        both = [((x * w[:, None].astype(np.float32)).T @ x).astype(np.float64) for w in weights]
+        n = [w.sum() for w in weights]
+        if step % 3 == 0:
+            parent = strongest_tree(sum(dependence(b, m) for b, m in zip(both, n, strict=True)))
         prior = np.clip(q.mean(), 0.01, 0.99)
-        rate1 = (q @ x + 0.5) / (q.sum() + 1)
-        rate0 = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
-        rest = x - np.outer(q, rate1) - np.outer(1 - q, rate0)  # what the classes leave unexplained
-        scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        shared = np.maximum((rest.T @ rest) / len(x) / np.outer(scale, scale), 0)
-        np.fill_diagonal(shared, 0)
-        weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=0))
-        on, off = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        logit = np.log(prior / (1 - prior)) + x @ (weight * on) + (1 - x) @ (weight * off)
+        logit = np.full(len(x), np.log(prior / (1 - prior)))
+        rates, child = [], np.flatnonzero(parent >= 0)
+        up, roots = parent[child], np.flatnonzero(parent < 0)
+        for sign, b, m in ((-1, both[0], n[0]), (1, both[1], n[1])):
+            one = np.diag(b)
+            rate = (one + 0.5) / (m + 1)
+            rates.append(rate)
+            # rates given that the parent votes or not, drawn towards the voter's own rate where there is little to go by
+            on = (b[child, up] + rate[child]) / (one[up] + 1)
+            off = (one[child] - b[child, up] + rate[child]) / (m - one[up] + 1)
+            on, off = np.clip(on, 1e-6, 1 - 1e-6), np.clip(off, 1e-6, 1 - 1e-6)
+            with_parent, votes = x[:, up], x[:, child]
+            logit += sign * (x[:, roots] @ np.log(rate[roots]) + (1 - x[:, roots]) @ np.log(1 - rate[roots]))
+            logit += sign * ((votes * with_parent) @ np.log(on / off) + votes @ np.log(off) + (with_parent - votes * with_parent) @ np.log((1 - on) / (1 - off)) + (1 - votes) @ np.log(1 - off))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q
+        model = {"prior": prior, "rates": np.array(rates), "parent": parent}
+    return q, model
 
 
 def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -114,6 +173,14 @@ def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, steps: int = 25) ->
     return w[:-1], float(w[-1])
 
 
+def scaled(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that turn scores into logits of the labels; none where these can't tell."""
+    if not 0 < y.mean() < 1:
+        return 1.0, 0.0
+    (slope,), offset = linear(f[:, None], y, 1e-3)
+    return (float(slope), offset) if slope > 0 else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", out_of: int = 3, held: int = 1, sample: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> dict:
     usable = labels.where(fold(doc_id, out_of) != held)
     chosen = training_rows(docs, usable, label, sample, doc_id)
@@ -181,9 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", out_of: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([np.packbits(v > 0).tobytes() for v in x], pa.binary())], names=["label", "votes"])
 
     got = sorted((r["label"], r["votes"]) for r in rows.mapInArrow(voted, "label int, votes binary").toArrow().to_pylist())  # a bit a voter and row of the sample
-    y = np.array([label for label, _ in got], np.float64)
     x = np.unpackbits(np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(voters) + EXTRAS].astype(np.float32)
-    w, b = linear(x, label_model(x, y))
+    w, b = linear(x, label_model(x, first_guess(x))[0])
+    slope, offset = scaled(x @ w + b, np.array([label for label, _ in got], np.float64))
+    w, b = w * slope, b * slope + offset
     return {"keys": voters, "w": w, "b": b}
 
 

@@ -56,13 +56,60 @@ def test_toxicity(tables, spark):
 
 
 def test_label_model_discounts_what_agrees():
+    """From votes alone: good voters are told from a crowd that repeats one bad one, and their rates are found."""
     g = np.random.default_rng(0)
-    y = g.random(3000) < 0.4
-    good = np.stack([(y ^ (g.random(3000) < 0.15)) for _ in range(3)], 1)
-    twin = (y ^ (g.random(3000) < 0.4))[:, None]
-    x = np.concatenate([good, np.repeat(twin, 12, axis=1)], 1).astype(np.float32)
-    q = toxicity.label_model(x, np.where(good.sum(1) >= 2, 0.9, 0.1))
+    y = g.random(4000) < 0.4
+    good = np.stack([(y ^ (g.random(4000) < 0.15)) for _ in range(4)], 1)
+    twin = (y ^ (g.random(4000) < 0.4))[:, None] ^ (g.random((4000, 12)) < 0.02)
+    x = np.concatenate([good, twin], 1).astype(np.float32)
+    q, model = toxicity.label_model(x, np.where(good.sum(1) >= 2, 0.9, 0.1))
     assert ((q > 0.5) == y).mean() > 0.9
+    assert model["rates"][1, :4] == pytest.approx(np.full(4, 0.85), abs=0.12) and model["rates"][0, :4] == pytest.approx(np.full(4, 0.15), abs=0.12)
+    among = [i for i in range(16) if model["parent"][i] >= 0 and (i >= 4) == (model["parent"][i] >= 4)]
+    assert sum(i >= 4 for i in among) >= 11  # the crowd's members depend on each other
+
+
+def test_label_model_against_plain_loops():
+    """One round: the posterior of a tree of voters, by definition."""
+    g = np.random.default_rng(3)
+    x = (g.random((300, 5)) < 0.4).astype(np.float32)
+    x[:, 3] = x[:, 1]
+    start = np.where(x[:, 0] > 0, 0.9, 0.2)
+    q, model = toxicity.label_model(x, start, rounds=1)
+    w = np.clip(start, 0.05, 0.95)
+    for i in range(300):
+        odds = []
+        for c in (0, 1):
+            u = w if c else 1 - w
+            p = u.mean()
+            for j, up in enumerate(model["parent"]):
+                rate = (u @ x[:, j] + 0.5) / (u.sum() + 1)
+                if up >= 0:
+                    same = x[:, up] == x[i, up]
+                    rate = (u[same] @ x[same, j] + rate) / (u[same].sum() + 1)
+                p *= rate if x[i, j] else 1 - rate
+            odds.append(p)
+        assert q[i] == pytest.approx(odds[1] / sum(odds), abs=1e-4)
+    assert 3 in (model["parent"][1], 1 * (model["parent"][3] == 1) * 3)
+
+
+def test_strongest_tree():
+    g = np.random.default_rng(4)
+    w = g.random((6, 6))
+    w = w + w.T
+    got = toxicity.strongest_tree(w)
+    from itertools import combinations
+
+    edges = list(combinations(range(6), 2))
+
+    def spans(tree):
+        seen = {0}
+        for _ in tree:
+            seen |= {v for e in tree if seen & set(e) for v in e}
+        return len(seen) == 6
+
+    best = max(sum(w[e] for e in t) for t in combinations(edges, 5) if spans(t))
+    assert sum(w[i, p] for i, p in enumerate(got) if p >= 0) == pytest.approx(best)
 
 
 def test_quality(tables, spark):
@@ -78,19 +125,45 @@ def test_quality(tables, spark):
 def test_vote_is_exact_nearest_neighbours():
     g = np.random.default_rng(1)
     x = quality.unit(np.abs(g.normal(size=(60, quality.TERMS))).astype(np.float32))
+    x[30:36] = x[20]  # equal cosines: the first ones vote
     y = (g.random(40) < 0.5).astype(np.float32)
     mean = x[:40].mean(0)
-    basis = quality.latent_basis(x[:40] - mean, 8)
-    v = quality.unit((x[:40] - mean) @ basis)
+    basis = quality.latent_basis(x[:40], mean, 8)
+    u, s, vt = np.linalg.svd(x[:40] - mean, full_matrices=False)
+    assert np.linalg.norm((x[:40] - mean) @ basis) == pytest.approx(np.sqrt((s[:8] ** 2).sum()), rel=0.02)
+    v = quality.unit(x[:40] @ basis - mean @ basis)
     got = quality.vote({"mean": mean, "basis": basis, "v": v, "y": y}, x, np.zeros(60, bool), 5)
-    z = quality.unit((x - mean) @ basis)
+    z = quality.unit(x @ basis - mean @ basis)
+    cos = z @ v.T
     for i in range(60):
-        c = v @ z[i]
-        near = np.argsort(-c)[:5]
-        w = np.maximum(c[near], 1e-6) ** 8
+        near = np.argsort(-cos[i], kind="stable")[:5]
+        w = np.maximum(cos[i, near], 1e-6) ** 8
         assert got[i] == pytest.approx((w * y[near]).sum() / w.sum(), abs=1e-3)
 
 
+def test_quality_terms():
+    raw = [b"ab ab cd", b"", b"x"]
+    c = quality.term_counts(np.frombuffer(b"".join(raw), np.uint8), np.array([0, 8, 8, 9]))
+    assert c[:, : quality.PAIRS].sum(axis=1).tolist() == [7, 0, 0] and c[:, quality.PAIRS].tolist() == [1, 0, 0] and c[:, quality.PAIRS + 1].tolist() == [1, 0, 0]
+    assert c[:, quality.PAIRS + 2 :].sum(axis=1).tolist() == [3, 0, 1] and c[0, quality.PAIRS + 2 :].max() == 2
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    g = np.random.default_rng(5)
+    text = " ".join("w" * int(n) + str(k) for n, k in zip(g.integers(1, 9, 3000), g.integers(0, 60, 3000))).encode()
+    data = np.frombuffer(text, np.uint8)
+    offs = np.array([0, len(data)])
+    whole, hits = quality._counts(data, offs), toxicity.entries_of(data, offs, np.sort(np.array([toxicity.key(b"ww1", 0), toxicity.key(b"wwww", 4)], np.uint64)))
+    monkeypatch.setattr(quality.tn, "SLICE_BYTES", 200)
+    spans = list(quality.tn.stretches(data, 300))
+    assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] and text[b[0]] == 32 for a, b in zip(spans[:-1], spans[1:])) and len(spans) > 20
+    assert list(quality.tn.stretches(np.frombuffer(b"x" * 1000 + b" y", np.uint8), 100)) == [(0, 1000), (1000, 1002)]
+    monkeypatch.setattr(quality.tn, "stretches", lambda d: iter(spans))
+    assert (quality.term_counts(data, offs) == whole).all()
+    again = toxicity.entries_of(data, offs, np.sort(np.array([toxicity.key(b"ww1", 0), toxicity.key(b"wwww", 4)], np.uint64)))
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(hits, again))
+
+
 def test_language(tables, spark):
     docs, _ = tables
     out = langid.predict(docs, langid.fit(docs)).withColumnRenamed("score", "p").withColumn("held", fold("doc_id", 4) == 2)
