@@ -1,15 +1,16 @@
 """Operator 6: license scans by winnowed fingerprints, an inverted index, and banded alignment.
 
-Texts and templates are sequences of lower-cased alphanumeric words. Of every ``window`` neighbouring k-word hashes
-of a template the smallest is its fingerprint (rightmost on ties), so that any shared run of window + k - 1 words
-shares one; the inverted index maps fingerprints to (template, place) and is broadcast: its size is that of the
-templates and is checked. Fingerprints found in a text lay a template along it at an offset; unless a span already
-reported holds them, the words outside these spans are aligned within a band around it (match 2, mismatch and gap -1).
-Reported are the matched share of the template's words and the spans in words and bytes.
+Texts and templates (whole licenses, the headers of longer ones, short notices) are sequences of lower-cased
+alphanumeric words. Of every ``window`` neighbouring k-word hashes of a template the smallest is its fingerprint
+(rightmost on ties), so that any shared run of window + k - 1 words shares one; the inverted index maps fingerprints
+to (template, place) and is broadcast: its size is that of the templates and is checked. Fingerprints found in a text
+lay a template along it at an offset; unless a span already reported holds them, the words outside these spans are
+aligned within a band around it (match 2, mismatch and gap -1; of equal scores the first cell, and a pair before a
+gap), many texts at a time. Reported are the matched share of the template's words and the spans in words and bytes.
 
 Cases: null, empty and short texts match nothing; templates of fewer than k words are one fingerprint each;
 templates without id or words are none; repeated rows are reported each; empty tables give no rows; other columns
-are ignored. A text with a template twice is reported twice.
+are ignored. A text with a template twice is reported twice; long texts are hashed in stretches.
 """
 
 from __future__ import annotations
@@ -22,34 +23,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigscope.llm import textnp as tn
+from rigscope.llm.license_texts import BODIES, NOTICES
 
 K, WINDOW, BAND = 3, 3, 8
 MOST_INDEX = 1_000_000
-
-# The usual short notices, as their publishers word them.
-NOTICES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    "mit": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "all-rights-reserved": "All rights reserved.",
-}
+ALIGNED_AT_ONCE = 512
 
 
 def notices(spark: SparkSession) -> DataFrame:
+    """The short notices alone."""
     return spark.createDataFrame(list(NOTICES.items()), "template_id string, text string")
 
 
+def templates(spark: SparkSession) -> DataFrame:
+    """Notices, headers and whole licenses."""
+    return spark.createDataFrame(list((NOTICES | BODIES).items()), "template_id string, text string")
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray):
-    low = tn.LOWER[data]
-    starts, ends, row = tn.words(low, offs, tn.ALNUM)
-    return tn.span_hashes(low, starts, ends), starts, ends, row
+    return tn.hashed_words(data, offs, tn.ALNUM)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -69,58 +61,91 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(v)) + window - 1 - np.argmin(v[:, ::-1], axis=1))
 
 
-def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment of template a along text b around b - a = shift: matched words, first and last word in b, in a."""
-    n, width = len(a), 2 * band + 1
-    score = np.zeros((n + 1, width + 2), np.int64)
-    came = np.zeros((n + 1, width + 2), np.int8)
-    best, where = 0, (0, 0)
+def align(a: np.ndarray, texts: list[np.ndarray], shifts: list[int], band: int) -> list[tuple[int, int, int]]:
+    """Best local alignment of template a along each text b around b - a = shift: matched words, first and last word in b.
+
+    Row by row of the template for all texts at once; the gaps along a row are a running maximum.
+    """
+    n, width, size = len(a), 2 * band + 1, len(texts)
+    here = np.zeros((size, n + 2 * band), np.uint64)  # text words by place in the band
+    real = np.zeros(here.shape, bool)
+    for k, (b, shift) in enumerate(zip(texts, shifts, strict=True)):
+        lo, hi = max(0, shift - band), min(len(b), shift + n + band)
+        if lo < hi:
+            here[k, lo - shift + band : hi - shift + band] = b[lo:hi]
+            real[k, lo - shift + band : hi - shift + band] = True
+    step = np.arange(width)
+    score = np.zeros((n + 1, size, width + 2), np.int32)
+    came = np.zeros((n + 1, size, width), np.int8)
     for i in range(1, n + 1):
-        for c in range(1, width + 1):
-            j = i + shift + c - 1 - band  # words of b before and at this cell
-            if not 1 <= j <= len(b):
-                continue
-            options = (0, score[i - 1, c] + (2 if a[i - 1] == b[j - 1] else -1), score[i - 1, c + 1] - 1, score[i, c - 1] - 1)
-            k = int(np.argmax(options))
-            score[i, c], came[i, c] = options[k], k
-            if options[k] > best:
-                best, where = int(options[k]), (i, c)
-    (i, c), matched, last = where, 0, where
-    first = where
-    while i > 0 and came[i, c]:
-        first = (i, c)
-        if came[i, c] == 1:
-            matched += int(a[i - 1] == b[i + shift + c - 2 - band])
-            i -= 1
-        elif came[i, c] == 2:
-            i, c = i - 1, c + 1
-        else:
-            c -= 1
-    place = lambda x: x[0] + shift + x[1] - 2 - band
-    return matched, place(first), place(last), first[0] - 1, last[0] - 1
-
-
-def occurrences(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int]], least: float, band: int) -> list[tuple[int, int, int]]:
-    """(matched words, first, last word) of template a in text b, from (shift, place) of its fingerprints; spans never overlap.
+        cells = slice(i - 1, i - 1 + width)
+        pair = score[i - 1, :, 1:-1] + np.where(here[:, cells] == a[i - 1], 2, -1)
+        gap = score[i - 1, :, 2:] - 1
+        best = np.where(real[:, cells], np.maximum(np.maximum(pair, gap), 0), 0)
+        best = np.where(real[:, cells], np.maximum.accumulate(best + step, axis=1) - step, 0)
+        score[i, :, 1:-1] = best
+        came[i] = np.where(best == 0, 0, np.where(best == pair, 1, np.where(best == gap, 2, 3)))
+    flat = score[:, :, 1:-1].transpose(1, 0, 2).reshape(size, -1)
+    top = flat.argmax(axis=1)
+    i, c, k = top // width, top % width, np.arange(size)
+    matched, last = np.zeros(size, np.int64), i + c - 1
+    first = last.copy()
+    live = flat[k, top] > 0
+    none = ~live
+    while live.any():
+        kind = came[i[live], k[live], c[live]]
+        on = k[live][kind > 0]
+        live[k[live][kind == 0]] = False
+        kind = came[i[on], on, c[on]]
+        first[on] = i[on] + c[on] - 1
+        matched[on] += (kind == 1) & (here[on, i[on] + c[on] - 1] == a[i[on] - 1])
+        i[on] -= kind < 3
+        c[on] += (kind == 2).astype(np.int64) - (kind == 3)
+    shift = np.array(shifts, np.int64) - band
+    return [(0, 0, 0) if none[x] else (int(matched[x]), int(first[x] + shift[x]), int(last[x] + shift[x])) for x in range(size)]
+
+
+def occurrences(length: int, size: int, found: list[tuple[int, int]], least: float):
+    """Spans (first, last, matched) of a template of ``length`` words in a text of ``size``, from (shift, place) of its
+    fingerprints; spans never overlap. Asks for alignments: yields (lo, hi, shift) and is sent what ``align`` says.
 
     A fingerprint inside a span is explained by it; around any other one the words between the spans are aligned.
     """
-    spans: list[tuple[int, int, int]] = []  # (first, last, matched), sorted
+    spans: list[tuple[int, int, int]] = []  # sorted
     vain: set[tuple[int, int, int]] = set()
     for shift, place in found:
         while True:
             i = bisect_right(spans, place, key=lambda x: x[0])
             if i and spans[i - 1][1] >= place:
                 break
-            lo, hi = spans[i - 1][1] + 1 if i else 0, spans[i][0] if i < len(spans) else len(b)
+            lo, hi = spans[i - 1][1] + 1 if i else 0, spans[i][0] if i < len(spans) else size
             if (shift, lo, hi) in vain:
                 break
-            matched, first, last, _, _ = align(a, b[lo:hi], shift - lo, band)
-            if not matched or matched < least * len(a):
+            matched, first, last = yield lo, hi, shift - lo
+            if not matched or matched < least * length:
                 vain.add((shift, lo, hi))
                 break
             spans.insert(i, (lo + first, lo + last, matched))
-    return [(matched, first, last) for first, last, matched in spans]
+    return spans
+
+
+def spans_of(a: np.ndarray, texts: list[np.ndarray], found: list[list[tuple[int, int]]], least: float, band: int) -> list[list[tuple[int, int, int]]]:
+    """The occurrences of template a in each text; their alignments are made many at a time."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    waiting = [(k, occurrences(len(a), len(b), f, least), None) for k, (b, f) in enumerate(zip(texts, found, strict=True))]
+    while waiting:
+        asked = []
+        for k, run, answer in waiting:
+            try:
+                asked.append((k, run, run.send(answer)))
+            except StopIteration as end:
+                out[k] = end.value
+        waiting = []
+        for x in range(0, len(asked), ALIGNED_AT_ONCE):
+            part = asked[x : x + ALIGNED_AT_ONCE]
+            answers = align(a, [texts[k][lo:hi] for k, _, (lo, hi, _) in part], [shift for _, _, (_, _, shift) in part], band)
+            waiting += [(k, run, answer) for (k, run, _), answer in zip(part, answers, strict=True)]
+    return out
 
 
 def scan(docs: DataFrame, templates: DataFrame, least: float = 0.6, doc_id: str = "doc_id", text: str = "text", template_id: str = "template_id", template_text: str = "text") -> DataFrame:
@@ -163,10 +188,14 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.6, doc_id: str
                     for e in range(np.searchsorted(keys, np.uint64(x)), np.searchsorted(keys, np.uint64(x), side="right")):
                         n, q = places[e]
                         cands.setdefault((int(row[p]), n), []).append((p - q, p))
-                for (r, n), found in cands.items():
-                    lo, hi = np.searchsorted(row, [r, r + 1]).tolist()
-                    for matched, first, last in occurrences(seqs[n], h[lo:hi], sorted((s - lo, p - lo) for s, p in set(found)), least, BAND):
-                        rows.append((a + r, n, matched / len(seqs[n]), matched, first, last, int(starts[lo + first] - o[r]), int(ends[lo + last] - o[r])))
+                by_template: dict[int, list[int]] = {}
+                for r, n in cands:
+                    by_template.setdefault(n, []).append(r)
+                for n, of in by_template.items():
+                    edges = [np.searchsorted(row, [r, r + 1]).tolist() for r in of]
+                    found = [sorted((s - lo, p - lo) for s, p in set(cands[r, n])) for r, (lo, _) in zip(of, edges, strict=True)]
+                    for r, (lo, _), spans in zip(of, edges, spans_of(seqs[n], [h[lo:hi] for lo, hi in edges], found, least, BAND), strict=True):
+                        rows += [(a + r, n, matched / len(seqs[n]), matched, first, last, int(starts[lo + first] - o[r]), int(ends[lo + last] - o[r])) for first, last, matched in spans]
             rows = sorted(set(rows))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([ids[r[1]] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3, 8))],

@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark), least=0.6)
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark), least=0.6)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def hashed_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start, end and row of every word in lower case; ``is_word`` leaves out white space. A long text goes in stretches."""
+    if len(offs) == 2 and len(data) > 4 * SLICE_BYTES:
+        parts = []
+        for a, b in stretches(data):
+            low = LOWER[data[a:b]]
+            starts, ends, _ = words(low, np.array([0, b - a]), is_word)
+            parts.append((span_hashes(low, starts, ends), starts + a, ends + a))
+        h, starts, ends = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return h, starts, ends, np.zeros(len(h), np.int64)
+    low = LOWER[data]
+    starts, ends, row = words(low, offs, is_word)
+    return span_hashes(low, starts, ends), starts, ends, row
+
+
 def shingles(h: np.ndarray, row: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every k-word shingle (k up to 5); a row of fewer words has its whole sequence as one."""
     n = len(h)

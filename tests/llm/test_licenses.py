@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from rigscope.llm import licenses
@@ -42,14 +44,91 @@ def test_winnowing_guarantee():
     assert all(((at >= i) & (at < i + 5)).any() for i in range(196))
 
 
+def best_alignments(a, b):
+    """The full table by definition: its best score."""
+    s = np.zeros((len(a) + 1, len(b) + 1))
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            s[i, j] = max(0, s[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), s[i - 1, j] - 1, s[i, j - 1] - 1)
+    return s.max()
+
+
+def score_of(a, b, matched, first, last):
+    """The best score of alignments that use exactly the words first to last of b and match so many."""
+    part, most = b[first : last + 1], -1e9
+    for lo in range(len(a)):
+        for hi in range(lo, len(a)):
+            x = a[lo : hi + 1]
+            s = np.full((len(x) + 1, len(part) + 1), -1e9)
+            s[0, 0] = 0
+            for i in range(len(x) + 1):
+                for j in range(len(part) + 1):
+                    if i and j:
+                        s[i, j] = max(s[i, j], s[i - 1, j - 1] + (2 if x[i - 1] == part[j - 1] else -1))
+                    if i:
+                        s[i, j] = max(s[i, j], s[i - 1, j] - 1)
+                    if j:
+                        s[i, j] = max(s[i, j], s[i, j - 1] - 1)
+            most = max(most, s[-1, -1])
+    return most
+
+
 def test_alignment_against_full_table():
     g = np.random.default_rng(1)
-    for _ in range(30):
-        a = g.integers(0, 6, 12)
-        b = np.concatenate([g.integers(0, 6, 5), a[:4], g.integers(0, 6, g.integers(0, 3)), a[5:], g.integers(0, 6, 4)])
-        s = np.zeros((len(a) + 1, len(b) + 1))
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                s[i, j] = max(0, s[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), s[i - 1, j] - 1, s[i, j - 1] - 1)
-        matched, first, last, _, _ = licenses.align(a, b, 5, 40)
-        assert 2 * matched >= s.max() and 0 <= first <= last < len(b)
+    a = g.integers(0, 6, 12).astype(np.uint64)
+    texts = [np.concatenate([g.integers(0, 6, 5), a[:4], g.integers(0, 6, g.integers(0, 3)), a[5:], g.integers(0, 6, 4)]).astype(np.uint64) for _ in range(25)]
+    texts += [np.zeros(0, np.uint64), np.full(9, 77, np.uint64)]
+    got = licenses.align(a, texts, [5] * len(texts), 40)
+    for b, (matched, first, last) in zip(texts[:-2], got, strict=False):
+        assert 0 <= first <= last < len(b) and matched <= min(len(a), last - first + 1)
+        assert score_of(a, b, matched, first, last) == best_alignments(a, b)
+        assert 2 * matched >= best_alignments(a, b)
+    assert got[-2:] == [(0, 0, 0)] * 2
+    assert [licenses.align(a, [b], [5], 40)[0] for b in texts] == got  # alone as among others
+
+
+def test_scan_against_brute_force(spark, docs_of):
+    """Planted templates, whole and edited, in noise: each is found where it is, by a search over all windows of words."""
+    g = np.random.default_rng(7)
+    noise = lambda n: [f"n{i}" for i in g.integers(0, 500, n)]
+    words = {k: re.findall(r"[a-z0-9]+", t.lower()) for k, t in (licenses.NOTICES | licenses.BODIES).items()}
+    names, texts, want = sorted(words), [], []
+    for d in range(60):
+        t = noise(int(g.integers(0, 40)))
+        for _ in range(int(g.integers(0, 4))):
+            k = names[g.integers(len(names))]
+            w = list(words[k])
+            if g.random() < 0.4 and len(w) > 30:
+                w[int(g.integers(5, len(w) - 5))] = "changed"
+            want.append((d, k, len(t)))
+            t += w + noise(int(g.integers(1, 30)))
+        texts.append(" ".join(t))
+    rows = licenses.scan(docs_of(texts), licenses.templates(spark)).collect()
+    found = {(r["doc_id"], r["template_id"], r["first_word"]): r for r in rows}
+    assert all(w in found for w in want) and len(want) > 50
+    for r in rows:
+        t, a = texts[r["doc_id"]].split(), words[r["template_id"]]
+        span = t[r["first_word"] : r["last_word"] + 1]
+        assert r["coverage"] >= 0.6 and r["matched_words"] <= len(a) and r["coverage"] == r["matched_words"] / len(a)
+        assert texts[r["doc_id"]].encode()[r["first_byte"] : r["end_byte"]].decode() == " ".join(span)
+        common, left = 0, list(a)
+        for x in span:
+            if x in left:
+                left.remove(x)
+                common += 1
+        assert common >= r["matched_words"]
+    exact = {(d, k, p) for d, t in enumerate(texts) for k, a in words.items() for p in range(len(t.split()) - len(a) + 1) if t.split()[p : p + len(a)] == a}
+    assert {x for x in exact if len(words[x[1]]) > 2} <= set(found)
+
+
+def test_repeated_rows_and_ties(spark, docs_of):
+    same = [(4, "x Released under the MIT License. y")] * 3
+    twins = spark.createDataFrame([("a", "one two three four"), ("b", "one two three four")], "template_id string, text string")
+    assert len(licenses.scan(docs_of(same), licenses.notices(spark)).collect()) == 3
+    assert sorted(r["template_id"] for r in licenses.scan(docs_of(["zero one two three four"]), twins).collect()) == ["a", "b"]
+
+
+def test_very_long_text(spark, docs_of):
+    text = "some words here " * 700_000 + licenses.BODIES["isc"] + " end"
+    rows = licenses.scan(docs_of([text]), licenses.templates(spark)).collect()
+    assert ("isc", 2_100_000, 1.0) in {(r["template_id"], r["first_word"], r["coverage"]) for r in rows}
