@@ -65,3 +65,25 @@ def test_units_kept_are_bounded(monkeypatch):
         data, offs = tn.buffer_of(pa.array([t]))
         lens, flat = e.encode(data, offs)
         assert flat.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids and len(e.place) <= 10
+
+
+@pytest.mark.parametrize("name,units", [("byte_bpe_50k.json", tk.led_units), ("word_bpe_49k.json", tk.spaced_units)])
+def test_long_texts_in_pieces(name, units):
+    path = public_tokenizers.path(name)
+    e = tk.Encoder(path, units, ids=True, lower=units is tk.spaced_units)
+    g = random.Random(4)
+    alphabet = ["a", "B", "é", " ", " ", "  ", "\n", "'s", "'", ",", ".", "9", "日", "word", "\u3000", "Σ"]
+    texts = [t for t in ODD if t] + ["".join(g.choice(alphabet) for _ in range(g.randrange(200, 900))) for _ in range(60)]
+    for t in texts:
+        data, offs = tn.buffer_of(pa.array([t]))
+        for most in (40, 200):
+            n, ids = e.encode(data, offs, most)
+            assert ids.tolist() == tk.load(path).encode(t, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+
+
+def test_very_long_text(spark, docs_of):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "some words, and more of them. " * 500_000
+    row = token_counts.token_counts(docs_of([text]), path).first()
+    one = len(tk.load(path).encode("some words, and more of them. some words, and more of them. ", add_special_tokens=False).ids) - len(tk.load(path).encode("some words, and more of them. ", add_special_tokens=False).ids)
+    assert row["n_bytes"] == len(text) and abs(row["n_tokens"] - one * 500_000) <= 1
