@@ -152,7 +152,9 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.6, doc_id: str
     """doc_id, template_id, coverage, matched_words, first_word, last_word, first_byte, end_byte of each match."""
     kind = dict(docs.dtypes)[doc_id]
     listed = templates.select(F.col(f"`{template_id}`").cast("string").alias("i"), F.col(f"`{template_text}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    told = sorted((r["i"], r["t"]) for r in listed.limit(MOST_INDEX).collect())
+    told = sorted((r["i"], r["t"]) for r in listed.limit(MOST_INDEX + 1).collect())
+    if len(told) > MOST_INDEX:
+        raise ValueError(f"more than {MOST_INDEX} templates")
     index: list[tuple[int, int, int]] = []
     sequences: list[np.ndarray] = []
     for n, (_, t) in enumerate(told):
