@@ -58,6 +58,7 @@ def analyse(spark: SparkSession, base_path: str, drive: str, output_dir: str = "
     regions = fusion.region_frames(fused, rig, REGION)
     report("region_temporal_analysis", fusion.region_temporal(regions))
 
-    summary = spark.createDataFrame([(drive, time.strftime("%Y-%m-%d %H:%M:%S"), len(ids), chosen)], "drive string, analysed_at string, lidar_frames bigint, sampled array<int>")
-    report("analysis_summary", summary.crossJoin(sync.sync_quality(ts, reference).drop("drive").limit(1)))
+    quality = sync.sync_quality(ts, reference).drop("drive").limit(1)
+    about = {"drive": F.lit(drive), "analysed_at": F.lit(time.strftime("%Y-%m-%d %H:%M:%S")), "lidar_frames": F.lit(len(ids)), "sampled": F.array(*(F.lit(i) for i in chosen))}
+    report("analysis_summary", quality.select(*(c.alias(n) for n, c in about.items()), "*"))
     return done

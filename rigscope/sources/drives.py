@@ -117,6 +117,13 @@ def timestamps(spark: SparkSession, drive: str) -> DataFrame:
     return timestamp_lines(rows)
 
 
+def absent_clocks(spark: SparkSession, drive: str) -> DataFrame:
+    """(drive, sensor) of the known sensors without a clock file, for a warning: an anti join."""
+    present = timestamps(spark, drive).select("drive", "sensor").distinct()
+    known = present.select("drive").distinct().withColumn("sensor", F.explode(F.array(*(F.lit(s) for s in SENSORS.values()))))
+    return known.join(present, ["drive", "sensor"], "left_anti")
+
+
 def calibration_lines(spark: SparkSession, date: str) -> DataFrame:
     """(date, file, line_no, line) of a date's calibration files, for ``operators.calibration.parsed``."""
     text = spark.read.text(f"{date.rstrip('/')}/calib_*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))

@@ -76,6 +76,9 @@ def test_clocks_and_calibration(spark, drive):
     base, d, _ = drive
     ts = drives.timestamps(spark, str(d))
     assert {r["sensor"] for r in ts.collect()} == {"lidar", "gps_imu"} and ts.count() == 4
+    assert {r["sensor"] for r in drives.absent_clocks(spark, str(d)).collect()} == {"gray_left", "gray_right", "color_left", "color_right"}
+    text = report.clock_report(ts, "lidar")
+    assert "reference: lidar" in text and "Largest jitter" in text and "Hz" in text
     lines = drives.calibration_lines(spark, str(base))
     c = calibration.parsed(lines)
     assert c.where("key = 'T'").count() == 2
