@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +38,17 @@ def live_intervals(ts: DataFrame, time: str = "ts", late: str = "10 seconds", wi
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    import math
-
-    origin_lat, origin_lon, east, north, distance, n = state.get if state.exists else (None, None, None, None, 0.0, 0)
+    lat0, lon0, east, north, distance, n = state.get if state.exists else (None, None, None, None, 0.0, 0)
     packets = pd.concat(list(frames)).sort_values("frame_idx")
-    for lat, lon in zip(packets["lat"], packets["lon"], strict=True):
-        if origin_lat is None:
-            origin_lat, origin_lon = float(lat), float(lon)
-        e = (lon - origin_lon) * METRES_A_DEGREE * math.cos(math.radians(origin_lat))
-        m = (lat - origin_lat) * METRES_A_DEGREE
-        if east is not None:
-            distance += math.hypot(e - east, m - north)
-        east, north, n = float(e), float(m), n + 1
-    state.update((origin_lat, origin_lon, east, north, float(distance), n))
+    lat, lon = packets["lat"].to_numpy(float), packets["lon"].to_numpy(float)
+    if len(lat):
+        if lat0 is None:
+            lat0, lon0 = float(lat[0]), float(lon[0])
+        e, m = (lon - lon0) * METRES_A_DEGREE * np.cos(np.radians(lat0)), (lat - lat0) * METRES_A_DEGREE
+        path_e, path_m = (e, m) if east is None else (np.r_[east, e], np.r_[north, m])
+        distance += float(np.hypot(np.diff(path_e), np.diff(path_m)).sum())
+        east, north, n = float(e[-1]), float(m[-1]), n + len(lat)
+    state.update((lat0, lon0, east, north, distance, n))
     yield pd.DataFrame({"drive": [key[0]], "num_frames": [n], "east": [east], "north": [north], "total_distance_m": [distance]})
 
 
