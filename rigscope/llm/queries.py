@@ -86,6 +86,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE_SQL = {
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents
+        ), s AS MATERIALIZED (
+          SELECT DISTINCT r, hash(sh) AS h, sh FROM (
+            SELECT r, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d WHERE len(w) > 0
+          )
+        ), n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS MATERIALIZED (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.sh = b.sh AND a.r < b.r GROUP BY a.r, b.r),
+        l AS MATERIALIZED (
+          SELECT x, y FROM (SELECT x, y FROM p JOIN n u ON u.r = x JOIN n v ON v.r = y WHERE 100 * c >= 75 * (u.n + v.n - c))
+        ), e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT a, y FROM reach JOIN e ON b = x),
+        c AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON b = d.r GROUP BY a),
+        k AS (SELECT x AS r, count(*) AS n_links FROM e GROUP BY x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+        FROM d JOIN c USING (r) LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+    """,
     "op2_topk_search": """
         WITH v AS (
           SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
