@@ -6,11 +6,10 @@ Patterns vote on how many entries a text has, how densely, and whether it has no
 the scores at the end; between, a generative label model is fitted to the votes alone, by expectation-maximisation from
 a plain count of votes.
 
-The model has a class prior, each voter's rate in either class (its accuracy), and correlations: within a class every
-voter depends on one other one, the tree of the strongest conditional mutual informations, whose tables are estimated
-with the rest; so many voters for one thing don't count many times. A linear classifier is trained on the posterior
-labels and scores every text; slope and offset of its scores are fitted to the sample's labels, so that they are
-probabilities.
+The model has a class prior, each voter's rate in either class (its accuracy), and the correlations of voters within the
+classes, all estimated from the votes; correlated voters share their evidence, so that many voters for one thing don't
+count many times. A linear classifier is trained on the posterior labels and scores every text; slope and offset of its
+scores are fitted to the sample's labels, so that they are probabilities.
 
 Cases: null and empty texts have no votes but that of having no entry, and get the classifier's score for it;
 rows with null or other labels than 0 and 1 teach nothing; repeated rows are scored each; an empty sample leaves
@@ -96,66 +95,33 @@ def features(n: int, row: np.ndarray, entry: np.ndarray, count: np.ndarray, n_wo
     return x
 
 
-def dependence(both: np.ndarray, n: float) -> np.ndarray:
-    """Mutual information of each pair of voters within a class, from weighted counts of joint votes (diagonal: of votes)."""
-    one, out = np.diag(both), np.zeros_like(both)
-    tables = (both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both)
-    margins = ((one, one), (one, n - one), (n - one, one), (n - one, n - one))
-    for t, (a, b) in zip(tables, margins, strict=True):
-        share = np.maximum(t, 0) / max(n, 1e-9)
-        out += share * np.log((share + 1e-12) / (np.outer(np.maximum(a, 0), np.maximum(b, 0)) / max(n, 1e-9) ** 2 + 1e-12))
-    return out
-
-
-def strongest_tree(weight: np.ndarray) -> np.ndarray:
-    """Each node's parent in the spanning tree of largest weight; -1 for the root, node 0."""
-    parent, near = np.full(len(weight), -1), np.zeros(len(weight), np.int64)
-    best, out = weight[0].copy(), np.ones(len(weight), bool)
-    out[0] = False
-    for _ in range(len(weight) - 1):
-        i = int(np.argmax(np.where(out, best, -np.inf)))
-        parent[i], out[i] = near[i], False
-        closer = weight[i] > best
-        best, near = np.where(closer, weight[i], best), np.where(closer, i, near)
-    return parent
-
-
 def first_guess(x: np.ndarray) -> np.ndarray:
     """Posteriors to start from: by how many entries fire. Patterns are the last EXTRAS columns."""
     fired = x[:, :-EXTRAS].sum(axis=1)
     return np.where(fired == 0, 0.05, np.where(fired == 1, 0.6, 0.9))
 
 
-def label_model(x: np.ndarray, start: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, dict]:
-    """Posterior of label 1 of each row of votes, and the model: prior, rates (class x voter), each voter's parent.
+def label_model(x: np.ndarray, start: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, dict]:
+    """Posterior of label 1 of each row of votes, and the model: prior, rates (class x voter), correlations, weights.
 
-    Few rounds: after many, the classes would follow what the largest group of alike voters shares.
+    Correlations are those of what the classes leave unexplained of two voters' votes. A voter's evidence is divided by
+    its design effect, one plus its correlations with the others (those over 0.1): k copies of a voter count as one.
     """
-    q, x = np.clip(start.astype(np.float64), 0.05, 0.95), x.astype(np.float32)
+    q, x = np.clip(start.astype(np.float64), 0.05, 0.95), x.astype(np.float64)
     model: dict = {}
-    for step in range(rounds):
-        weights = (1 - q, q)
-        both = [((x * w[:, None].astype(np.float32)).T @ x).astype(np.float64) for w in weights]
-        n = [w.sum() for w in weights]
-        if step % 3 == 0:
-            parent = strongest_tree(sum(dependence(b, m) for b, m in zip(both, n, strict=True)))
+    for _ in range(rounds):
         prior = np.clip(q.mean(), 0.01, 0.99)
-        logit = np.full(len(x), np.log(prior / (1 - prior)))
-        rates, child = [], np.flatnonzero(parent >= 0)
-        up, roots = parent[child], np.flatnonzero(parent < 0)
-        for sign, b, m in ((-1, both[0], n[0]), (1, both[1], n[1])):
-            one = np.diag(b)
-            rate = (one + 0.5) / (m + 1)
-            rates.append(rate)
-            # rates given that the parent votes or not, drawn towards the voter's own rate where there is little to go by
-            on = (b[child, up] + rate[child]) / (one[up] + 1)
-            off = (one[child] - b[child, up] + rate[child]) / (m - one[up] + 1)
-            on, off = np.clip(on, 1e-6, 1 - 1e-6), np.clip(off, 1e-6, 1 - 1e-6)
-            with_parent, votes = x[:, up], x[:, child]
-            logit += sign * (x[:, roots] @ np.log(rate[roots]) + (1 - x[:, roots]) @ np.log(1 - rate[roots]))
-            logit += sign * ((votes * with_parent) @ np.log(on / off) + votes @ np.log(off) + (with_parent - votes * with_parent) @ np.log((1 - on) / (1 - off)) + (1 - votes) @ np.log(1 - off))
+        rate1 = (q @ x + 0.5) / (q.sum() + 1)
+        rate0 = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
+        rest = (x - np.outer(q, rate1) - np.outer(1 - q, rate0)).astype(np.float32)
+        scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
+        correlation = (rest.T @ rest) / len(x) / np.outer(scale, scale)
+        np.fill_diagonal(correlation, 0)
+        weight = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(axis=0))
+        on, off = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
+        logit = np.log(prior / (1 - prior)) + x @ (weight * on) + (1 - x) @ (weight * off)
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        model = {"prior": prior, "rates": np.array(rates), "parent": parent}
+        model = {"prior": prior, "rates": np.array([rate0, rate1]), "correlation": correlation, "weight": weight}
     return q, model
 
 

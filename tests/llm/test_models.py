@@ -64,52 +64,28 @@ def test_label_model_discounts_what_agrees():
     x = np.concatenate([good, twin], 1).astype(np.float32)
     q, model = toxicity.label_model(x, np.where(good.sum(1) >= 2, 0.9, 0.1))
     assert ((q > 0.5) == y).mean() > 0.9
-    assert model["rates"][1, :4] == pytest.approx(np.full(4, 0.85), abs=0.12) and model["rates"][0, :4] == pytest.approx(np.full(4, 0.15), abs=0.12)
-    among = [i for i in range(16) if model["parent"][i] >= 0 and (i >= 4) == (model["parent"][i] >= 4)]
-    assert sum(i >= 4 for i in among) >= 11  # the crowd's members depend on each other
+    assert model["rates"][1, :4] == pytest.approx(np.full(4, 0.85), abs=0.08) and model["rates"][0, :4] == pytest.approx(np.full(4, 0.15), abs=0.08)
+    assert model["correlation"][4:, 4:].sum() / 132 > 0.8 and abs(model["correlation"][:4, :4]).max() < 0.2
+    assert model["weight"][4:].max() < 0.12 and model["weight"][:4].min() > 0.8
 
 
 def test_label_model_against_plain_loops():
-    """One round: the posterior of a tree of voters, by definition."""
+    """One round, by definition."""
     g = np.random.default_rng(3)
     x = (g.random((300, 5)) < 0.4).astype(np.float32)
     x[:, 3] = x[:, 1]
     start = np.where(x[:, 0] > 0, 0.9, 0.2)
     q, model = toxicity.label_model(x, start, rounds=1)
-    w = np.clip(start, 0.05, 0.95)
+    rate = [[(u @ x[:, j] + 0.5) / (u.sum() + 1) for j in range(5)] for u in (1 - start, start)]
+    rest = np.array([[x[i, j] - start[i] * rate[1][j] - (1 - start[i]) * rate[0][j] for j in range(5)] for i in range(300)])
     for i in range(300):
-        odds = []
-        for c in (0, 1):
-            u = w if c else 1 - w
-            p = u.mean()
-            for j, up in enumerate(model["parent"]):
-                rate = (u @ x[:, j] + 0.5) / (u.sum() + 1)
-                if up >= 0:
-                    same = x[:, up] == x[i, up]
-                    rate = (u[same] @ x[same, j] + rate) / (u[same].sum() + 1)
-                p *= rate if x[i, j] else 1 - rate
-            odds.append(p)
-        assert q[i] == pytest.approx(odds[1] / sum(odds), abs=1e-4)
-    assert 3 in (model["parent"][1], 1 * (model["parent"][3] == 1) * 3)
-
-
-def test_strongest_tree():
-    g = np.random.default_rng(4)
-    w = g.random((6, 6))
-    w = w + w.T
-    got = toxicity.strongest_tree(w)
-    from itertools import combinations
-
-    edges = list(combinations(range(6), 2))
-
-    def spans(tree):
-        seen = {0}
-        for _ in tree:
-            seen |= {v for e in tree if seen & set(e) for v in e}
-        return len(seen) == 6
-
-    best = max(sum(w[e] for e in t) for t in combinations(edges, 5) if spans(t))
-    assert sum(w[i, p] for i, p in enumerate(got) if p >= 0) == pytest.approx(best)
+        logit = np.log(start.mean() / (1 - start.mean()))
+        for j in range(5):
+            r = [(rest[:, j] * rest[:, k]).mean() / np.sqrt((rest[:, j] ** 2).mean() * (rest[:, k] ** 2).mean()) for k in range(5) if k != j]
+            p = [c[j] if x[i, j] else 1 - c[j] for c in rate]
+            logit += np.log(p[1] / p[0]) / (1 + sum(v for v in r if v > 0.1))
+        assert np.log(q[i] / (1 - q[i])) == pytest.approx(logit, abs=1e-3)
+    assert model["weight"][1] == pytest.approx(0.5, abs=0.01)
 
 
 def test_quality(tables, spark):
