@@ -23,6 +23,8 @@ BANDS = {"top_sky": (0.0, 0.33), "middle_objects": (0.33, 0.67), "bottom_road":
 RESULTS = ("x_rect", "y_rect", "z_rect", "_h0", "_h1", "_h2")
 #: Pixels a side of the tiles by which points meet the boxes of a table.
 TILE = 64
+#: Tiles a side; what lies beyond belongs to the last ones, so that a box touches a bounded number whatever its size.
+TILES = 64
 
 
 def folded(rig: Rig) -> dict[str, list[float]]:
@@ -177,7 +179,7 @@ def in_regions(proj: DataFrame, regions: DataFrame) -> DataFrame:
 
     Boxes are dealt to the tiles that they touch, so that points meet them by an equi-join; the closed bounds decide.
     """
-    tile = lambda c: F.floor(c / TILE)
+    tile = lambda c: F.greatest(F.least(F.floor(c / TILE), F.lit(TILES)), F.lit(-1))
     span = lambda a, b: F.explode(F.sequence(tile(F.col(a)), tile(F.col(b))))
     boxes = regions.where("x0 <= x1 and y0 <= y1").select("*", span("x0", "x1").alias("_tx")).select("*", span("y0", "y1").alias("_ty"))
     inside = (F.col("u") >= F.col("x0")) & (F.col("u") <= F.col("x1")) & (F.col("v") >= F.col("y0")) & (F.col("v") <= F.col("y1"))

@@ -62,9 +62,9 @@ def test_tables_of_rigs_and_boxes(spark):
         want += [x["u"] for x in fusion.projected(points_.where(f"date = '{d}'"), rig, (w, h)).collect()]
     assert got and got == pytest.approx(sorted(want))
     proj = spark.createDataFrame([("d", 0, float(u), float(v), 1.0) for u in range(0, 300, 7) for v in range(0, 200, 7)], "drive string, frame_idx int, u double, v double, depth double")
-    boxes = [("all", 0.0, 0.0, 300.0, 200.0), ("edge", 63.0, 63.0, 70.0, 70.0), ("line", 7.0, 0.0, 7.0, 200.0), ("none", 1.0, 1.0, 2.0, 2.0)]
+    boxes = [("all", 0.0, 0.0, 300.0, 200.0), ("edge", 63.0, 63.0, 70.0, 70.0), ("line", 7.0, 0.0, 7.0, 200.0), ("none", 1.0, 1.0, 2.0, 2.0), ("endless", -1e300, -1e300, 1e300, 1e300)]
     found = {r["region"]: r["point_count"] for r in fusion.in_regions(proj, spark.createDataFrame(boxes, "region string, x0 double, y0 double, x1 double, y1 double")).collect()}
-    assert found == {"all": 43 * 29, "edge": 4, "line": 29}
+    assert found == {"all": 43 * 29, "edge": 4, "line": 29, "endless": 43 * 29}
 
 
 def test_image_of_the_same_frame(spark):
