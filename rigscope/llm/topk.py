@@ -8,8 +8,8 @@ blocks of the same task gave. Candidates whose upper bounds lie below it are out
 for the others alone until all their entries are read, which resolves their scores. No list is ever looked up at a
 candidate's place. Bounds, partial sums and what is read are matrices (query x candidate, candidate x component).
 
-Queries are a fiftieth of the rows and grow with them: they are dealt to blocks of at most about ``QUERIES_A_BLOCK``
-vectors, and a block at a time is broadcast. Candidates are read in place, never shuffled; each task keeps k scores a
+Queries are a fiftieth of the rows and grow with them: they are dealt to blocks of about ``QUERIES_A_BLOCK`` vectors or
+``NUMBERS_A_BLOCK`` numbers at most, and a block at a time is broadcast. Candidates are read in place, never shuffled; each task keeps k scores a
 query, and only these are shuffled.
 
 How deep lists are read depends on the data: with a few large components a query stops after a few per cent; with 64
@@ -35,6 +35,7 @@ from rigscope.llm.common import written
 
 CANDIDATES_A_BLOCK = 4_096
 QUERIES_A_BLOCK = 20_000
+NUMBERS_A_BLOCK = 1 << 21  # of queries, and an eighth of them of candidates: long vectors make smaller blocks
 QUERIES_AT_ONCE = 256
 STEPS = 16
 
@@ -138,8 +139,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k best of all other rows."""
     rows = vectors.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").alias("embedding"))
     queries = rows.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull())
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES_A_BLOCK))
+    n, longest = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    blocks = max(1, -(-n // QUERIES_A_BLOCK), -(-n * longest // NUMBERS_A_BLOCK))
     dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "topk-queries")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     found = []
@@ -172,9 +173,10 @@ def _reader(shared, k: int, scale: int):
         for batch in batches:
             for size, (ids, v) in usable(batch.column(0), batch.column(1), scale).items():
                 if size in asked:
-                    for a in range(0, len(ids), CANDIDATES_A_BLOCK):
-                        waiting[size].append((ids[a : a + CANDIDATES_A_BLOCK], v[a : a + CANDIDATES_A_BLOCK]))
-                        if sum(len(i) for i, _ in waiting[size]) >= CANDIDATES_A_BLOCK:
+                    most = max(16, min(CANDIDATES_A_BLOCK, NUMBERS_A_BLOCK // 8 // size))
+                    for a in range(0, len(ids), most):
+                        waiting[size].append((ids[a : a + most], v[a : a + most]))
+                        if sum(len(i) for i, _ in waiting[size]) >= most:
                             block(size)
         for size, parts in waiting.items():
             if parts:
