@@ -7,16 +7,16 @@ operators work through it in ``stretches`` cut at white space.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 21
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+LONG_SPAN = 1024
 _U = np.uint64
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_LENGTH, _STEP = _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15)
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _SHINGLE = np.random.default_rng(77).integers(0, 1 << 63, 5, dtype=np.uint64) * _U(2) + _U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -87,20 +87,6 @@ def stretches(data: np.ndarray, most: int = 4 * SLICE_BYTES):
         a = b
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def table(base: int) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return table(_R), table(_R_INV)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 21, 1 << int(max(n - 1, 0)).bit_length()))
-
-
 def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word."""
     if not len(data):
@@ -119,17 +105,49 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(offs, starts, side="right") - 1
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by one prefix sum over the buffer."""
+    """A 64-bit hash of each byte span: eight bytes at a time, each mixed in by a bijection; BLAKE2 for very long spans.
+
+    No two spans of equal length up to eight bytes share one, and longer ones only by chance.
+    """
+    size = ends - starts
+    h = mix(size.astype(_U) * _LENGTH + _LENGTH)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    total = _TABLE[data]  # in place from here on: eight bytes for each byte of text
-    total *= up[: len(data)]
-    np.cumsum(total, out=total)
-    before = np.where(starts > 0, total[starts - 1], _U(0))
-    h = (total[ends - 1] - before) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        return h
+    eights, live = _eights(data), np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(live):
+        rest = np.minimum(size[live] - done, 8)
+        h[live] = mix((h[live] ^ (eights[starts[live] + done] & _TAILS[rest])) * _STEP)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each byte span equals another, byte by byte."""
+    size = ends - starts
+    same = size == other_ends - others
+    eights, live, done = _eights(data), np.flatnonzero(same & (starts != others) & (size > 0)), 0
+    while len(live):
+        long = size[live] - done > LONG_SPAN
+        for i in live[long].tolist():
+            same[i] = np.array_equal(data[starts[i] : ends[i]], data[others[i] : other_ends[i]])
+        live = live[~long]
+        tail = _TAILS[np.minimum(size[live] - done, 8)]
+        alike = (eights[starts[live] + done] & tail) == (eights[others[live] + done] & tail)
+        same[live[~alike]] = False
+        done += 8
+        live = live[alike & (size[live] > done)]
+    return same
 
 
 def hashed_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -4,7 +4,8 @@ A tokenizer whose pre-tokenizer never joins across a boundary gives a text the c
 gives the units between the boundaries. Two kinds of safe boundary are used: runs of ASCII white space
 (tokenizers that drop white space), and a single space between two characters that are not white space
 (byte-level tokenizers that attach the space to the word after it). Units repeat heavily, so a worker keeps
-the tokens of the units that it has met, up to a fixed number, under their 64-bit hash.
+the tokens of the units that it has met, up to a fixed number, under their bytes. Units of one slice are brought
+together by a 64-bit hash and compared byte by byte, so results are exact.
 """
 
 from __future__ import annotations
@@ -80,25 +81,35 @@ def led_units(data: np.ndarray, offs: np.ndarray):
 class Encoder:
     """Token ids of many texts by distinct unit. ``ids`` false: lengths only."""
 
+    keep = KEEP_UNITS
+
     def __init__(self, path: str, units, ids: bool, lower: bool = False):
         """``lower``: the tokenizer itself folds case, so ASCII letters may be folded before units are told apart."""
-        self.tokenizer, self.units, self.ids, self.lower = load(path), units, ids, lower
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.units, self.ids, self.lower = units, ids, lower
+        self.dtype = np.uint16 if self.open(path) <= 1 << 16 else np.uint32
         self.clear()
 
+    def open(self, path: str) -> int:
+        """Loads the tokenizer; the size of its vocabulary."""
+        self.tokenizer = load(path)
+        return self.tokenizer.get_vocab_size()
+
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.lens = np.zeros(0, np.int64)
         self.at = np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
 
-    def _learn(self, data: np.ndarray, hashes: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = data.tobytes()
-        found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
-        got = [x.ids for x in found] if self.ids else None
-        lens = np.fromiter(map(len, got) if self.ids else map(len, found), np.int64, len(found))
+    def tokens_of(self, units: list[bytes]):
+        """Token ids of each unit; without ``ids`` their numbers will do."""
+        found = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        return [x.ids for x in found] if self.ids else list(map(len, found))
+
+    def _learn(self, units: list[bytes]) -> None:
+        got = self.tokens_of(units)
+        lens = np.fromiter(map(len, got) if self.ids else got, np.int64, len(got))
         base = len(self.lens)
-        self.place.update(zip(hashes, range(base, base + len(lens)), strict=True))
+        self.place.update(zip(units, range(base, base + len(lens)), strict=True))
         self.lens = np.concatenate((self.lens, lens))
         if self.ids:
             self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(lens) - lens))
@@ -130,16 +141,25 @@ class Encoder:
         n = len(offs) - 1
         if not len(starts):
             return np.zeros(n, np.int64), np.zeros(0, self.dtype)
-        hashes, first, back = np.unique(tn.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) + len(hashes) > KEEP_UNITS:
+        _, first, back = np.unique(tn.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        back = back.ravel()
+        like = first[back]
+        odd = np.flatnonzero(~tn.equal_spans(data, starts, ends, starts[like], ends[like]))
+        if len(odd):  # other units under the hash of one: each counts for itself
+            back[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate((first, odd))
+        raw = data.tobytes()
+        units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.place) + len(units) > self.keep:
             self.clear()
-        keys, get = hashes.tolist(), self.place.get
-        place = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        get = self.place.get
+        place = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
         new = np.flatnonzero(place < 0)
         if len(new):
-            self._learn(data, hashes[new].tolist(), starts[first[new]], ends[first[new]])
-            place[new] = np.arange(len(self.lens) - len(new), len(self.lens))
-        place = place[back.ravel()]
+            base = len(self.lens)
+            self._learn([units[i] for i in new.tolist()])
+            place[new] = base + np.arange(len(new))
+        place = place[back]
         lens = self.lens[place]
         totals = np.bincount(row, weights=lens, minlength=n).astype(np.int64)
         if not self.ids:

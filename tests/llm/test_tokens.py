@@ -59,7 +59,7 @@ def test_slices_are_bounded():
 
 
 def test_units_kept_are_bounded(monkeypatch):
-    monkeypatch.setattr(tk, "KEEP_UNITS", 10)
+    monkeypatch.setattr(tk.Encoder, "keep", 10)
     e = tk.Encoder(public_tokenizers.path("word_bpe_49k.json"), tk.spaced_units, ids=True, lower=True)
     for t in (" ".join(f"w{i}" for i in range(9)), " ".join(f"v{i}" for i in range(9))):
         data, offs = tn.buffer_of(pa.array([t]))
@@ -87,3 +87,24 @@ def test_very_long_text(spark, docs_of):
     row = token_counts.token_counts(docs_of([text]), path).first()
     one = len(tk.load(path).encode("some words, and more of them. some words, and more of them. ", add_special_tokens=False).ids) - len(tk.load(path).encode("some words, and more of them. ", add_special_tokens=False).ids)
     assert row["n_bytes"] == len(text) and abs(row["n_tokens"] - one * 500_000) <= 1
+
+
+@pytest.mark.parametrize("name,units", [("byte_bpe_50k.json", tk.led_units), ("word_bpe_49k.json", tk.spaced_units)])
+def test_words_that_polynomial_hashes_confuse(name, units):
+    path = public_tokenizers.path(name)
+    e = tk.Encoder(path, units, ids=True, lower=units is tk.spaced_units)
+    for k in range(10, 15):
+        w = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << k))
+        texts = [w, w.translate(str.maketrans("ab", "ba"))]
+        data, offs = tn.buffer_of(pa.array(texts))
+        n, ids = e.encode(data, offs)
+        assert ids.tolist() == [i for t in texts for i in tk.load(path).encode(t, add_special_tokens=False).ids]
+
+
+def test_units_under_one_hash_stay_apart(monkeypatch):
+    """Even if all hashes were equal, units are told apart by their bytes."""
+    monkeypatch.setattr(tn, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    e = tk.Encoder(public_tokenizers.path("word_bpe_49k.json"), tk.spaced_units, ids=True, lower=True)
+    text = "one two three one longwordofmanyletters two longwordofmanyletterz"
+    data, offs = tn.buffer_of(pa.array([text]))
+    assert e.encode(data, offs)[1].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
