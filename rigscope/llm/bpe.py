@@ -201,8 +201,6 @@ class EditedText:
 class Encoder(tk.Encoder):
     """Ids of many texts; each distinct unit is split by the pattern and encoded once."""
 
-    keep = 2 * tk.KEEP_UNITS
-
     def __init__(self, path: str, pattern: str):
         self.pattern = regex.compile(pattern)
         super().__init__(path, tk.led_units, ids=True)
