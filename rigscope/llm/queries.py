@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rigscope.llm import bpe, decontaminate, jaccard, langid, licenses, packing, periods, quality, sharding, token_counts, topk, toxicity
+from rigscope.llm import bpe, conversations, decontaminate, jaccard, langid, licenses, packing, periods, quality, sharding, token_counts, topk, toxicity
 from rigscope.llm.common import fold, table
 
 
@@ -70,6 +70,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "padded_length")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    out = conversations.digested(conversations.repair(rows, copies="copies"))
+    return out.select("conv_id", "report.*", "repaired_sha256")
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_decontaminate": op9_decontaminate,
         "op10_packing": op10_packing,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_periods": op13_periods,
     }
@@ -173,4 +180,55 @@ ORACLE_SQL = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
     """,
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+          SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+        ), h AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                                             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 AS h
+          FROM conversations, crc
+        ), d AS (
+          SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+                 CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+          FROM h
+        ), o AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z FROM d
+        ), f AS MATERIALIZED (
+          SELECT *, left(role, 1) AS c, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                 lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b
+          FROM o
+        ), best AS (
+          SELECT conv_id, 0 AS i, {'c': 0, 'a': '', 't': ''} AS p0, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS ps, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS pu, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS pa
+          FROM (SELECT DISTINCT conv_id FROM conversations)
+          UNION ALL
+          SELECT conv_id, i,
+            CASE WHEN p0 IS NULL THEN NULL ELSE {'c': p0.c + 3, 'a': p0.a || 'D', 't': p0.t} END,
+            list_min(list_filter([CASE WHEN ps IS NOT NULL THEN {'c': ps.c + 3, 'a': ps.a || 'D', 't': ps.t} END, CASE WHEN keep AND c = 's' AND p0 IS NOT NULL THEN {'c': p0.c + x, 'a': p0.a || 'K', 't': p0.t || line} END], lambda v: v IS NOT NULL)),
+            list_min(list_filter([CASE WHEN qu IS NOT NULL THEN {'c': qu.c + 3, 'a': qu.a || 'D', 't': qu.t} END,
+              CASE WHEN keep AND c = 'u' AND p0 IS NOT NULL THEN {'c': p0.c + x, 'a': p0.a || 'K', 't': p0.t || line} END, CASE WHEN keep AND p0 IS NOT NULL THEN {'c': p0.c + 2 + x, 'a': p0.a || 'R', 't': p0.t || nl || 'user:' || text} END,
+              CASE WHEN keep AND c = 'u' AND ps IS NOT NULL THEN {'c': ps.c + x, 'a': ps.a || 'K', 't': ps.t || line} END, CASE WHEN keep AND ps IS NOT NULL THEN {'c': ps.c + 2 + x, 'a': ps.a || 'R', 't': ps.t || nl || 'user:' || text} END,
+              CASE WHEN keep AND c = 'u' AND qa IS NOT NULL THEN {'c': qa.c + x, 'a': qa.a || 'K', 't': qa.t || line} END, CASE WHEN keep AND qa IS NOT NULL THEN {'c': qa.c + 2 + x, 'a': qa.a || 'R', 't': qa.t || nl || 'user:' || text} END], lambda v: v IS NOT NULL)),
+            list_min(list_filter([CASE WHEN qa IS NOT NULL THEN {'c': qa.c + 3, 'a': qa.a || 'D', 't': qa.t} END,
+              CASE WHEN keep AND c = 'a' AND qu IS NOT NULL THEN {'c': qu.c + x, 'a': qu.a || 'K', 't': qu.t || line} END, CASE WHEN keep AND qu IS NOT NULL THEN {'c': qu.c + 2 + x, 'a': qu.a || 'R', 't': qu.t || nl || 'assistant:' || text} END], lambda v: v IS NOT NULL))
+          FROM (
+            SELECT *, list_min(list_filter([pa, CASE WHEN qu IS NOT NULL THEN {'c': qu.c + 2, 'a': qu.a || 'I', 't': qu.t || nl || 'assistant:'} END], lambda v: v IS NOT NULL)) AS qa
+            FROM (
+              SELECT s.conv_id, f.i, p0, ps, pu, pa, f.c, f.text, chr(10) AS nl, chr(10) || f.role || ':' || f.text AS line, coalesce(fault, '') NOT IN ('blank', 'duplicate') AS keep, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS x,
+                list_min(list_filter([pu, CASE WHEN p0 IS NOT NULL THEN {'c': p0.c + 2, 'a': p0.a || 'I', 't': p0.t || chr(10) || 'user:'} END, CASE WHEN ps IS NOT NULL THEN {'c': ps.c + 2, 'a': ps.a || 'I', 't': ps.t || chr(10) || 'user:'} END, CASE WHEN pa IS NOT NULL THEN {'c': pa.c + 2, 'a': pa.a || 'I', 't': pa.t || chr(10) || 'user:'} END], lambda v: v IS NOT NULL)) AS qu
+              FROM best s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1
+            )
+          )
+        ), done AS (
+          SELECT conv_id, list_min(list_filter([p0, pa, CASE WHEN pu IS NOT NULL THEN {'c': pu.c + 2, 'a': pu.a || 'I', 't': pu.t || chr(10) || 'assistant:'} END, CASE WHEN ps IS NOT NULL THEN {'c': ps.c + 4, 'a': ps.a || 'II', 't': ps.t || chr(10) || 'user:' || chr(10) || 'assistant:'} END], lambda v: v IS NOT NULL)) AS r
+          FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM best) WHERE k = 1
+        ), n AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (b IS NOT NULL AND b || c NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM f GROUP BY conv_id
+        )
+        SELECT done.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(r.c AS BIGINT) AS cost, r.a AS audit, sha256(substr(r.t, 2)) AS repaired_sha256
+        FROM done LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM done.conv_id
+    """,
 }
