@@ -62,6 +62,7 @@ def case(seed=0):
 @pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 60])
 def test_brute_force(spark, docs_of, monkeypatch, rows):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "STRETCH", 4096 if rows > 60 else 17)
     docs, items = case()
     assert got(spark, docs_of(docs, "word"), items) == brute(docs, items)
 
@@ -92,3 +93,25 @@ def test_very_long_text(spark, docs_of):
     text = " ".join(f"w{i % 997}" for i in range(300_000)) + " " + " ".join([item] * 3) + " end"
     row = got(spark, docs_of([text]), [(1, item), (2, "w996 w0 w1")])[0]
     assert row[:2] == (0, 300_121) and row[3] == ("1", "2") and row[2] == 120 + 3 * (300_000 // 997)
+
+
+def test_document_made_of_items(spark, docs_of):
+    """5,000 items of 40 words in one document; no match carries the document's words."""
+    items = [(i, " ".join(f"w{(i * 40 + j) * 7919 % 1_000_003}" for j in range(40))) for i in range(5000)]
+    rows = got(spark, docs_of([" ".join(t for _, t in items), "clean words"]), items)
+    assert rows[0][:3] == (0, 200_000, 200_000) and len(rows[0][3]) == 5000 and rows[1][2] == 0
+
+
+def test_items_of_one_repeated_word(spark, docs_of):
+    items = [(i, " ".join(["a"] * (100 + i))) for i in range(50)] + [(99, " ".join(["a b"] * 60))]
+    docs = [" ".join(["a"] * 200_000), " ".join(["a b"] * 5000), "a " * 12 + "c", "x " + "a " * 13 + "y"]
+    rows = got(spark, docs_of(docs), items)
+    assert rows[0][1:3] == (200_000, 200_000) and len(rows[0][3]) == 50
+    assert rows[1][1:4] == (10_000, 10_000, ("99",)) and rows[2][1:4] == (13, 0, ()) and rows[3][1:3] == (15, 13)
+
+
+def test_spans_are_stretches_of_hit_words(spark, docs_of):
+    item = " ".join(f"q{i}" for i in range(20))
+    b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    row = decontaminate.decontaminate(docs_of([f"x {item} y z {item} {item} w"]), b).first()
+    assert [tuple(x) for x in row["spans"]] == [(1, 20), (23, 62)] and row["n_hit"] == 60
