@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigscope.llm import textnp as tn
+from rigscope.session import shared_dir
 
 BROADCAST_KEYS = 1_000_000
 
@@ -18,13 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+_made: list[list[DataFrame]] = []
 
-    Where it is unset, a folder beside the session's warehouse, which executors share as well.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+
+@contextmanager
+def scratch():
+    """Gives a list that gathers the tables ``written`` within, so that they can be discarded once they are used up."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -33,7 +39,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
+    out.written_to, out.discarded = path, False
+    if _made:
+        _made[-1].append(out)
     return out
 
 
@@ -43,6 +51,7 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        df.discarded = True
 
 
 def fold(id_column: str, k: int):
