@@ -6,6 +6,8 @@ so any choice of metrics is one shuffle of partial aggregates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rigscope.functions.stats import RANGE_EDGES, cv, flag, histogram, share, spread
+from rigscope.session import stored
 
 FRAME = ["drive", "frame_idx"]
 
@@ -154,6 +157,47 @@ def spatial_resolution(points: DataFrame, sample_size: int = 5000, key: str = "p
     return picked.groupBy(*FRAME).applyInArrow(nearest, "drive string, frame_idx int, sampled bigint, spatial_resolution_cm double")
 
 
+def neighbour_squares(points: DataFrame, finest: float = 0.25, widen: float = 4.0) -> DataFrame:
+    """(drive, frame_idx, x, y, z, copies, d2): the squared distance of every distinct point to its nearest neighbour.
+
+    Points of a frame fall into cubic cells; each meets the points of its own cell and the 26 around it, by an equi-join.
+    What it finds no farther than a cell is wide is its nearest; points that find none meet cells ``widen`` times as wide,
+    until one cell holds the frame. The first cells are ``finest`` of the width at which points on a surface would be two
+    a cell. No task holds a frame. Points at one place are at distance 0; d2 is null for a frame's only point.
+    """
+    axes, place = ["x", "y", "z"], ["i", "j", "k"]
+    p = points.select(*FRAME, *(F.col(c).cast("double").alias(c) for c in axes)).groupBy(*FRAME, *axes).agg(F.count(F.lit(1)).alias("copies"))
+    p = stored(p, "neighbours-points")
+    extent = p.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"{c}0") for c in axes), F.greatest(*(F.max(c) - F.min(c) for c in axes)).alias("side"))
+    # one cell size a frame and level, from its extent
+    grid = stored(p.join(extent, FRAME).select(*FRAME, *axes, *((F.col(c) - F.col(f"{c}0")).alias(f"{c}r") for c in axes), "copies", "n", "side", F.when(F.col("side") > 0, F.col("side") * F.sqrt(F.lit(2.0) / F.col("n"))).otherwise(1.0).alias("width")), "neighbours-grid")
+    done = [grid.where("copies > 1 or n = 1").select(*FRAME, *axes, "copies", F.when(F.col("copies") > 1, 0.0).alias("d2"))]
+    left, scale = grid.where("copies = 1 and n > 1"), finest
+    while True:
+        wide = F.col("width") * scale
+        at = {a: F.floor(F.col(f"{c}r") / wide) for a, c in zip(place, axes, strict=True)}
+        there = grid.select(*FRAME, *(at[a].alias(a) for a in place), *(F.col(c).alias(f"{c}o") for c in axes))
+        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        seek = left.select(*FRAME, *axes, *(at[a].alias(f"_{a}") for a in place))
+        for a in place:
+            seek = seek.withColumn("step", near).withColumn(a, F.col(f"_{a}") + F.col("step")).drop("step", f"_{a}")
+        square = sum(((F.col(c) - F.col(f"{c}o")) ** 2 for c in axes), F.lit(0.0))
+        other = ~((F.col("x") == F.col("xo")) & (F.col("y") == F.col("yo")) & (F.col("z") == F.col("zo")))
+        best = seek.join(there, [*FRAME, *place]).where(other).groupBy(*FRAME, *axes).agg(F.min(square).alias("d2"))
+        sure = F.coalesce((F.col("d2") <= wide * wide) | (wide >= F.col("side")), F.lit(False))
+        level = stored(left.join(best, [*FRAME, *axes], "left").withColumn("sure", sure), "neighbours-level")
+        done.append(level.where("sure").select(*FRAME, *axes, "copies", "d2"))
+        left, scale = level.where("not sure").drop("d2", "sure"), scale * widen
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def full_resolution(points: DataFrame) -> DataFrame:
+    """Mean distance in centimetres of all points of a frame to their nearest neighbours; null for one point."""
+    d = neighbour_squares(points).groupBy(*FRAME).agg(F.sum("copies").alias("points"), F.sum(F.sqrt("d2") * F.when(F.col("copies") == 1, 1).otherwise(0)).alias("total"))
+    return d.select(*FRAME, "points", F.when(F.col("points") > 1, F.col("total") / F.col("points") * 100).alias("spatial_resolution_cm"))
+
+
 def frame_sample(points: DataFrame, frames: int = 5) -> DataFrame:
     """The points of ``frames`` frames a drive, picked by hash: a semi join."""
     ids = points.select(*FRAME).distinct()

@@ -256,6 +256,13 @@ SQL: dict[str, str] = {
       SELECT drive, count(*) AS num_frames, {spread("n", "points", "mean", "std", "min", "max")}, {r("stddev_pop(n) * 100 / nullif(avg(n), 0)", "points_cv")}, {spread("rm", "range", "mean", "std")},
              {r("stddev_pop(cm) * 100 / nullif(avg(cm), 0)", "resolution_cv")}, avg(n) > 50000 AS sufficient_density, coalesce(stddev_pop(n) * 100 / nullif(avg(n), 0) < 5, false) AS consistent_points,
              coalesce(stddev_pop(cm) * 100 / nullif(avg(cm), 0) < 20, false) AS consistent_resolution, bool_and(hf > 355) AS full_coverage FROM a GROUP BY drive""",
+    "lidar_all_neighbours": f"""WITH {P}, q AS (SELECT *, row_number() OVER () AS i FROM p),
+      nn AS (SELECT a.drive, a.frame_idx, a.i, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d2 FROM q a JOIN q b ON a.drive = b.drive AND a.frame_idx = b.frame_idx AND a.i <> b.i GROUP BY ALL),
+      n AS (SELECT drive, frame_idx, count(*) AS points FROM p GROUP BY ALL)
+      SELECT drive, frame_idx, points, {r('avg(sqrt(d2)) * 100', 'spatial_resolution_cm')} FROM n LEFT JOIN nn USING (drive, frame_idx) GROUP BY ALL""",
+    "lidar_percentiles": lidar(", ".join(r(f"quantile_cont(dist, {q})", f"range_{n}") for n, q in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95)))),
+    "lidar_files": f"""WITH {P}, f AS (SELECT drive, frame_idx, {", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in ("x", "y", "z", "reflectance"))} FROM p)
+      SELECT drive, frame_idx, count(*) AS num_points, count(*) AS indexed, {", ".join(spread(c, c, "min", "max", "mean") for c in ("x", "y", "z", "reflectance"))} FROM f GROUP BY ALL""",
     "lidar_frame_sample": f"""WITH {P}, ids AS (SELECT DISTINCT drive, frame_idx FROM p), ch AS (SELECT drive, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY (frame_idx::BIGINT * 2654435761) % 4294967296, frame_idx) AS q FROM ids) WHERE q <= 5)
       SELECT drive, frame_idx, count(*) AS num_points FROM p JOIN ch USING (drive, frame_idx) GROUP BY ALL""",
     "lidar_point_sample": f"WITH {P}, {resolution(15000)} SELECT drive, frame_idx, point_key, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')}, {r('reflectance', 'reflectance')}, CAST(sample_rank AS INTEGER) AS sample_rank FROM s",
@@ -361,6 +368,7 @@ SQL: dict[str, str] = {
 SQL |= {
     "lidar_spatial_resolution_full": SQL["lidar_spatial_resolution"],  # frames here hold fewer points than either sample
     "lidar_sequence_full": SQL["lidar_sequence"],
+    "lidar_json_reports": SQL["lidar_sequence"],
     "lidar_point_sample_full": SQL["lidar_point_sample"],
 }
 _RANGES = {"latitude": "lat", "longitude": "lon", "altitude": "alt"}

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rigscope import adapters as ad
-from rigscope.functions.stats import rounded, spread
+from rigscope.functions.stats import rounded, selected, spread
 from rigscope.operators import calibration, camera, fusion, gpsimu, lidar, sync
 from rigscope.plans import report
-from rigscope.session import share_code
-from rigscope.sources import drives
+from rigscope.session import fresh_path, share_code
+from rigscope.sources import drives, files
 
 DIGITS = 5
 #: Added before rounding, so that exact halves go the same way in every engine.
@@ -93,6 +93,37 @@ def lidar_sequence_full(spark, d):
     return report.lidar_summary(ad.lidar_points(spark, d))
 
 
+@query
+def lidar_all_neighbours(spark, d):
+    """Every point of every frame, by joins of cells."""
+    return lidar.full_resolution(ad.lidar_points(spark, d))
+
+
+@query
+def lidar_percentiles(spark, d):
+    p = lidar.with_geometry(ad.lidar_points(spark, d))
+    ranks = {"range_p05": 0.05, "range_p25": 0.25, "range_median": 0.5, "range_p75": 0.75, "range_p95": 0.95}
+    return selected(p, FRAME, F.col("dist"), ranks)
+
+
+@query
+def lidar_files(spark, d):
+    """Frames written as files and read back by two ranges of frames: what the files of each frame hold."""
+    path, middle = fresh_path(spark, "clouds"), 10
+    files.write_clouds(ad.lidar_points(spark, d), path, "point_key")
+    rows = files.read_clouds(spark, path, end=middle).unionByName(files.read_clouds(spark, path, start=middle))
+    held = [F.count(F.lit(1)).alias("num_points"), (F.max("point_idx") + 1).alias("indexed")]
+    return rows.groupBy(*FRAME).agg(*held, *(c for axis in ("x", "y", "z", "reflectance") for c in spread(F.col(axis).cast("double"), axis, "min", "max", "mean")))
+
+
+@query
+def lidar_json_reports(spark, d):
+    """The sequence report of each drive as a JSON file, read back."""
+    path, rows = fresh_path(spark, "reports"), lidar_sequence(spark, d)
+    files.write_reports(rows, path)
+    return files.read_reports(spark, path, rows.schema)
+
+
 @query
 def lidar_frame_sample(spark, d):
     return lidar.frame_sample(ad.lidar_points(spark, d), 5).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("num_points"))
