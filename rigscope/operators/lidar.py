@@ -157,12 +157,12 @@ def spatial_resolution(points: DataFrame, sample_size: int = 5000, key: str = "p
     return picked.groupBy(*FRAME).applyInArrow(nearest, "drive string, frame_idx int, sampled bigint, spatial_resolution_cm double")
 
 
-def neighbour_squares(points: DataFrame, finest: float = 0.25, widen: float = 4.0) -> DataFrame:
+def neighbour_squares(points: DataFrame, finest: float = 1.0, widen: float = 4.0) -> DataFrame:
     """(drive, frame_idx, x, y, z, copies, d2): the squared distance of every distinct point to its nearest neighbour.
 
     Points of a frame fall into cubic cells; each meets the points of its own cell and the 26 around it, by an equi-join.
     What it finds no farther than a cell is wide is its nearest; points that find none meet cells ``widen`` times as wide,
-    until one cell holds the frame. The first cells are ``finest`` of the width at which points on a surface would be two
+    until one cell holds the frame. The first cells are ``finest`` times the width at which points on a surface would be two
     a cell. No task holds a frame. Points at one place are at distance 0; d2 is null for a frame's only point.
     """
     axes, place = ["x", "y", "z"], ["i", "j", "k"]

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rigscope.functions.blocks import carried
+
 STREAM = ["drive", "sensor"]
 
 
@@ -38,6 +40,13 @@ def intervals(ts: DataFrame) -> DataFrame:
     return ts.withColumns({"elapsed_s": (t - F.first(t).over(w)) / 1e9, "interval_ns": apart, "interval_s": apart / 1e9})
 
 
+def intervals_in_blocks(ts: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """As ``intervals``, for streams too long for one task: blocks of frames, with edge rows carried between them."""
+    t = F.col("ts_ns")
+    rows, apart = carried(ts, STREAM, "frame_idx", ["ts_ns"], block), t - F.col("previous_ts_ns")
+    return rows.select(*ts.columns, ((t - F.col("first_ts_ns")) / 1e9).alias("elapsed_s"), apart.alias("interval_ns"), (apart / 1e9).alias("interval_s"))
+
+
 def frame_rates(ts: DataFrame) -> DataFrame:
     """Interval statistics (sample deviation, milliseconds) and frame rate of each stream, from sums of whole nanoseconds."""
     i = F.col("interval_ns")

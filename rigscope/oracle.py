@@ -270,6 +270,10 @@ SQL: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT drive, frame_idx, '{n}' AS sector, sector_{n} AS points, {r(f'100.0 * sector_{n} / num_points', 'pct')} FROM c" for n in SECTORS),
     "ts_elapsed": f"WITH {T} SELECT drive, sensor, frame_idx, {r(f'(ns - first_value(ns) {ROW}) / 1e9', 'elapsed_s')} FROM t",
     "ts_intervals": f"WITH {T} SELECT drive, sensor, frame_idx, {r(f'(ns - lag(ns) {ROW}) / 1e9', 'interval_s')} FROM t",
+    "ts_block_intervals": f"WITH {T} SELECT drive, sensor, frame_idx, {r(f'(ns - first_value(ns) {ROW}) / 1e9', 'elapsed_s')}, {r(f'(ns - lag(ns) {ROW}) / 1e9', 'interval_s')} FROM t",
+    "drive_missing_files": f"""WITH {P}, s AS (SELECT unnest(['gray_left', 'gray_right', 'color_left', 'color_right', 'lidar', 'gps_imu']) AS sensor), g AS (SELECT drive, max(frame_idx) AS last FROM p GROUP BY drive)
+      SELECT drive, sensor, 'timestamps.txt' AS file FROM g, s UNION ALL SELECT drive, sensor, 'data' FROM g, s WHERE sensor <> 'lidar'
+      UNION ALL SELECT drive, 'lidar', 'data/' || lpad(CAST(i AS VARCHAR), 10, '0') || '.bin' FROM (SELECT drive, unnest(range(0, last + 1)) AS i FROM g) q WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.drive = q.drive AND p.frame_idx = q.i)""",
     "ts_aligned": f"""WITH {T}, n AS (SELECT drive, max(frame_idx) AS last FROM t GROUP BY drive), sp AS (SELECT drive, sensor, CAST(unnest(range(0, last + 1)) AS INTEGER) AS frame_idx FROM (SELECT DISTINCT drive, sensor FROM t) JOIN n USING (drive))
       SELECT drive, frame_idx, count(*) AS sensors, count(ns) AS present FROM sp LEFT JOIN t USING (drive, sensor, frame_idx) GROUP BY ALL""",
     "ts_completeness": f"WITH {T}, {MISSING} SELECT drive, sensor, CAST(frames AS BIGINT) AS frames, CAST(missing AS BIGINT) AS missing FROM m",

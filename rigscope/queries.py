@@ -155,6 +155,20 @@ def ts_intervals(spark, d):
     return sync.intervals(ad.sensor_ts(spark, d)).select("drive", "sensor", "frame_idx", "interval_s")
 
 
+@query
+def ts_block_intervals(spark, d):
+    """Times since the first frame and the frame before, by blocks of 64 frames with edges carried between them."""
+    return sync.intervals_in_blocks(ad.sensor_ts(spark, d), block=64).select("drive", "sensor", "frame_idx", "elapsed_s", "interval_s")
+
+
+@query
+def drive_missing_files(spark, d):
+    """Frames written as files, and what a whole drive would have beside them."""
+    path = fresh_path(spark, "drives")
+    files.write_clouds(ad.lidar_points(spark, d), path, "point_key")
+    return drives.missing_files(spark, path)
+
+
 @query
 def ts_aligned(spark, d):
     return sync.aligned(ad.sensor_ts(spark, d)).groupBy("drive", "frame_idx").agg(F.count(F.lit(1)).alias("sensors"), F.count("ts_ns").alias("present"))

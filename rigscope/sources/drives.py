@@ -124,6 +124,39 @@ def absent_clocks(spark: SparkSession, drive: str) -> DataFrame:
     return known.join(present, ["drive", "sensor"], "left_anti")
 
 
+def drive_names(spark: SparkSession, date: str) -> list[str]:
+    """The folders of a date, with and without files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(date)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(s.getPath().getName() for s in found if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+
+
+def missing_files(spark: SparkSession, date: str, names: list[str] | None = None) -> DataFrame:
+    """(drive, sensor, file) of what the drives of a date lack: expected against present files, from listings alone.
+
+    ``names``: the drives that should be there (none: the folders that are). Of each known sensor a clock file is expected,
+    and data: ``data`` where it has none at all, else each frame up to the drive's last one. A drive that has nothing lacks
+    all clocks and all data; a file without a byte counts as absent.
+    """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(date).select("path")
+    known = F.create_map(*(F.lit(x) for s in SENSORS for x in (s, {"velodyne_points": "bin", "oxts": "txt"}.get(s, "png"))))
+    clock = paths.where(_part(F.col("path"), 1) == "timestamps.txt").select(_part(F.col("path"), 3).alias("drive"), _part(F.col("path"), 2).alias("folder"), F.lit("timestamps.txt").alias("file"))
+    data = paths.where(_part(F.col("path"), 2) == "data").select(_part(F.col("path"), 4).alias("drive"), _part(F.col("path"), 3).alias("folder"), _part(F.col("path"), 1).alias("name"))
+    data = data.where(F.col("name").rlike(r"^\d{10}\.\w+$") & (F.substring_index("name", ".", -1) == known[F.col("folder")]))
+    data = data.select("drive", "folder", _frame_of(F.col("name")).alias("frame_idx"), F.concat(F.lit("data/"), "name").alias("file"))
+    drives = spark.createDataFrame([(n,) for n in (drive_names(spark, date) if names is None else names)], "drive string")
+    wanted = drives.select("drive", F.explode(F.array(*(F.lit(s) for s in SENSORS))).alias("folder"))
+    last = data.groupBy("drive").agg(F.max("frame_idx").alias("last"))
+    some = data.select("drive", "folder").distinct()
+    spans = wanted.join(some, ["drive", "folder"], "left_semi").join(last, "drive").select("drive", "folder", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    frames = spans.select("drive", "folder", F.concat(F.lit("data/"), F.lpad(F.col("i").cast("string"), 10, "0"), F.lit("."), known[F.col("folder")]).alias("file"))
+    expected = wanted.withColumn("file", F.lit("timestamps.txt")).unionByName(frames)
+    absent = expected.join(clock.unionByName(data.select("drive", "folder", "file")), ["drive", "folder", "file"], "left_anti")
+    empty = wanted.join(some, ["drive", "folder"], "left_anti").withColumn("file", F.lit("data"))
+    sensor = F.create_map(*(F.lit(x) for kv in SENSORS.items() for x in kv))
+    return absent.unionByName(empty).select("drive", sensor[F.col("folder")].alias("sensor"), "file")
+
+
 def calibration_lines(spark: SparkSession, date: str) -> DataFrame:
     """(date, file, line_no, line) of a date's calibration files, for ``operators.calibration.parsed``."""
     text = spark.read.text(f"{date.rstrip('/')}/calib_*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))

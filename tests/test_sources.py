@@ -85,6 +85,26 @@ def test_clocks_and_calibration(spark, drive):
     assert [r["file"] for r in calibration.missing_files(lines, drives.CALIBRATION_FILES).collect()] == [drives.CALIBRATION_FILES[2]]
 
 
+def test_missing_files_of_many_drives(spark, tmp_path):
+    for drive, sensors in {"full": drives.SENSORS, "part": ("velodyne_points", "oxts"), "none": ()}.items():
+        (tmp_path / drive).mkdir()
+        for s in sensors:
+            for i in range(3):
+                p = tmp_path / drive / s / "data" / drives.frame_file(i, {"velodyne_points": "bin", "oxts": "txt"}.get(s, "png"))
+                p.parent.mkdir(parents=True, exist_ok=True)
+                p.write_bytes(b"x")
+            (tmp_path / drive / s / "timestamps.txt").write_text("t")
+    (tmp_path / "part" / "velodyne_points" / "data" / drives.frame_file(1, "bin")).unlink()
+    (tmp_path / "part" / "oxts" / "timestamps.txt").write_text("")
+    (tmp_path / "part" / "oxts" / "data" / "notes.txt").write_text("no frame")
+    (tmp_path / "calib_cam_to_cam.txt").write_text("")
+    got = sorted(map(tuple, drives.missing_files(spark, str(tmp_path)).collect()))
+    cameras = [s for s in drives.SENSORS.values() if s.startswith(("gray", "color"))]
+    want = [("none", s, f) for s in drives.SENSORS.values() for f in ("data", "timestamps.txt")] + [("part", s, f) for s in cameras for f in ("data", "timestamps.txt")]
+    assert got == sorted([*want, ("part", "lidar", "data/0000000001.bin"), ("part", "gps_imu", "timestamps.txt")])
+    assert drives.missing_files(spark, str(tmp_path), ["full", "lost"]).count() == 12
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("d", 1, 2.0, None)], "drive string, a int, b double, c string")
     n = report.nested(df, ["drive"], {"m": ["a", "b"], "rest": ["c"]})

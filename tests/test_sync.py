@@ -1,3 +1,5 @@
+import random
+
 from rigscope.operators import sync
 from rigscope.sources import drives
 
@@ -37,3 +39,15 @@ def test_summary_of_short_first_sensor(spark):
     ts = spark.createDataFrame([("d", "a", 0, "t", 0), ("d", "b", 0, "t", 0), ("d", "b", 1, "t", 10**9)], SCHEMA)
     assert sync.summary(ts, "b", "a").first()["duration_sec"] is None
     assert sync.summary(ts, "b", "b").first()["duration_sec"] == 1
+
+
+def test_blocks_carry_what_windows_see(spark):
+    g = random.Random(0)
+    rows = [(d, s, i, "t", None if g.random() < 0.1 else i * 1000 + g.randrange(50)) for d in "ab" for s in ("x", "y") for i in range(300) if g.random() < 0.4 or i > 280] + [("c", "x", 7, "t", 1)]
+    ts = spark.createDataFrame(rows, SCHEMA)
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(sync.intervals(ts))
+    for block in (1, 7, 64, 1 << 16):
+        got = sync.intervals_in_blocks(ts, block)
+        assert got.columns == sync.intervals(ts).columns and key(got) == want
+    assert sync.intervals_in_blocks(ts.where("false")).count() == 0
