@@ -8,7 +8,11 @@ survive without a join.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,3 +208,59 @@ def overlay(proj: DataFrame, depth_range: tuple[float, float] | None = (0.0, 50.
     ends = proj.groupBy(*FRAME).agg(F.min("depth").alias("_lo"), F.max("depth").alias("_hi"))
     shade = F.coalesce(F.try_divide(F.col("depth") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     return proj.join(ends, FRAME).select(*FRAME, "u", "v", "depth", shade.alias("shade"))
+
+
+def z_buffer(proj: DataFrame) -> DataFrame:
+    """(drive, frame_idx, px, py, depth, hits): the nearest point that each pixel shows, and how many fall on it."""
+    pixel = [F.floor("u").cast("int").alias("px"), F.floor("v").cast("int").alias("py")]
+    return proj.groupBy(*FRAME, *pixel).agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("hits"))
+
+
+def png_bytes(gray: np.ndarray) -> bytes:
+    """An 8-bit gray image as PNG, lines unfiltered."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((len(gray), 1), np.uint8), gray], axis=1)
+    head = struct.pack(">IIBBBBB", gray.shape[1], gray.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def png_values(data: bytes) -> np.ndarray:
+    """The pixels of what ``png_bytes`` made."""
+    at, parts, width, height = 8, [], 0, 0
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"IHDR":
+            width, height = struct.unpack(">II", data[at + 8 : at + 16])
+        elif kind == b"IDAT":
+            parts.append(data[at + 8 : at + 8 + size])
+        at += size + 12
+    return np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, width + 1)[:, 1:]
+
+
+def rendered(pixels: DataFrame, width: int, height: int, depth_range: tuple[float, float] = (0.0, 50.0)) -> DataFrame:
+    """(drive, frame_idx, png): each frame's pixels as a gray image, near ones bright, 0 where nothing is seen.
+
+    A frame has a row for each pixel at most, so its size is the image's, however many points fell on it. Pixels outside
+    the image are left out; frames without pixels have no image.
+    """
+    shade = normalized_depth(F.col("depth"), *depth_range)
+    rows = pixels.select(*FRAME, "px", "py", (255 - F.floor(shade * 254 + 0.5)).cast("int").alias("value")).where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height))
+
+    def draw(group: pa.Table) -> pa.Table:
+        gray = np.zeros((height, width), np.uint8)
+        gray[group.column("py").to_numpy(), group.column("px").to_numpy()] = group.column("value").to_numpy()
+        return pa.table([group.column("drive")[:1], group.column("frame_idx")[:1], pa.array([png_bytes(gray)], pa.binary())], names=[*FRAME, "png"])
+
+    return rows.groupBy(*FRAME).applyInArrow(draw, "drive string, frame_idx int, png binary")
+
+
+def png_sums(images: DataFrame) -> DataFrame:
+    """(drive, frame_idx, width, height, lit, total): what the bytes of each image say: its size, pixels seen, and their sum."""
+
+    def read(batches):
+        for batch in batches:
+            got = [png_values(b) for b in batch.column(2).to_pylist()]
+            columns = [[g.shape[1] for g in got], [g.shape[0] for g in got], [int((g > 0).sum()) for g in got], [int(g.sum(dtype=np.int64)) for g in got]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in columns)], names=[*FRAME, "width", "height", "lit", "total"])
+
+    return images.select(*FRAME, "png").mapInArrow(read, "drive string, frame_idx int, width bigint, height bigint, lit bigint, total bigint")

@@ -343,6 +343,9 @@ SQL: dict[str, str] = {
       SELECT rg.drive, rg.frame_idx, rg.n AS point_count, {r("s2 * 3.6::DOUBLE", "speed_kmh")}, {r("degrees(yaw)", "yaw_deg")} FROM rg LEFT JOIN f ON rg.drive = 'drive_' || f.drive AND rg.frame_idx = f.frame_idx""",
     "fusion_overlay": f"WITH {PROJ} SELECT drive, frame_idx, count(*) AS n, {spread('(least(greatest(depth, 0), 50) / 50)', 'shade', 'min', 'max', 'mean')} FROM j GROUP BY ALL",
     "fusion_overlay_frames": f"WITH {PROJ}, mm AS (SELECT drive, frame_idx, min(depth) AS lo, max(depth) AS hi FROM j GROUP BY ALL) SELECT drive, frame_idx, count(*) AS n, {spread('coalesce((depth - lo) / nullif(hi - lo, 0), 0)', 'shade', 'min', 'max', 'mean')} FROM j JOIN mm USING (drive, frame_idx) GROUP BY ALL",
+    "fusion_zbuffer": f"WITH {PROJ} SELECT drive, frame_idx, CAST(floor(u) AS INTEGER) AS px, CAST(floor(v) AS INTEGER) AS py, {r('min(depth)', 'depth')}, count(*) AS hits FROM j GROUP BY ALL",
+    "fusion_images": f"""WITH {PROJ}, z AS (SELECT drive, frame_idx, floor(u) AS px, floor(v) AS py, min(depth) AS depth FROM j GROUP BY ALL)
+      SELECT drive, frame_idx, CAST({W} AS BIGINT) AS width, CAST({H} AS BIGINT) AS height, count(*) AS lit, CAST(sum(255 - floor(least(greatest(depth, 0), 50) / 50 * 254 + 0.5)) AS BIGINT) AS total FROM z GROUP BY ALL""",
     "fusion_image_join": f"""WITH {PROJ}, sz AS (SELECT 'drive_' || CAST(vec_id % 3 AS VARCHAR) AS drive, CAST(vec_id AS INTEGER) AS frame_idx, CAST(1000 + label * 50 AS INTEGER) AS width FROM embeddings WHERE vec_id % 10 <> 7)
       SELECT drive, frame_idx, 'image_02' AS camera_id, width, count(*) AS n, {spread('u', 'u', 'max', 'mean')}, {spread('depth', 'depth', 'mean')} FROM fr JOIN sz USING (drive, frame_idx) WHERE u >= 0 AND u < width AND v >= 0 AND v < 375 GROUP BY ALL""",
     "cam_brightness": f"WITH {I} SELECT drive, frame_idx, {spread('v', 'brightness', 'min', 'max', 'mean', 'std', 'median')}, {r('stddev_pop(v)', 'contrast')}, {r('max(v) - min(v)', 'dynamic_range')} FROM px GROUP BY ALL",

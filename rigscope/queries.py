@@ -400,6 +400,18 @@ def fusion_overlay(spark, d):
     return fusion.overlay(_projected(spark, d)).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), *spread(F.col("shade"), "shade", "min", "max", "mean"))
 
 
+@query
+def fusion_zbuffer(spark, d):
+    """The nearest point of every pixel of every frame."""
+    return fusion.z_buffer(_projected(spark, d))
+
+
+@query
+def fusion_images(spark, d):
+    """A PNG image a frame, read back: size, pixels seen, sum of their values."""
+    return fusion.png_sums(fusion.rendered(fusion.z_buffer(_projected(spark, d)), RIG.width, RIG.height))
+
+
 @query
 def fusion_image_join(spark, d):
     """Points inside the image of their own frame, by frame."""

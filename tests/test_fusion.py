@@ -111,3 +111,18 @@ def test_parse(spark):
     assert calibration.rig(c, "day").width == 1242
     with pytest.raises(ValueError):
         calibration.rig(c, "other")
+
+
+def test_nearest_points_are_drawn(spark):
+    rows = [("d", 0, 1.2, 0.9, 10.0), ("d", 0, 1.9, 0.1, 5.0), ("d", 0, 3.0, 2.0, 60.0), ("d", 1, 0.0, 0.0, 25.0), ("d", 1, 9.0, 0.0, 1.0)]
+    z = fusion.z_buffer(spark.createDataFrame(rows, "drive string, frame_idx int, u double, v double, depth double"))
+    assert sorted(tuple(r)[1:] for r in z.collect()) == [(0, 1, 0, 5.0, 2), (0, 3, 2, 60.0, 1), (1, 0, 0, 25.0, 1), (1, 9, 0, 1.0, 1)]
+    images = {r["frame_idx"]: fusion.png_values(r["png"]) for r in fusion.rendered(z, 4, 3).collect()}
+    assert images[0].tolist() == [[0, 230, 0, 0], [0, 0, 0, 0], [0, 0, 0, 1]] and images[1].tolist() == [[128, 0, 0, 0], [0] * 4, [0] * 4]
+
+
+def test_images_are_png(spark, tmp_path):
+    gray = np.random.default_rng(0).integers(0, 256, (5, 7)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(fusion.png_bytes(gray))
+    row = spark.read.format("image").load(str(tmp_path)).first()["image"]
+    assert (row["height"], row["width"]) == (5, 7) and bytes(row["data"]) == gray.tobytes() and (fusion.png_values(fusion.png_bytes(gray)) == gray).all()
