@@ -4,9 +4,11 @@ Texts and templates (whole licenses, the headers of longer ones, short notices)
 alphanumeric words. Of every ``window`` neighbouring k-word hashes of a template the smallest is its fingerprint
 (rightmost on ties), so that any shared run of window + k - 1 words shares one; the inverted index maps fingerprints
 to (template, place) and is broadcast: its size is that of the templates and is checked. Fingerprints found in a text
-lay a template along it at an offset; unless a span already reported holds them, the words outside these spans are
-aligned within a band around it (match 2, mismatch and gap -1; of equal scores the first cell, and a pair before a
-gap), many texts at a time. Reported are the matched share of the template's words and the spans in words and bytes.
+lay a template along it at an offset. No alignment in the band around an offset matches more than the template's words
+that stand somewhere in that band, so offsets with too few of these end there; for the others, unless a span already
+reported holds them, the words outside these spans are aligned within the band (match 2, mismatch and gap -1; of equal
+scores the first cell, and a pair before a gap), many texts and offsets at a time. Reported are the matched share of the
+template's words and the spans in words and bytes.
 
 Cases: null, empty and short texts match nothing; templates of fewer than k words are one fingerprint each;
 templates without id or words are none; repeated rows are reported each; empty tables give no rows; other columns
@@ -28,6 +30,7 @@ from rigscope.llm.license_texts import BODIES, NOTICES
 K, WINDOW, BAND = 3, 3, 8
 MOST_INDEX = 1_000_000
 ALIGNED_AT_ONCE = 512
+CELLS_AT_ONCE = 1_000_000
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -105,9 +108,37 @@ def align(a: np.ndarray, texts: list[np.ndarray], shifts: list[int], band: int)
     return [(0, 0, 0) if none[x] else (int(matched[x]), int(first[x] + shift[x]), int(last[x] + shift[x])) for x in range(size)]
 
 
+def hopeful(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int]], least: float, band: int) -> list[tuple[int, int]]:
+    """The (shift, place) whose band holds enough of the template's words: the others can't be matched to ``least``.
+
+    An alignment pairs a template word with an equal word of its band, each template word once.
+    """
+    n = len(a)
+    words, code = np.unique(a, return_inverse=True)
+    kind = np.int16 if len(words) < 1 << 15 else np.int32
+    code = code.astype(kind)
+    shifts = np.unique([shift for shift, _ in found])
+    lo, hi = int(shifts[0]) - band, int(shifts[-1]) + n + band
+    here = np.full(hi - lo, -1, kind)
+    part = b[max(lo, 0) : max(hi, 0)]
+    at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+    here[max(-lo, 0) : max(-lo, 0) + len(part)] = np.where(words[at] == part, at, -1)
+    view = np.lib.stride_tricks.sliding_window_view(here, n + 2 * band)
+    kept: set[int] = set()
+    for x in range(0, len(shifts), max(1, CELLS_AT_ONCE // n)):
+        some = shifts[x : x + max(1, CELLS_AT_ONCE // n)]
+        bands = view[some - shifts[0]]
+        seen = np.zeros((len(some), n), bool)
+        for t in range(2 * band + 1):
+            seen |= bands[:, t : t + n] == code
+        kept |= set(some[seen.sum(axis=1) >= least * n].tolist())
+    return [f for f in found if f[0] in kept]
+
+
 def occurrences(length: int, size: int, found: list[tuple[int, int]], least: float):
     """Spans (first, last, matched) of a template of ``length`` words in a text of ``size``, from (shift, place) of its
-    fingerprints; spans never overlap. Asks for alignments: yields (lo, hi, shift) and is sent what ``align`` says.
+    fingerprints; spans never overlap. Asks for alignments: yields (lo, hi, shift) and is sent what ``align`` says,
+    in places of the text.
 
     A fingerprint inside a span is explained by it; around any other one the words between the spans are aligned.
     """
@@ -121,30 +152,49 @@ def occurrences(length: int, size: int, found: list[tuple[int, int]], least: flo
             lo, hi = spans[i - 1][1] + 1 if i else 0, spans[i][0] if i < len(spans) else size
             if (shift, lo, hi) in vain:
                 break
-            matched, first, last = yield lo, hi, shift - lo
+            matched, first, last = yield lo, hi, shift
             if not matched or matched < least * length:
                 vain.add((shift, lo, hi))
                 break
-            spans.insert(i, (lo + first, lo + last, matched))
+            spans.insert(i, (first, last, matched))
     return spans
 
 
 def spans_of(a: np.ndarray, texts: list[np.ndarray], found: list[list[tuple[int, int]]], least: float, band: int) -> list[list[tuple[int, int, int]]]:
-    """The occurrences of template a in each text; their alignments are made many at a time."""
+    """The occurrences of template a in each text, from the sorted (shift, place) of its fingerprints.
+
+    Alignments are made many at a time: those that texts wait for, and for the offsets that follow in these texts.
+    One depends on its offset and the words in its band alone, so an offset asked for again between other spans is
+    aligned anew only where a span cuts its band.
+    """
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    found = [hopeful(a, b, f, least, band) if f else f for b, f in zip(texts, found, strict=True)]
+    shifts = [sorted({shift for shift, _ in f}) for f in found]
+    known: list[dict[tuple[int, int, int], tuple[int, int, int]]] = [{} for _ in texts]
+
+    def banded(lo: int, hi: int, shift: int) -> tuple[int, int, int]:
+        return max(lo, shift - band), min(hi, shift + len(a) + band), shift
+
     waiting = [(k, occurrences(len(a), len(b), f, least), None) for k, (b, f) in enumerate(zip(texts, found, strict=True))]
     while waiting:
-        asked = []
+        asked, stuck = [], []
+        ahead = ALIGNED_AT_ONCE // len(waiting)
         for k, run, answer in waiting:
             try:
-                asked.append((k, run, run.send(answer)))
+                while (w := banded(*run.send(answer))) in known[k]:
+                    answer = known[k][w]
             except StopIteration as end:
                 out[k] = end.value
-        waiting = []
+                continue
+            stuck.append((k, run, w))
+            at = bisect_right(shifts[k], w[2])
+            asked += [(k, x) for x in dict.fromkeys([w, *(banded(0, len(texts[k]), s) for s in shifts[k][at : at + ahead])]) if x not in known[k]]
         for x in range(0, len(asked), ALIGNED_AT_ONCE):
             part = asked[x : x + ALIGNED_AT_ONCE]
-            answers = align(a, [texts[k][lo:hi] for k, _, (lo, hi, _) in part], [shift for _, _, (_, _, shift) in part], band)
-            waiting += [(k, run, answer) for (k, run, _), answer in zip(part, answers, strict=True)]
+            answers = align(a, [texts[k][lo:hi] for k, (lo, hi, _) in part], [shift - lo for _, (lo, _, shift) in part], band)
+            for (k, w), (matched, first, last) in zip(part, answers, strict=True):
+                known[k][w] = matched, first + w[0], last + w[0]
+        waiting = [(k, run, known[k][w]) for k, run, w in stuck]
     return out
 
 
@@ -186,9 +236,9 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.6, doc_id: str
                         at = at[row[at] == row[at + k - 1]]
                         hits += [(p, int(x)) for p, x in zip(at.tolist(), g[at].tolist(), strict=True)]
                 cands: dict[tuple[int, int], list[int]] = {}
-                for p, x in hits:
-                    for e in range(np.searchsorted(keys, np.uint64(x)), np.searchsorted(keys, np.uint64(x), side="right")):
-                        n, q = places[e]
+                values = np.array([x for _, x in hits], np.uint64)
+                for (p, _), lo, hi in zip(hits, np.searchsorted(keys, values).tolist(), np.searchsorted(keys, values, side="right").tolist(), strict=True):
+                    for n, q in places[lo:hi]:
                         cands.setdefault((int(row[p]), n), []).append((p - q, p))
                 by_template: dict[int, list[int]] = {}
                 for r, n in cands:

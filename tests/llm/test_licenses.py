@@ -132,3 +132,58 @@ def test_very_long_text(spark, docs_of):
     text = "some words here " * 700_000 + licenses.BODIES["isc"] + " end"
     rows = licenses.scan(docs_of([text]), licenses.templates(spark)).collect()
     assert ("isc", 2_100_000, 1.0) in {(r["template_id"], r["first_word"], r["coverage"]) for r in rows}
+
+
+def one_by_one(a, b, found, least, band):
+    """The spans by definition: each fingerprint in turn, alone, without a bound or anything known."""
+    spans = []
+    for shift, place in found:
+        while not any(f <= place <= z for f, z, _ in spans):
+            lo = max([z + 1 for _, z, _ in spans if z < place], default=0)
+            hi = min([f for f, _, _ in spans if f > place], default=len(b))
+            matched, first, last = licenses.align(a, [b[lo:hi]], [shift - lo], band)[0]
+            if not matched or matched < least * len(a):
+                break
+            spans.append((lo + first, lo + last, matched))
+    return sorted(spans)
+
+
+def test_spans_against_one_by_one():
+    g = np.random.default_rng(3)
+    some = 0
+    for n in (1, 3, 9, 24):
+        for letters in (2, 4, 12):
+            a = g.integers(0, letters, n).astype(np.uint64)
+            texts = [np.concatenate([x for _ in range(g.integers(1, 9)) for x in (a[g.integers(0, 2) : n - g.integers(0, 2)], g.integers(0, letters + 2, g.integers(0, 6)).astype(np.uint64))]) for _ in range(3)]
+            texts.append(np.zeros(0, np.uint64))
+            found = [sorted({(int(p - q), int(p)) for p in range(len(b)) for q in range(n) if b[p] == a[q] and g.random() < 0.5}) for b in texts]
+            for least in (0.6, 0.95):
+                want = [one_by_one(a, b, f, least, 4) for b, f in zip(texts, found, strict=True)]
+                assert licenses.spans_of(a, texts, found, least, 4) == want
+                some += sum(map(len, want))
+    assert some > 80
+
+
+def test_one_run_in_every_line(spark, docs_of, monkeypatch):
+    """20,000 hits of a run of a whole license: bounded at once, hardly any alignment; copies among them are found."""
+    line = "permission is hereby granted {} and the other words of this line here\n"
+    lines = [line.format(f"n{i}") for i in range(20_000)]
+    lines[700] = licenses.BODIES["isc"] + "\n"
+    text = "".join(lines)
+    assert len(text) > 1 << 20
+    a, made, real = {}, [], licenses.align
+    monkeypatch.setattr(licenses, "align", lambda a, texts, shifts, band: made.append(len(texts)) or real(a, texts, shifts, band))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    h = licenses.word_hashes(raw, np.array([0, len(raw)]))[0]
+    for name in ("isc", "mit-body"):
+        body = np.frombuffer(licenses.BODIES[name].encode(), np.uint8)
+        a[name] = licenses.word_hashes(body, np.array([0, len(body)]))[0]
+    for name, seq in a.items():
+        places = {int(x): i for i, x in enumerate(licenses.grams(seq, 3))}
+        found = sorted((p - places[x], p) for p, x in enumerate(licenses.grams(h, 3).tolist()) if x in places)
+        assert len(found) > 20_000
+        spans = licenses.spans_of(seq, [h], [found], 0.6, 8)[0]
+        assert [s[2] for s in spans] == ([len(seq)] if name == "isc" else [])
+    assert sum(made) < 1_000
+    rows = licenses.scan(docs_of([text]), licenses.templates(spark)).where("template_id = 'isc'").collect()
+    assert [r["coverage"] for r in rows] == [1.0]
