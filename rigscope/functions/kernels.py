@@ -12,6 +12,9 @@ import numpy as np
 # The circle of radius 3, clockwise from the top, as (dx, dy).
 CIRCLE = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 
+#: Corners whose surroundings are held at a time.
+CORNERS_AT_ONCE = 1024
+
 
 def gray(img: np.ndarray) -> np.ndarray:
     """uint8 gray of an RGB image by fixed-point weights; gray images pass."""
@@ -139,28 +142,61 @@ def shi_tomasi(img: np.ndarray, most: int = 1000, quality: float = 0.01, distanc
     return np.array(kept).reshape(-1, 3)
 
 
-def orb(img: np.ndarray, most: int = 2000, levels: int = 8, scale: float = 1.2, border: int = 31) -> np.ndarray:
-    """(y, x, response) of pyramid corners: FAST at each level, ranked by Harris response, shares falling by level."""
-    factor = 1 / scale
-    want = most * (1 - factor) / (1 - factor**levels)
-    out = []
-    for level in range(levels):
+def pyramid(img: np.ndarray, most: int, levels: int, scale: float, border: int):
+    """Of each level: its number, the places of its rows and columns in the image, its pixels, corners (y, x) off the
+    border, their Harris responses, and its share of ``most``."""
+    for level, want in enumerate(shares(most, levels, scale)):
         f = scale**level
         h, w = int(round(img.shape[0] / f)), int(round(img.shape[1] / f))
         if min(h, w) < 7:
-            break
+            return
         ys, xs = ((np.arange(n) + 0.5) * f - 0.5 for n in (h, w))
         small = resized(img, ys, xs)
         edge = min(border, max(3, min(h, w) // 8))
         k = fast(small)
-        k = k[(k[:, 0] >= edge) & (k[:, 0] < h - edge) & (k[:, 1] >= edge) & (k[:, 1] < w - edge)]
+        k = k[(k[:, 0] >= edge) & (k[:, 0] < h - edge) & (k[:, 1] >= edge) & (k[:, 1] < w - edge)][:, :2].astype(int)
         if len(k):
-            r = harris_response(small, 7)[k[:, 0].astype(int), k[:, 1].astype(int)]
-            best = np.lexsort((k[:, 1], k[:, 0], -r))[: int(round(want * factor**level))]
-            out.append(np.stack([ys[k[best, 0].astype(int)], xs[k[best, 1].astype(int)], r[best]], axis=1))
+            yield level, ys, xs, small, k, harris_response(small, 7)[k[:, 0], k[:, 1]], want
+
+
+def shares(most: int, levels: int, scale: float) -> list[int]:
+    """How many of ``most`` keypoints each level may keep, falling by 1 / scale."""
+    factor = 1 / scale
+    first = most * (1 - factor) / (1 - factor**levels)
+    return [int(round(first * factor**level)) for level in range(levels)]
+
+
+def orb(img: np.ndarray, most: int = 2000, levels: int = 8, scale: float = 1.2, border: int = 31) -> np.ndarray:
+    """(y, x, response) of pyramid corners: FAST at each level, ranked by Harris response, shares falling by level."""
+    out = []
+    for _, ys, xs, _, k, r, want in pyramid(img, most, levels, scale, border):
+        best = np.lexsort((k[:, 1], k[:, 0], -r))[:want]
+        out.append(np.stack([ys[k[best, 0]], xs[k[best, 1]], r[best]], axis=1))
     return np.concatenate(out)[:most] if out else np.zeros((0, 3))
 
 
+def oriented(img: np.ndarray, most: int = 2000, levels: int = 8, scale: float = 1.2, border: int = 31, radius: int = 15) -> np.ndarray:
+    """(level, y, x, rank, degrees) of pyramid corners in their level's pixels, those that tie at a level's cut included.
+
+    A corner's direction is that from it to the centroid of the gray values within ``radius``; outside the image is black.
+    """
+    d = np.arange(-radius, radius + 1)
+    dy, dx = (v.ravel() for v in np.meshgrid(d, d, indexing="ij"))
+    disc = dy * dy + dx * dx <= radius * radius
+    dy, dx = dy[disc], dx[disc]
+    out = [np.zeros((0, 5))]
+    for level, _, _, small, k, r, want in pyramid(img, most, levels, scale, border):
+        rank = 1 + len(r) - np.searchsorted(np.sort(r), r, side="right")
+        k, rank = k[rank <= want], rank[rank <= want]
+        dark = np.pad(small, radius).astype(np.int64)
+        for x in range(0, len(k), CORNERS_AT_ONCE):
+            y0, x0 = (c[:, None] + radius for c in k[x : x + CORNERS_AT_ONCE].T)
+            v = dark[y0 + dy, x0 + dx]
+            angle = np.degrees(np.arctan2((v * dy).sum(axis=1), (v * dx).sum(axis=1)))
+            out.append(np.column_stack([np.full(len(v), level), k[x : x + CORNERS_AT_ONCE], rank[x : x + CORNERS_AT_ONCE], angle]))
+    return np.concatenate(out)
+
+
 def resized(img: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
     """Bilinear values at the given coordinates."""
     h, w = img.shape

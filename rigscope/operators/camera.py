@@ -163,6 +163,30 @@ def frame_metrics(images: DataFrame, thresholds: dict | None = None, bgr: bool =
     return frame_flags(made, thresholds)
 
 
+KEYPOINT_SCHEMA = pa.schema([("drive", pa.string()), ("camera_id", pa.string()), ("frame_idx", pa.int32()), ("level", pa.int32()), ("y", pa.int64()), ("x", pa.int64()), ("rank", pa.int64()), ("angle_deg", pa.float64())])
+
+
+def oriented_keypoints(images: DataFrame, most: int = 2000, bgr: bool = False) -> DataFrame:
+    """(drive, camera_id, frame_idx, level, y, x, rank, angle_deg): pyramid keypoints with their direction.
+
+    Each level keeps its share of ``most`` by Harris response, and whatever ties with the last one kept (equal responses
+    share a rank), so no choice depends on order. Images without data have none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, w, c = (batch.column(k)[i].as_py() for k in (3, 4, 5))
+                img = image_of(batch.column(6)[i].as_buffer(), h, w, c, bgr)
+                found = kn.oriented(kn.gray(img), most) if img is not None else np.zeros((0, 5))
+                key = [batch.column(k).take(pa.array(np.full(len(found), i))) for k in range(3)]
+                made = [pa.array(found[:, k], f.type, safe=False) if f.type == pa.float64() else pa.array(found[:, k].astype(np.int64)).cast(f.type) for k, f in enumerate(list(KEYPOINT_SCHEMA)[3:])]
+                yield pa.RecordBatch.from_arrays([*key, *made], schema=KEYPOINT_SCHEMA)
+
+    schema = "drive string, camera_id string, frame_idx int, level int, y bigint, x bigint, rank bigint, angle_deg double"
+    return images.select("drive", "camera_id", "frame_idx", "height", "width", "n_channels", "data").mapInArrow(run, schema)
+
+
 def frame_flags(frames: DataFrame, thresholds: dict | None = None) -> DataFrame:
     t = THRESHOLDS | (thresholds or {})
     flags = {

@@ -447,9 +447,11 @@ def cam_lum_hist(spark, d):
 
 def _frames(spark, d, *which: str) -> DataFrame:
     """Kernel metrics of gray images tiled from vectors."""
-    images = ad.tiled_images(spark, d)
-    with_bytes = images.withColumn("data", F.expr("unhex(array_join(transform(values, v -> lpad(hex(v), 2, '0')), ''))"))
-    return camera.frame_metrics(with_bytes, which=which or camera.KERNELS)
+    return camera.frame_metrics(_with_bytes(ad.tiled_images(spark, d)), which=which or camera.KERNELS)
+
+
+def _with_bytes(images: DataFrame) -> DataFrame:
+    return images.withColumn("data", F.expr("unhex(array_join(transform(values, v -> lpad(hex(v), 2, '0')), ''))"))
 
 
 @query
@@ -493,6 +495,12 @@ def cam_orb(spark, d):
     return _frames(spark, d, "orb").select(*FRAME, "orb_keypoints")
 
 
+@query
+def cam_oriented_keypoints(spark, d):
+    """Keypoints with direction of images of 256 x 256, where the levels' limits bite; ties at a limit stay."""
+    return camera.oriented_keypoints(_with_bytes(ad.tiled_images(spark, d, side=32))).drop("camera_id")
+
+
 @query
 def cam_feature_strips(spark, d):
     return camera.strip_plot(_frames(spark, d, "orb"))

@@ -81,3 +81,27 @@ def test_shi_tomasi_keeps_its_distance():
         if all((y - q[0]) ** 2 + (x - q[1]) ** 2 >= 100 for q in kept):
             kept.append((y, x))
     assert [(int(y), int(x)) for y, x, _ in kn.shi_tomasi(img)] == kept and len(kept) > 10
+
+
+def test_oriented_keypoints_keep_ties(spark):
+    """A picture that repeats: corners tie; all that tie at a level's cut stay, with the direction by definition."""
+    g = np.random.default_rng(2)
+    img = np.tile(g.integers(0, 255, (20, 20)).astype(np.uint8), (6, 6))
+    every, some = kn.oriented(img, 10**6), kn.oriented(img, 40)
+    first = every[every[:, 0] == 0]
+    want = kn.shares(40, 8, 1.2)
+    assert len(first) > want[0] and len({tuple(r) for r in every[:, :3].tolist()}) == len(every)
+    h = kn.harris_response(img, 7)
+    for level in range(8):
+        a, b = every[every[:, 0] == level], some[some[:, 0] == level]
+        assert b.tolist() == a[a[:, 3] <= want[level]].tolist()
+    response = [h[int(y), int(x)] for _, y, x, *_ in first]
+    assert first[:, 3].tolist() == [1 + sum(o > v for o in response) for v in response]
+    assert len(some[some[:, 0] == 0]) > want[0]  # ties at the cut
+    for _, y, x, _, angle in some[some[:, 0] == 0][:10]:
+        inside = [(dy, dx, int(img[int(y) + dy, int(x) + dx])) for dy in range(-15, 16) for dx in range(-15, 16) if dy * dy + dx * dx <= 225 and 0 <= y + dy < 120 and 0 <= x + dx < 120]
+        assert angle == pytest.approx(np.degrees(np.arctan2(sum(dy * v for dy, _, v in inside), sum(dx * v for _, dx, v in inside))))
+    rows = [("d", "image_00", 0, 120, 120, 1, bytearray(img.tobytes())), ("d", "image_00", 1, 120, 120, 1, None), ("d", "image_00", 2, 5, 5, 1, bytearray(25))]
+    df = spark.createDataFrame(rows, "drive string, camera_id string, frame_idx int, height int, width int, n_channels int, data binary")
+    got = camera.oriented_keypoints(df, 40).collect()
+    assert {r["frame_idx"] for r in got} == {0} and sorted((r["level"], r["y"], r["x"], r["rank"]) for r in got) == sorted(tuple(map(int, r[:4])) for r in some.tolist())
