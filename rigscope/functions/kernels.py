@@ -64,8 +64,8 @@ def dilate(img: np.ndarray) -> np.ndarray:
     return np.max([_shift(p, 1, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
 
 
-def canny(img: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
-    """Edge mask: gradient, thinning along its direction, and growth of strong edges along weak ones."""
+def edge_peaks(img: np.ndarray, low: float = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels where the gradient is over ``low`` and greatest along its direction, and its size everywhere."""
     gx, gy = sobel(img)
     mag = np.abs(gx) + np.abs(gy)
     p = np.pad(mag, 1)
@@ -74,7 +74,12 @@ def canny(img: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
     down = (gx * gy) >= 0
     first = np.where(flat, _shift(p, 1, 0, -1), np.where(steep, _shift(p, 1, -1, 0), np.where(down, _shift(p, 1, -1, -1), _shift(p, 1, -1, 1))))
     second = np.where(flat, _shift(p, 1, 0, 1), np.where(steep, _shift(p, 1, 1, 0), np.where(down, _shift(p, 1, 1, 1), _shift(p, 1, 1, -1))))
-    peak = (mag > first) & np.where(flat | steep, mag >= second, mag > second) & (mag > low)
+    return (mag > first) & np.where(flat | steep, mag >= second, mag > second) & (mag > low), mag
+
+
+def canny(img: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Edge mask: gradient, thinning along its direction, and growth of strong edges along weak ones."""
+    peak, mag = edge_peaks(img, low)
     edge = peak & (mag > high)
     while True:
         grown = peak & (dilate(edge.astype(np.float64)) > 0)
