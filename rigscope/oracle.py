@@ -221,25 +221,66 @@ def pyramid(levels: int = 8, scale: float = 1.2, border: int = 31) -> str:
     orb AS (SELECT im.frame_idx, count(kp.y) FILTER (WHERE inside) AS n FROM im LEFT JOIN kp USING (frame_idx) GROUP BY im.frame_idx)"""
 
 
+CAM = "'cam' AS drive, frame_idx"
+
+
+def large(side: int) -> str:
+    """Pixels (frame_idx, id, y, x, v) of images of side x side vectors."""
+    tiles, size = side * side, 8 * side
+    return f"""i AS (SELECT vec_id // {tiles} AS frame_idx, row_number() OVER (PARTITION BY vec_id // {tiles} ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY vec_id // {tiles}) AS n,
+      list_transform(embedding, lambda x: greatest(0, least(255, round((x::DOUBLE + 1) * 127.5::DOUBLE)))) AS lum FROM embeddings),
+    e AS (SELECT frame_idx, tile, unnest(range(0, 64)) AS k, unnest(lum) AS v FROM i JOIN (SELECT unnest(range(0, {tiles})) AS tile) ON tile % n = nth),
+    py AS (SELECT CAST(frame_idx AS INTEGER) AS frame_idx, tile // {side} * 8 + k // 8 AS y, tile % {side} * 8 + k % 8 AS x, v FROM e),
+    px AS MATERIALIZED (SELECT frame_idx, frame_idx * {size * size} + y * {size} + x AS id, y, x, v FROM py)"""
+
+
+def places(at: list[tuple[int, int]]) -> str:
+    """Steps (x, y) as a list of numbers; DX and DY read them."""
+    return f"[{', '.join(str((x + 100) * 1000 + y + 100) for x, y in at)}]"
+
+
+DX, DY = "(p // 1000 - 100)", "(p % 1000 - 100)"
+SQUARE = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+
+
+def tiled(side: int = 32) -> str:
+    """Sharpness, corners and edges of whole images: pixels joined with those around them, mirrored at the borders."""
+    size = 8 * side
+    to = lambda a, at, cond="": f"(SELECT *, unnest({places(at)}) AS p FROM {a}{cond})"
+    mirrored = lambda at: f"(SELECT *, {MIRROR.format(f'(y + {DY})', size)} AS qy, {MIRROR.format(f'(x + {DX})', size)} AS qx FROM {to('px', at)}) c JOIN px q ON q.id = c.frame_idx * {size * size} + qy * {size} + qx"
+    flat, steep, down = "abs(gy) < abs(gx) * tan(pi() / 8)", "abs(gy) > abs(gx) * tan(3 * pi() / 8)", "gx * gy >= 0"
+    beside = lambda s, a: f"LEFT JOIN so {a} ON {a}.frame_idx = c.frame_idx AND {a}.y = c.y {s} c.sy AND {a}.x = c.x {s} c.sx"
+    return f"""WITH RECURSIVE {large(side)},
+    lp AS (SELECT c.id, c.frame_idx, sum(CASE WHEN p = {places([(0, 0)])[1:-1]} THEN -4 ELSE 1 END * q.v) AS l FROM {mirrored([(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)])} GROUP BY ALL),
+    sharp AS (SELECT frame_idx, count(*) AS num_pixels, var_pop(l) AS s FROM lp GROUP BY frame_idx),
+    r1 AS (SELECT c.frame_idx, c.y, c.x, list(q.v - c.v ORDER BY list_position({places(CIRCLE)}, p)) AS d FROM {to("px", CIRCLE, f" WHERE y BETWEEN 3 AND {size - 4} AND x BETWEEN 3 AND {size - 4}")} c JOIN px q ON q.id = c.id + {DY} * {size} + {DX} GROUP BY ALL),
+    r2 AS (SELECT * EXCLUDE (d), list_concat(d, d[1:8]) AS d FROM r1),
+    sc AS MATERIALIZED (SELECT * FROM (SELECT frame_idx, y, x, greatest(list_max(list_transform(range(1, 17), lambda i: list_min(d[i:i + 8]))), list_max(list_transform(range(1, 17), lambda i: -list_max(d[i:i + 8])))) AS s FROM r2) WHERE s > 20),
+    ot AS (SELECT c.frame_idx, c.y, c.x, any_value(c.s) AS s, max(q.s) FILTER (WHERE q.y <> c.y OR q.x <> c.x) AS m FROM {to("sc", SQUARE)} c JOIN sc q ON q.frame_idx = c.frame_idx AND q.y = c.y + {DY} AND q.x = c.x + {DX} GROUP BY ALL),
+    fast AS (SELECT frame_idx, count(*) AS n FROM ot WHERE s > coalesce(m, 0) GROUP BY frame_idx),
+    gr AS (SELECT c.frame_idx, c.y, c.x, sum({DX} * (2 - abs({DY})) * q.v) AS gx, sum({DY} * (2 - abs({DX})) * q.v) AS gy FROM {mirrored(SQUARE)} GROUP BY ALL),
+    so AS MATERIALIZED (SELECT *, abs(gx) + abs(gy) AS m, {flat} OR {steep} AS straight, CASE WHEN {flat} THEN 0 ELSE 1 END AS sy, CASE WHEN {flat} THEN 1 WHEN {steep} THEN 0 WHEN {down} THEN 1 ELSE -1 END AS sx FROM gr),
+    pk AS MATERIALIZED (SELECT c.frame_idx, c.y, c.x, c.m FROM so c {beside("-", "a")} {beside("+", "b")} WHERE c.m > coalesce(a.m, 0) AND (c.m > coalesce(b.m, 0) OR c.straight AND c.m = coalesce(b.m, 0)) AND c.m > 50),
+    eg AS (SELECT frame_idx, y, x FROM pk WHERE m > 150 UNION SELECT pk.frame_idx, pk.y, pk.x FROM {to("eg", SQUARE)} c JOIN pk ON pk.frame_idx = c.frame_idx AND pk.y = c.y + {DY} AND pk.x = c.x + {DX}),
+    ec AS (SELECT frame_idx, count(*) AS n FROM eg GROUP BY frame_idx)
+    SELECT {CAM}, num_pixels, {r("s", "sharpness")}, coalesce(fast.n, 0) AS fast_keypoints, coalesce(ec.n, 0) AS edge_pixels, {r("100.0 * coalesce(ec.n, 0) / num_pixels", "edge_density")}
+    FROM sharp LEFT JOIN fast USING (frame_idx) LEFT JOIN ec USING (frame_idx)"""
+
+
 def oriented(side: int = 32, most: int = 2000, levels: int = 8, scale: float = 1.2, border: int = 31, radius: int = 15) -> str:
     """Keypoints of images of side x side vectors: every step a join of pixels with places around them."""
-    tiles, size = side * side, 8 * side
+    size = 8 * side
     rows = []
     for i, want in enumerate(shares(most, levels, scale)):
         n = int(round(size / scale**i))
         rows.append(f"({i}, {n}, {scale**i!r}::DOUBLE, {min(border, max(3, n // 8))}, {want})")
     place = lambda c: f"greatest(0, least({size - 1}, ({c} + 0.5::DOUBLE) * f - 0.5::DOUBLE))"
     key = "frame_idx, level"
-    dx, dy = "(p // 1000 - 100)", "(p % 1000 - 100)"
-    places = lambda at: f"[{', '.join(str((x + 100) * 1000 + y + 100) for x, y in at)}]"
-    around = lambda a, at, b: f"(SELECT *, unnest({places(at)}) AS p FROM {a}) c JOIN {b} q ON q.frame_idx = c.frame_idx AND q.level = c.level AND q.y = c.y + {dy} AND q.x = c.x + {dx}"
+    around = lambda a, at, b: f"(SELECT *, unnest({places(at)}) AS p FROM {a}) c JOIN {b} q ON q.frame_idx = c.frame_idx AND q.level = c.level AND q.y = c.y + {DY} AND q.x = c.x + {DX}"
     square = lambda reach: [(x, y) for x in range(-reach, reach + 1) for y in range(-reach, reach + 1)]
     disc = [(x, y) for x, y in square(radius) if x * x + y * y <= radius * radius]
     corner = lambda step, a: f"JOIN px {a} ON {a}.id = g2.id + {step}"
-    return f"""WITH i AS (SELECT vec_id // {tiles} AS frame_idx, row_number() OVER (PARTITION BY vec_id // {tiles} ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY vec_id // {tiles}) AS n,
-      list_transform(embedding, lambda x: greatest(0, least(255, round((x::DOUBLE + 1) * 127.5::DOUBLE)))) AS lum FROM embeddings),
-    e AS (SELECT frame_idx, tile, unnest(range(0, 64)) AS k, unnest(lum) AS v FROM i JOIN (SELECT unnest(range(0, {tiles})) AS tile) ON tile % n = nth),
-    px AS MATERIALIZED (SELECT CAST(frame_idx AS INTEGER) AS frame_idx, frame_idx * {size * size} + (tile // {side} * 8 + k // 8) * {size} + tile % {side} * 8 + k % 8 AS id, v FROM e),
+    return f"""WITH {large(side)},
     lv(level, n, f, edge, want) AS (VALUES {", ".join(rows)}),
     g1 AS (SELECT frame_idx, level, k // n AS y, k % n AS x, {place("(k // n)")} AS sy, {place("(k % n)")} AS sx FROM (SELECT im.frame_idx, lv.*, unnest(range(0, n * n)) AS k FROM (SELECT DISTINCT frame_idx FROM px) im CROSS JOIN lv)),
     g0 AS (SELECT *, CAST(least(floor(sy), {size - 2}) AS BIGINT) AS y0, CAST(least(floor(sx), {size - 2}) AS BIGINT) AS x0 FROM g1),
@@ -251,16 +292,15 @@ def oriented(side: int = 32, most: int = 2000, levels: int = 8, scale: float = 1
     sc AS MATERIALIZED (SELECT * FROM (SELECT {key}, y, x, greatest(list_max(list_transform(range(1, 17), lambda i: list_min(d[i:i + 8]))), list_max(list_transform(range(1, 17), lambda i: -list_max(d[i:i + 8])))) AS s FROM r2) WHERE s > 20),
     ot AS (SELECT c.frame_idx, c.level, c.y, c.x, max(q.s) FILTER (WHERE q.y <> c.y OR q.x <> c.x) AS m FROM {around("sc", square(1), "sc")} GROUP BY ALL),
     kp AS MATERIALIZED (SELECT {key}, y, x, want FROM sc JOIN ot USING ({key}, y, x) JOIN lv USING (level) WHERE s > coalesce(m, 0) AND y >= edge AND y < n - edge AND x >= edge AND x < n - edge),
-    so AS MATERIALIZED (SELECT c.frame_idx, c.level, c.y, c.x, sum({dx} * (2 - abs({dy})) * q.v) AS gx, sum({dy} * (2 - abs({dx})) * q.v) AS gy FROM {around("lp", square(1), "lp")} GROUP BY ALL),
+    so AS MATERIALIZED (SELECT c.frame_idx, c.level, c.y, c.x, sum({DX} * (2 - abs({DY})) * q.v) AS gx, sum({DY} * (2 - abs({DX})) * q.v) AS gy FROM {around("lp", square(1), "lp")} GROUP BY ALL),
     st AS (SELECT c.frame_idx, c.level, c.y, c.x, want, CAST(sum(gx * gx) AS DOUBLE) AS a, CAST(sum(gx * gy) AS DOUBLE) AS b, CAST(sum(gy * gy) AS DOUBLE) AS d FROM {around("kp", square(3), "so")} GROUP BY ALL),
     rk AS MATERIALIZED (SELECT {key}, y, x, want, rank() OVER (PARTITION BY {key} ORDER BY a * d - b * b - 0.04::DOUBLE * ((a + d) * (a + d)) DESC) AS rank FROM st),
     kept AS (SELECT * FROM rk WHERE rank <= want),
-    mo AS (SELECT c.frame_idx, c.level, c.y, c.x, rank, CAST(sum({dx} * q.v) AS DOUBLE) AS mx, CAST(sum({dy} * q.v) AS DOUBLE) AS my FROM {around("kept", disc, "lp")} GROUP BY ALL)
+    mo AS (SELECT c.frame_idx, c.level, c.y, c.x, rank, CAST(sum({DX} * q.v) AS DOUBLE) AS mx, CAST(sum({DY} * q.v) AS DOUBLE) AS my FROM {around("kept", disc, "lp")} GROUP BY ALL)
     SELECT 'cam' AS drive, frame_idx, level, y, x, rank, {r("degrees(atan2(my, mx))", "angle_deg")} FROM mo"""
 
 
 ORB = pyramid()
-CAM = "'cam' AS drive, frame_idx"
 DETECTORS = {"harris": "harris.n", "orb": "orb.n", "fast": "fast.n", "shi_tomasi": "shi.n", "canny": "canny.n"}
 ALL_KERNELS = f"WITH RECURSIVE {TILE}, {GRADIENT}, {PRODUCTS}, {HARRIS}, {SHI}, {CANNY}, {ORB}"
 JOINED = "harris JOIN shi USING (frame_idx) JOIN canny USING (frame_idx) JOIN fast USING (frame_idx) JOIN orb USING (frame_idx)"
@@ -398,6 +438,7 @@ SQL: dict[str, str] = {
     "cam_fast": f"WITH {TILE}, {ORB} SELECT {CAM}, n AS fast_keypoints FROM fast",
     "cam_orb": f"WITH {TILE}, {ORB} SELECT {CAM}, n AS orb_keypoints FROM orb",
     "cam_oriented_keypoints": oriented(),
+    "cam_tiled_metrics": tiled(),
     "cam_features": f"{ALL_KERNELS} SELECT {CAM}, canny.n AS edge_pixels, {r('100.0 * canny.n / 1024', 'edge_density')}, harris.n AS harris_corners, fast.n AS fast_keypoints, shi.n AS shi_tomasi_corners, orb.n AS orb_keypoints FROM {JOINED}",
     "cam_method_plot": f"{ALL_KERNELS}, one AS MATERIALIZED (SELECT frame_idx, {', '.join(f'{n} AS {m}_n' for m, n in DETECTORS.items())} FROM {JOINED}) " + " UNION ALL ".join(f"SELECT {CAM}, '{m}' AS method, {m}_n AS n FROM one" for m in DETECTORS),
     "cam_feature_strips": f"""WITH {TILE}, {ORB}, st AS (SELECT frame_idx, unnest(range(0, 5)) AS strip FROM im), ct AS (SELECT frame_idx, least(CAST(floor(oy) AS BIGINT) // 6, 4) AS strip, count(*) AS m FROM kp WHERE inside GROUP BY ALL)

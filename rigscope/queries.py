@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rigscope import adapters as ad
 from rigscope.functions.stats import rounded, selected, spread
-from rigscope.operators import calibration, camera, fusion, gpsimu, lidar, sync
+from rigscope.operators import calibration, camera, fusion, gpsimu, lidar, sync, tiles
 from rigscope.plans import report
 from rigscope.session import fresh_path, share_code
 from rigscope.sources import drives, files
@@ -501,6 +501,12 @@ def cam_oriented_keypoints(spark, d):
     return camera.oriented_keypoints(_with_bytes(ad.tiled_images(spark, d, side=32))).drop("camera_id")
 
 
+@query
+def cam_tiled_metrics(spark, d):
+    """Images of 256 x 256 by tiles of 48: sharpness, corners and edges as of whole images."""
+    return tiles.frame_metrics(tiles.split(_with_bytes(ad.tiled_images(spark, d, side=32)), 48), 48).drop("camera_id")
+
+
 @query
 def cam_feature_strips(spark, d):
     return camera.strip_plot(_frames(spark, d, "orb"))
