@@ -101,12 +101,11 @@ def tiled_images(spark: SparkSession, sf_dir: str, side: int = 4) -> DataFrame:
     n = side * side
     tiles = luminance_images(spark, sf_dir).select(F.expr(f"frame_idx div {n}").alias("frame_idx"), F.expr(f"frame_idx % {n}").alias("tile"), "lum")
     some = tiles.groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct("tile", "lum"))).alias("some"))
-    whole = some.withColumn("tiles", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("some", F.pmod(i, F.size("some")))))
     size = 8 * side
     at = F.expr(
-        f"transform(sequence(0, {size * size - 1}), i -> least(255, greatest(0, cast(tiles[cast((i div {size}) div 8 * {side} + (i % {size}) div 8 as int)].lum[cast((i div {size}) % 8 * 8 + i % 8 as int)] as int))))"
+        f"transform(sequence(0, {size * size - 1}), i -> least(255, greatest(0, cast(some[cast(((i div {size}) div 8 * {side} + (i % {size}) div 8) % size(some) as int)].lum[cast((i div {size}) % 8 * 8 + i % 8 as int)] as int))))"
     )
-    return whole.select(F.lit("cam").alias("drive"), F.lit("image_00").alias("camera_id"), F.col("frame_idx").cast("int").alias("frame_idx"), F.lit(size).alias("height"), F.lit(size).alias("width"), F.lit(1).alias("n_channels"), at.alias("values"))
+    return some.select(F.lit("cam").alias("drive"), F.lit("image_00").alias("camera_id"), F.col("frame_idx").cast("int").alias("frame_idx"), F.lit(size).alias("height"), F.lit(size).alias("width"), F.lit(1).alias("n_channels"), at.alias("values"))
 
 
 def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
