@@ -49,16 +49,20 @@ def intervals_in_blocks(ts: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 def frame_rates(ts: DataFrame) -> DataFrame:
     """Interval statistics (sample deviation, milliseconds) and frame rate of each stream, from sums of whole nanoseconds."""
+    return intervals(ts).groupBy(*STREAM).agg(*_rates())
+
+
+def _rates() -> list:
     i = F.col("interval_ns")
     whole, n = F.sum(i), F.count(i)
-    return intervals(ts).groupBy(*STREAM).agg(
+    return [
         F.count("ts_raw").alias("num_frames"),
         F.try_divide(whole, n * 1e6).alias("mean_interval_ms"),
         (F.stddev_samp(i) / 1e6).alias("std_interval_ms"),
         (F.min(i) / 1e6).alias("min_interval_ms"),
         (F.max(i) / 1e6).alias("max_interval_ms"),
         F.when(whole > 0, n * 1e9 / whole).otherwise(F.lit(0.0)).alias("frame_rate_hz"),
-    )
+    ]
 
 
 def synthetic_time(rate_hz: float = 10.0):
@@ -78,19 +82,36 @@ def offsets(ts: DataFrame, reference: str) -> DataFrame:
 
 def offset_stats(ts: DataFrame, reference: str) -> DataFrame:
     """Mean and sample deviation of the offsets, and drift: the last known offset less the first."""
+    return offsets(ts, reference).groupBy(*STREAM).agg(*_offsets())
+
+
+def _offsets() -> list:
     o, known = F.col("offset_ms"), F.when(F.col("offset_ms").isNotNull(), F.col("frame_idx"))
-    return offsets(ts, reference).groupBy(*STREAM).agg(
-        F.avg(o).alias("mean_offset_ms"),
-        F.stddev_samp(o).alias("std_offset_ms"),
-        (F.max_by(o, known) - F.min_by(o, known)).alias("drift_ms"),
-    )
+    return [F.avg(o).alias("mean_offset_ms"), F.stddev_samp(o).alias("std_offset_ms"), (F.max_by(o, known) - F.min_by(o, known)).alias("drift_ms")]
+
+
+def streams(ts: DataFrame, reference: str) -> DataFrame:
+    """What ``frame_rates``, ``completeness`` and ``offset_stats`` say of each stream, in a row: one scan, one aggregate.
+
+    ``offset_stats`` has no row of the reference; here its offsets are null. ``last_frame`` and ``last_elapsed_s`` are
+    the stream's last frame and its time since the first.
+    """
+    w = W.partitionBy("drive", "frame_idx")
+    ref = F.max(F.when(F.col("sensor") == reference, F.col("ts_ns"))).over(w)
+    rows = intervals(ts).withColumn("offset_ms", F.when(F.col("sensor") != reference, (F.col("ts_ns") - ref) / 1e6))
+    last = [F.max("frame_idx").alias("last_frame"), F.max_by("elapsed_s", "frame_idx").alias("last_elapsed_s")]
+    per = rows.groupBy(*STREAM).agg(*_rates(), *_offsets(), *last)
+    longest = F.max("last_frame").over(W.partitionBy("drive")) + 1
+    return per.withColumn("frames", longest.cast("long")).withColumn("missing", F.col("frames") - F.col("num_frames"))
+
+
+def _jitter() -> list:
+    return [F.coalesce(F.greatest(F.max("std_offset_ms"), F.lit(0.0)), F.lit(0.0)).alias("max_jitter_ms"), F.max(F.abs("drift_ms")).alias("max_drift_ms"), F.sum("missing").alias("missing_total")]
 
 
 def sync_quality(ts: DataFrame, reference: str) -> DataFrame:
     """Per drive: jitter (largest offset deviation, at least 0), largest drift, missing frames, grade."""
-    stats = offset_stats(ts, reference).groupBy("drive").agg(F.coalesce(F.greatest(F.max("std_offset_ms"), F.lit(0.0)), F.lit(0.0)).alias("max_jitter_ms"), F.max(F.abs("drift_ms")).alias("max_drift_ms"))
-    missing = completeness(ts).groupBy("drive").agg(F.sum("missing").alias("missing_total"))
-    return graded(missing.join(stats, "drive", "left").withColumn("max_jitter_ms", F.coalesce("max_jitter_ms", F.lit(0.0))))
+    return graded(streams(ts, reference).groupBy("drive").agg(*_jitter()).select("drive", "missing_total", "max_jitter_ms", "max_drift_ms"))
 
 
 def graded(df: DataFrame) -> DataFrame:
@@ -104,19 +125,14 @@ def summary(ts: DataFrame, reference: str, first_sensor: str, nudge: float = 0.0
     Times are rounded to two decimals; ``nudge`` is added before, to settle exact halves.
     """
     two = lambda c: F.round(F.col(c) + nudge, 2).alias(c)
-    spans = ts.groupBy("drive").agg(F.countDistinct("sensor").alias("num_sensors"), (F.max("frame_idx") + 1).cast("long").alias("num_frames"))
-    first = intervals(ts).where(F.col("sensor") == first_sensor).select("drive", (F.col("frame_idx") + 1).cast("long").alias("num_frames"), F.round(F.col("elapsed_s") + nudge, 2).alias("duration_sec"))
-    quality = sync_quality(ts, reference)
-    return (
-        spans.join(first, ["drive", "num_frames"], "left")
-        .join(quality, "drive")
-        .select("drive", "num_sensors", "num_frames", "duration_sec", two("max_jitter_ms"), two("max_drift_ms"), "missing_total", "grade", "complete")
-    )
+    whole = F.when((F.col("sensor") == first_sensor) & (F.col("last_frame") + 1 == F.col("frames")), F.col("last_elapsed_s"))
+    per = streams(ts, reference).groupBy("drive").agg(F.count(F.lit(1)).alias("num_sensors"), F.max("frames").alias("num_frames"), F.max(whole).alias("duration_sec"), *_jitter())
+    return graded(per).select("drive", "num_sensors", "num_frames", two("duration_sec"), two("max_jitter_ms"), two("max_drift_ms"), "missing_total", "grade", "complete")
 
 
 def report(ts: DataFrame, reference: str) -> DataFrame:
     """One row a drive: quality, and an array of each sensor's rate, gaps and offsets, rounded to two decimals."""
     two = lambda c: F.round(c, 2).alias(c)
-    sensors = frame_rates(ts).join(completeness(ts), STREAM).join(offset_stats(ts, reference), STREAM, "left")
     one = F.struct("sensor", "num_frames", "missing", *(two(c) for c in ("mean_interval_ms", "std_interval_ms", "min_interval_ms", "max_interval_ms", "frame_rate_hz", "mean_offset_ms", "std_offset_ms", "drift_ms")))
-    return sensors.groupBy("drive").agg(F.sort_array(F.collect_list(one)).alias("sensors")).join(sync_quality(ts, reference), "drive")
+    per = streams(ts, reference).groupBy("drive").agg(F.sort_array(F.collect_list(one)).alias("sensors"), *_jitter())
+    return graded(per).select("drive", "sensors", "missing_total", "max_jitter_ms", "max_drift_ms", "grade", "complete")
