@@ -108,6 +108,13 @@ def tiled_images(spark: SparkSession, sf_dir: str, side: int = 4) -> DataFrame:
     return some.select(F.lit("cam").alias("drive"), F.lit("image_00").alias("camera_id"), F.col("frame_idx").cast("int").alias("frame_idx"), F.lit(size).alias("height"), F.lit(size).alias("width"), F.lit(1).alias("n_channels"), at.alias("values"))
 
 
+def colour_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``tiled_images``, with red, green and blue: the gray values, and those a third and two thirds of the image on."""
+    n = 32 * 32
+    rgb = F.expr(f"flatten(transform(sequence(0, {n - 1}), i -> array(values[i], values[(i + {n // 3}) % {n}], values[(i + {2 * n // 3}) % {n}])))")
+    return tiled_images(spark, sf_dir).withColumns({"camera_id": F.lit("image_02"), "n_channels": F.lit(3), "values": rgb})
+
+
 def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(drive, frame_idx, value): thirty numbers of a vector as the text of a GPS/IMU packet."""
     e = table(spark, sf_dir, "embeddings")

@@ -141,6 +141,11 @@ e AS (SELECT frame_idx, tile, unnest(range(0, 64)) AS k, unnest(lum) AS v FROM t
 px AS (SELECT CAST(frame_idx AS INTEGER) AS frame_idx, ((tile // 4) * 8 + k // 8) * 32 + (tile % 4) * 8 + k % 8 AS pos, v FROM e),
 im AS (SELECT frame_idx, list(v ORDER BY pos) AS lum FROM px GROUP BY frame_idx)"""
 SIDE = 32
+# Colour images: the gray values, and those a third and two thirds of the image on; then px and im of their gray values.
+COLOUR = f"""{TILE.replace("px AS (", "p0 AS (").replace("im AS (SELECT frame_idx, list(v ORDER BY pos) AS lum FROM px", "g AS (SELECT frame_idx, list(v ORDER BY pos) AS lum FROM p0")},
+c AS (SELECT frame_idx, pos, lum[pos + 1] AS r, lum[(pos + 341) % 1024 + 1] AS g, lum[(pos + 682) % 1024 + 1] AS b FROM (SELECT *, unnest(range(0, 1024)) AS pos FROM g)),
+px AS (SELECT frame_idx, pos, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS v FROM c),
+im AS (SELECT frame_idx, list(((r * 4899 + g * 9617 + b * 1868 + 8192)::BIGINT >> 14)::DOUBLE ORDER BY pos) AS lum FROM c GROUP BY frame_idx)"""
 
 
 def near(values: str, dy: int, dx: int, n: int = SIDE) -> str:
@@ -432,6 +437,12 @@ SQL: dict[str, str] = {
     "cam_lum_hist": f"WITH {I} SELECT drive, frame_idx, CAST(least(floor(v / 5.1::DOUBLE), 49) AS INTEGER) AS bin, count(*) AS n FROM px WHERE v BETWEEN 0 AND 255 GROUP BY ALL",
     "cam_kernel_brightness": f"WITH {TILE} SELECT frame_idx, {spread('v', 'brightness', 'min', 'max', 'mean', 'std', 'median')}, {r('100.0 * count(*) FILTER (WHERE v > 240) / count(*)', 'overexposed_pct')}, {r('100.0 * count(*) FILTER (WHERE v < 15) / count(*)', 'underexposed_pct')} FROM px GROUP BY frame_idx",
     "cam_kernel_sharpness": f"WITH {TILE}, {lap(32, 'lum', 'im', 'frame_idx')} SELECT frame_idx, {r('sharp', 'sharpness')} FROM sh",
+    "cam_colour": f"""WITH RECURSIVE {COLOUR}, {GRADIENT}, {CANNY}, {lap(32, 'lum', 'im', 'frame_idx')},
+      li AS (SELECT frame_idx, {spread('v', 'brightness', 'min', 'max', 'mean', 'std', 'median')}, {r('100.0 * count(*) FILTER (WHERE v > 240) / count(*)', 'overexposed_pct')}, {r('100.0 * count(*) FILTER (WHERE v < 15) / count(*)', 'underexposed_pct')} FROM px GROUP BY frame_idx)
+      SELECT {CAM}, 'image_02' AS camera_id, li.* EXCLUDE (frame_idx), {r('sharp', 'sharpness')}, canny.n AS edge_pixels FROM li JOIN sh USING (frame_idx) JOIN canny USING (frame_idx)""",
+    "cam_colour_flags": f"""WITH {COLOUR}, {lap(32, 'lum', 'im', 'frame_idx')},
+      li AS (SELECT frame_idx, avg(v) AS me, stddev_pop(v) AS sd, max(v) - min(v) AS dr, 100.0 * count(*) FILTER (WHERE v > 240) / count(*) AS ov, 100.0 * count(*) FILTER (WHERE v < 15) / count(*) AS un FROM px GROUP BY frame_idx)
+      SELECT {CAM}, {r('me', 'brightness_mean')}, {r('sd', 'contrast')}, {r('dr', 'dynamic_range')}, ov < 5 AND un < 10 AS good_exposure, sd >= 30 AS sufficient_contrast, sharp >= 100 AS sharp_image FROM li JOIN sh USING (frame_idx)""",
     "cam_canny": f"WITH RECURSIVE {TILE}, {GRADIENT}, {CANNY} SELECT {CAM}, n AS edge_pixels, {r('100.0 * n / 1024', 'edge_density')} FROM canny",
     "cam_harris": f"WITH {TILE}, {GRADIENT}, {PRODUCTS}, {HARRIS} SELECT {CAM}, n AS harris_corners FROM harris",
     "cam_shi_tomasi": f"WITH RECURSIVE {TILE}, {GRADIENT}, {PRODUCTS}, {SHI} SELECT {CAM}, n AS shi_tomasi_corners FROM shi",

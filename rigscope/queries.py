@@ -470,6 +470,22 @@ def cam_features(spark, d):
     return _frames(spark, d).select(*FRAME, "edge_pixels", "edge_density", "harris_corners", "fast_keypoints", "shi_tomasi_corners", "orb_keypoints")
 
 
+@query
+def cam_colour(spark, d):
+    """Colour images: luminance of the three channels, and sharpness and edges of their gray values."""
+    out = camera.frame_metrics(_with_bytes(ad.colour_images(spark, d)), which=("light", "edges"))
+    return out.select(*FRAME, "camera_id", "brightness_min", "brightness_max", "brightness_mean", "brightness_std", "brightness_median", "overexposed_pct", "underexposed_pct", "sharpness", "edge_pixels")
+
+
+@query
+def cam_colour_flags(spark, d):
+    """Luminance of colour images from bytes in either order of channels."""
+    images = ad.colour_images(spark, d)
+    turned = images.withColumn("values", F.expr("flatten(transform(sequence(0, size(values) div 3 - 1), i -> array(values[3 * i + 2], values[3 * i + 1], values[3 * i])))"))
+    out = camera.frame_metrics(_with_bytes(turned), bgr=True, which=("light",))
+    return out.select(*FRAME, "brightness_mean", "contrast", "dynamic_range", "good_exposure", "sufficient_contrast", "sharp_image")
+
+
 @query
 def cam_canny(spark, d):
     return _frames(spark, d, "edges").select(*FRAME, "edge_pixels", "edge_density")
