@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rigscope.session import spread_by
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -100,7 +102,7 @@ def tiled_images(spark: SparkSession, sf_dir: str, side: int = 4) -> DataFrame:
     """
     n = side * side
     tiles = luminance_images(spark, sf_dir).select(F.expr(f"frame_idx div {n}").alias("frame_idx"), F.expr(f"frame_idx % {n}").alias("tile"), "lum")
-    some = tiles.groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct("tile", "lum"))).alias("some"))
+    some = spread_by(tiles, "frame_idx").groupBy("frame_idx").agg(F.sort_array(F.collect_list(F.struct("tile", "lum"))).alias("some"))
     size = 8 * side
     at = F.expr(
         f"transform(sequence(0, {size * size - 1}), i -> least(255, greatest(0, cast(some[cast(((i div {size}) div 8 * {side} + (i % {size}) div 8) % size(some) as int)].lum[cast((i div {size}) % 8 * 8 + i % 8 as int)] as int))))"

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigscope.functions import kernels as kn
+from rigscope.session import spread_by
 
 IMAGE = ["drive", "camera_id", "frame_idx"]
 HALO = 4  # circle of the corners and their neighbours
@@ -74,7 +75,7 @@ def with_halos(tiles: DataFrame, side: int, halo: int = HALO) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(5)), *(pa.array([r[k] for r in rows], pa.binary() if k == 7 else pa.int32()) for k in range(1, 8))], schema=_RIM)
 
     rims = tiles.select(*_KEYS, "data").mapInArrow(run, f"{_KEY}, y int, x int, h int, w int, part binary")
-    return rims.groupBy(*_KEYS).agg(F.collect_list(F.struct("y", "x", "h", "w", "part")).alias("parts"))  # nine at most
+    return spread_by(rims, *_KEYS).groupBy(*_KEYS).agg(F.collect_list(F.struct("y", "x", "h", "w", "part")).alias("parts"))  # nine at most
 
 
 def pieces_of(peak: np.ndarray) -> np.ndarray:

@@ -35,6 +35,12 @@ def share_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread_by(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` over as many partitions as a shuffle has, which aren't merged for being small: for work
+    whose cost lies in computing, not in bytes. Grouping by them needs no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
