@@ -6,6 +6,8 @@ so any choice of metrics is one shuffle of partial aggregates.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -18,6 +20,7 @@ from rigscope.functions.stats import RANGE_EDGES, cv, flag, histogram, share, sp
 from rigscope.session import stored
 
 FRAME = ["drive", "frame_idx"]
+AXES = ["x", "y", "z"]
 
 # Azimuth sectors in degrees, closed below, open above; the rear one wraps round.
 SECTORS = {
@@ -125,21 +128,32 @@ def sample_points(points: DataFrame, most: int, key: str = "point_key", multipli
 def nearest_squares(p: np.ndarray) -> np.ndarray:
     """Squared distance of each point (of two or more) to its nearest neighbour.
 
-    Points are put in order along the axis of widest spread; each meets those after it, then those before it, until
-    the gap along that axis alone is as wide as its best distance.
+    Points are put in order along the axis of widest spread; each meets the one a step away, then two steps, until the gap
+    along that axis alone is as wide as every point's best distance. When few of many points are left, they go on alone.
     """
-    p = p[np.argsort(p[:, np.argmax(p.std(axis=0))], kind="stable")]
-    along, n = p[:, np.argmax(p.std(axis=0))], len(p)
-    best = np.full(n, np.inf)
-    for way in (1, -1):
-        live = np.arange(n)
-        for step in range(way, way * n, way):
-            live = live[(live + step >= 0) & (live + step < n)]
-            live = live[(along[live + step] - along[live]) ** 2 < best[live]]
-            if not len(live):
+    axis, n = np.argmax(p.std(axis=0)), len(p)
+    order = np.argsort(p[:, axis], kind="stable")
+    p = p[order]
+    columns, best = [np.ascontiguousarray(c) for c in p.T], np.full(n, np.inf)
+    live, step = n, 0
+    while live and step < n - 1 and (n <= 8192 or live > n // 16):
+        step += 1
+        squares = [(c[step:] - c[:-step]) ** 2 for c in columns]
+        square = squares[0] + squares[1] + squares[2]
+        np.minimum(best[step:], square, out=best[step:])
+        np.minimum(best[:-step], square, out=best[:-step])
+        live = np.count_nonzero(squares[axis] < np.maximum(best[step:], best[:-step]))
+    for way in (1, -1) if live else ():
+        rest = np.arange(n)
+        for far in range(way * (step + 1), way * n, way):
+            rest = rest[(rest + far >= 0) & (rest + far < n)]
+            rest = rest[(columns[axis][rest + far] - columns[axis][rest]) ** 2 < best[rest]]
+            if not len(rest):
                 break
-            best[live] = np.minimum(best[live], ((p[live + step] - p[live]) ** 2).sum(axis=1))
-    return best
+            best[rest] = np.minimum(best[rest], ((p[rest + far] - p[rest]) ** 2).sum(axis=1))
+    out = np.empty(n)
+    out[order] = best
+    return out
 
 
 def spatial_resolution(points: DataFrame, sample_size: int = 5000, key: str = "point_key") -> DataFrame:
@@ -157,45 +171,139 @@ def spatial_resolution(points: DataFrame, sample_size: int = 5000, key: str = "p
     return picked.groupBy(*FRAME).applyInArrow(nearest, "drive string, frame_idx int, sampled bigint, spatial_resolution_cm double")
 
 
-def neighbour_squares(points: DataFrame, finest: float = 1.0, widen: float = 4.0) -> DataFrame:
-    """(drive, frame_idx, x, y, z, copies, d2): the squared distance of every distinct point to its nearest neighbour.
+def frame_grids(points: DataFrame, finest: float = 1.0) -> DataFrame:
+    """A row a frame: its number (frame), rows, finite points, what a point that isn't finite adds (odd: NaN or infinity), least
+    corner, extents, and the width of a cell: ``finest`` times that at which points on a surface would be two a cell."""
+    size = sum((F.abs(c) for c in AXES), F.lit(0.0))  # null, NaN or infinite if a coordinate is
+    p = points.select(*FRAME, *(F.col(c).cast("double").alias(c) for c in AXES)).withColumn("finite", F.coalesce(size < math.inf, F.lit(False)))
+    inside = {c: F.when(F.col("finite"), F.col(c)) for c in AXES}
+    out = p.groupBy(*FRAME).agg(
+        F.count(F.lit(1)).alias("points"),
+        F.count_if("finite").alias("finite"),
+        F.count_if(~F.col("finite") & size.isNotNull()).alias("odds"),
+        F.max(F.when(~F.col("finite"), size)).alias("odd"),
+        F.approx_count_distinct(F.when(F.col("finite"), F.struct(*AXES))).alias("places"),
+        *(F.min(e).alias(f"{c}0") for c, e in inside.items()),
+        *((F.max(e) - F.min(e)).alias(f"{c}s") for c, e in inside.items()),
+    )
+    out = out.withColumn("side", F.greatest(*(f"{c}s" for c in AXES)))
+    width = F.when(F.col("side") > 0, F.greatest(F.col("side") * F.sqrt(F.lit(2.0) / F.greatest("places", F.lit(1))), F.lit(1e-290))).otherwise(1.0)
+    return stored(out.select(F.monotonically_increasing_id().alias("frame"), "*", (width * finest).alias("width")), "neighbours-frames")
+
+
+def _placed(points: DataFrame, frames: DataFrame) -> DataFrame:
+    """The finite points with their frame's row, by a broadcast of the frames."""
+    p = points.select(*FRAME, *(F.col(c).cast("double").alias(c) for c in AXES)).where(sum((F.abs(c) for c in AXES), F.lit(0.0)) < math.inf)
+    return p.join(F.broadcast(frames), FRAME)
+
+
+def _blocks(points: DataFrame, frames: DataFrame, across: int, halo: int) -> DataFrame:
+    """(frame, block, reach, x, y, z): every point in its cubic block, ``across`` cells wide, and in those whose halo of ``halo`` cells
+    it lies in. reach is what lies between a point and the end of its block's halo, infinite where the frame ends; null in a halo."""
+    wide = F.col("width") * across
+    sized = frames.select(*FRAME, "frame", *(f"{c}0" for c in AXES), wide.alias("wide"), (F.col("width") * halo).alias("margin"), *(F.floor(F.col(f"{c}s") / wide).alias(f"{c}n") for c in AXES))
+    df = _placed(points, sized)
+    df = df.withColumns({f"{c}b": F.floor((F.col(c) - F.col(f"{c}0")) / F.col("wide")) for c in AXES})
+    df = df.withColumns({f"{c}r": F.col(c) - F.col(f"{c}0") - F.col(f"{c}b") * F.col("wide") for c in AXES})  # within the block
+    below = {c: F.when(F.col(f"{c}b") > 0, F.col(f"{c}r")).otherwise(math.inf) for c in AXES}
+    above = {c: F.when(F.col(f"{c}b") < F.col(f"{c}n"), F.col("wide") - F.col(f"{c}r")).otherwise(math.inf) for c in AXES}
+    long = lambda n: F.lit(n).cast("long")
+    df = df.select(
+        "frame",
+        *AXES,
+        (F.col("xb") + F.shiftleft("yb", 20) + F.shiftleft("zb", 40)).alias("own"),
+        (F.least(*below.values(), *above.values()) + F.col("margin")).alias("reach"),
+        *(F.when(below[c] <= F.col("margin"), long(-1 << 20 * n)).when(above[c] <= F.col("margin"), long(1 << 20 * n)).otherwise(long(0)).alias(f"{c}o") for n, c in enumerate(AXES)),
+    )
+    xo, yo, zo = (F.col(f"{c}o") for c in AXES)
+    offsets = F.when((xo == 0) & (yo == 0) & (zo == 0), F.array(long(0))).otherwise(F.array_distinct(F.array(long(0), xo, yo, zo, xo + yo, xo + zo, yo + zo, xo + yo + zo)))
+    df = df.select("frame", *AXES, "own", "reach", F.explode(offsets).alias("offset"))
+    # a float that is never more than the distance
+    reach = F.col("reach")
+    less = F.when(reach == math.inf, reach).when(reach < 1e-30, 0.0).otherwise(F.least(reach * (1 - 1e-6), F.lit(3e38)))
+    return df.select("frame", (F.col("own") + F.col("offset")).alias("block"), F.when(F.col("offset") == 0, less).cast("float").alias("reach"), *AXES)
 
-    Points of a frame fall into cubic cells; each meets the points of its own cell and the 26 around it, by an equi-join.
-    What it finds no farther than a cell is wide is its nearest; points that find none meet cells ``widen`` times as wide,
-    until one cell holds the frame. The first cells are ``finest`` times the width at which points on a surface would be two
-    a cell. No task holds a frame. Points at one place are at distance 0; d2 is null for a frame's only point.
-    """
-    axes, place = ["x", "y", "z"], ["i", "j", "k"]
-    p = points.select(*FRAME, *(F.col(c).cast("double").alias(c) for c in axes)).groupBy(*FRAME, *axes).agg(F.count(F.lit(1)).alias("copies"))
-    p = stored(p, "neighbours-points")
-    extent = p.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"{c}0") for c in axes), F.greatest(*(F.max(c) - F.min(c) for c in axes)).alias("side"))
-    # one cell size a frame and level, from its extent
-    grid = stored(p.join(extent, FRAME).select(*FRAME, *axes, *((F.col(c) - F.col(f"{c}0")).alias(f"{c}r") for c in axes), "copies", "n", "side", F.when(F.col("side") > 0, F.col("side") * F.sqrt(F.lit(2.0) / F.col("n"))).otherwise(1.0).alias("width")), "neighbours-grid")
-    done = [grid.where("copies > 1 or n = 1").select(*FRAME, *axes, "copies", F.when(F.col("copies") > 1, 0.0).alias("d2"))]
-    left, scale = grid.where("copies = 1 and n > 1"), finest
-    while True:
+
+def _block_neighbours(each: bool) -> Callable[[pa.Table], pa.Table]:
+    """Nearest neighbours of a block's distinct points. Unless ``each`` is asked for, those that are sure become one row."""
+
+    def nearest(group: pa.Table) -> pa.Table:
+        p, reach = np.stack([group.column(c).to_numpy() for c in AXES], axis=1), group.column("reach").to_numpy()
+        order = np.lexsort(p.T)
+        p, reach = p[order], reach[order]
+        start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]).any(axis=1)])
+        copies, p, reach = np.diff(np.r_[start, len(p)]), p[start], reach[start].astype(float)
+        d2 = np.where(copies > 1, 0.0, nearest_squares(p) if len(p) > 1 else math.inf)
+        own = ~np.isnan(reach)
+        p, copies, d2, reach = p[own], copies[own], d2[own], reach[own]
+        alone = (copies == 1) & (len(start) == 1)
+        sure = d2 <= reach**2
+        roots = float(np.sqrt(d2[sure & ~alone]).sum())
+        rows = slice(None) if each else ~sure
+        n = len(p[rows])
+        out = {c: pa.array(p[rows, i]) for i, c in enumerate(AXES)}
+        out |= {"copies": pa.array(copies[rows], pa.int64()), "d2": pa.array(d2[rows], mask=alone[rows]), "sure": pa.array(sure[rows]), "roots": pa.nulls(n, pa.float64())}
+        table = pa.table({"frame": pa.repeat(group.column("frame")[0], n), **out})
+        if each:
+            return table
+        one = {c: [None] for c in table.column_names} | {"frame": [group.column("frame")[0].as_py()], "copies": [int(copies[sure].sum())], "sure": [True], "roots": [roots]}
+        return pa.concat_tables([table, pa.table(one, table.schema)])
+
+    return nearest
+
+
+def _neighbours(points: DataFrame, frames: DataFrame, widen: float, each: bool, across: int = 24, halo: int = 2) -> DataFrame:
+    """(frame, x, y, z, copies, d2, roots): the distinct finite points, each in a row or, unless ``each``, many of them in one with
+    the sum of their distances in roots."""
+    kinds = "frame bigint, x double, y double, z double, copies bigint, d2 double, sure boolean, roots double"
+    found = stored(_blocks(points, frames, across, halo).groupBy("frame", "block").applyInArrow(_block_neighbours(each), kinds), "neighbours-blocks")
+    columns = ["frame", *AXES, "copies", "d2", "roots"]
+    done, scale, place = [found.where("sure").select(columns)], float(halo), ["i", "j", "k"]
+    left = found.where("not sure").drop("sure")
+    while not left.isEmpty():
+        scale *= widen
         wide = F.col("width") * scale
-        at = {a: F.floor(F.col(f"{c}r") / wide) for a, c in zip(place, axes, strict=True)}
-        there = grid.select(*FRAME, *(at[a].alias(a) for a in place), *(F.col(c).alias(f"{c}o") for c in axes))
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        seek = left.select(*FRAME, *axes, *(at[a].alias(f"_{a}") for a in place))
+        at = {a: F.floor((F.col(c) - F.col(f"{c}0")) / wide) for a, c in zip(place, AXES, strict=True)}
+        there = _placed(points, frames).select("frame", *(at[a].alias(a) for a in place), *(F.col(c).alias(f"{c}o") for c in AXES))
+        # stored, as its size decides how it is joined
+        seek = stored(left.select(columns).join(F.broadcast(frames.select("frame", "side", "width", *(f"{c}0" for c in AXES))), "frame"), "neighbours-left")
+        cells = seek.select("frame", *AXES, *(at[a].alias(f"_{a}") for a in place))
         for a in place:
-            seek = seek.withColumn("step", near).withColumn(a, F.col(f"_{a}") + F.col("step")).drop("step", f"_{a}")
-        square = sum(((F.col(c) - F.col(f"{c}o")) ** 2 for c in axes), F.lit(0.0))
+            cells = cells.withColumn("step", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(a, F.col(f"_{a}") + F.col("step")).drop("step", f"_{a}")
+        square = sum(((F.col(c) - F.col(f"{c}o")) ** 2 for c in AXES), F.lit(0.0))
         other = ~((F.col("x") == F.col("xo")) & (F.col("y") == F.col("yo")) & (F.col("z") == F.col("zo")))
-        best = seek.join(there, [*FRAME, *place]).where(other).groupBy(*FRAME, *axes).agg(F.min(square).alias("d2"))
-        sure = F.coalesce((F.col("d2") <= wide * wide) | (wide >= F.col("side")), F.lit(False))
-        level = stored(left.join(best, [*FRAME, *axes], "left").withColumn("sure", sure), "neighbours-level")
-        done.append(level.where("sure").select(*FRAME, *axes, "copies", "d2"))
-        left, scale = level.where("not sure").drop("d2", "sure"), scale * widen
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+        best = cells.join(there, ["frame", *place]).where(other).groupBy("frame", *AXES).agg(F.min(square).alias("best"))
+        sure = F.coalesce((F.col("best") <= wide * wide) | (wide >= F.col("side")), F.lit(False))
+        level = stored(seek.join(best, ["frame", *AXES], "left").withColumn("d2", F.col("best")).withColumn("sure", sure).select(*columns, "sure"), "neighbours-level")
+        done.append(level.where("sure").select(columns))
+        left = level.where("not sure")
+    return reduce(DataFrame.unionByName, done)
+
+
+def neighbour_squares(points: DataFrame, finest: float = 1.0, widen: float = 4.0) -> DataFrame:
+    """(drive, frame_idx, x, y, z, copies, d2): the squared distance of every distinct point to its nearest neighbour.
+
+    A frame is dealt into blocks of cells; each block also gets the points of a halo around it, and a task finds in it what is nearest
+    to its own points. What is found no farther than the halo's end is the nearest; for the few points that find none, an equi-join
+    takes cells ``widen`` times as wide as the halo and the 26 around each, and wider ones until one cell holds the frame. Points at
+    one place are at distance 0; d2 is null for a frame's only point and where a coordinate is null, and NaN or infinite where one is.
+    """
+    frames = frame_grids(points, finest)
+    out = _neighbours(points, frames, widen, each=True).join(F.broadcast(frames.select("frame", *FRAME)), "frame").select(*FRAME, *AXES, "copies", "d2")
+    size = sum((F.abs(c) for c in AXES), F.lit(0.0))
+    odd = points.select(*FRAME, *(F.col(c).cast("double").alias(c) for c in AXES)).where(~F.coalesce(size < math.inf, F.lit(False))).groupBy(*FRAME, *AXES).agg(F.count(F.lit(1)).alias("copies"))
+    odd = odd.join(F.broadcast(frames.select(*FRAME, (F.col("finite") + F.col("odds") > 1).alias("more"))), FRAME)
+    return out.unionByName(odd.select(*FRAME, *AXES, "copies", F.when(F.col("more"), size).alias("d2")))
 
 
 def full_resolution(points: DataFrame) -> DataFrame:
-    """Mean distance in centimetres of all points of a frame to their nearest neighbours; null for one point."""
-    d = neighbour_squares(points).groupBy(*FRAME).agg(F.sum("copies").alias("points"), F.sum(F.sqrt("d2") * F.when(F.col("copies") == 1, 1).otherwise(0)).alias("total"))
-    return d.select(*FRAME, "points", F.when(F.col("points") > 1, F.col("total") / F.col("points") * 100).alias("spatial_resolution_cm"))
+    """Mean distance in centimetres of all points of a frame to their nearest neighbours; null for one point. Points with a null
+    coordinate are counted, but have no distance."""
+    frames = frame_grids(points)
+    roots = F.coalesce("roots", F.when(F.col("copies") == 1, F.sqrt("d2")), F.lit(0.0))
+    sums = _neighbours(points, frames, 4.0, each=False).groupBy("frame").agg(F.sum(roots).alias("roots"))
+    mean = F.when(F.col("finite") + F.col("odds") > 1, F.coalesce(F.col("odd"), F.when(F.col("finite") > 1, F.col("roots") / F.col("finite"))))
+    return frames.join(sums, "frame", "left").select(*FRAME, "points", (mean * 100).alias("spatial_resolution_cm"))
 
 
 def frame_sample(points: DataFrame, frames: int = 5) -> DataFrame:
