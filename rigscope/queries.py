@@ -95,7 +95,7 @@ def lidar_sequence_full(spark, d):
 
 @query
 def lidar_all_neighbours(spark, d):
-    """Every point of every frame, by joins of cells."""
+    """Every point of every frame, by blocks with halos."""
     return lidar.full_resolution(ad.lidar_points(spark, d))
 
 
